@@ -4,18 +4,27 @@
 everything else of the record (unknown names, nested objects, values that do not cast) stays as JSON in `rescued`.
 `promote` takes approved spellings (raw name -> field), replays the rescued values into the typed columns and takes
 what fitted out of the rescue. Each step notes in `seen` which raw name and JSON type gave a field, and `layout_changes`
-reports every change between the files of a producer from those notes. All of it runs on the JVM's VARIANT type.
+reports every change between the files of a producer from those notes.
+
+Each step parses a record once, in an Arrow function: Spark's VARIANT writes 5.0 and 5 as the same number, and here the
+two are different types. All the rest are built-in expressions.
 
 Defined results: a null, empty, broken or non-object payload is not readable: typed columns and rescue are null; a JSON
-null is no value; a key twice in one object makes the record unreadable; repeated rows do not change the layout; empty
-tables give empty tables; columns of the input that clash with target fields are kept under their name and `_in`.
+null is no value; of a key twice in one object the last counts; NaN and Infinity are no JSON; repeated rows do not change
+the layout; empty tables give empty tables; columns of the input that clash with added ones are kept under their name
+and `_in`.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinolith.operators.skew import previous_in_entity
@@ -26,98 +35,148 @@ MAX_NAMES = 10_000
 
 @dataclass(frozen=True)
 class Spelling:
+    """An approved raw name of a field; a dot is a step into a nested object."""
+
     raw_name: str
     field: str
 
 
 def spellings(names: DataFrame, raw: str = "raw_name", field: str = "field_name", most: int = MAX_NAMES) -> list[Spelling]:
-    """The approved spellings of a names table, at most `most`; more is an error, as they become expressions of the plan."""
+    """The approved spellings of a names table, at most `most`; more is an error, as they travel with the plan."""
     rows = names.select(raw, field).distinct().filter(F.col(raw).isNotNull() & F.col(field).isNotNull()).orderBy(raw, field).take(most + 1)
     if len(rows) > most:
         raise ValueError(f"more than {most} approved spellings")
     return [Spelling(*r) for r in rows]
 
 
-def _path(raw: str) -> str:
-    return "$" + "".join("['" + step.replace("\\", "\\\\").replace("'", "\\'") + "']" for step in raw.split("."))
+def _no_constant(text: str) -> None:
+    raise ValueError(text)
+
+
+def parse_object(text: str | None) -> dict | None:
+    """The record, or None if the text is not one complete JSON object."""
+    if not text:
+        return None
+    try:
+        doc = json.loads(text, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return None
+    return doc if isinstance(doc, dict) else None
+
+
+def json_type(v: object) -> str:
+    """string, boolean, integer, decimal (written with a point or exponent), object or array."""
+    for kind, name in ((bool, "boolean"), (int, "integer"), (float, "decimal"), (str, "string"), (dict, "object")):
+        if isinstance(v, kind):
+            return name
+    return "array"
+
+
+def cast_value(v: object, kind: str) -> object:
+    """The value in the column's type, or None: numbers in strings cast, a decimal only to an integer it equals."""
+    if isinstance(v, (dict, list)):
+        return None
+    if kind == "string":
+        return v if isinstance(v, str) else json.dumps(v)
+    if kind == "boolean":
+        return v if isinstance(v, bool) else {"true": True, "false": False}.get(v.strip().lower()) if isinstance(v, str) else None
+    if isinstance(v, bool):
+        return None
+    try:
+        if kind == "double":
+            x = float(v)
+            return x if math.isfinite(x) else None
+        n = Decimal(v.strip()) if isinstance(v, str) else Decimal(v)
+        return int(n) if n.is_finite() and n == n.to_integral_value() and -(1 << 63) <= n < 1 << 63 else None
+    except (ValueError, OverflowError, InvalidOperation):
+        return None
 
 
-def _value(doc: Column, raw: str) -> Column:
-    return F.try_variant_get(doc, _path(raw), "variant")
+def _find(doc: dict, path: list[str]) -> object:
+    for step in path:
+        if not isinstance(doc, dict):
+            return None
+        doc = doc.get(step)
+    return doc
 
 
-def json_type(v: Column) -> Column:
-    """string, boolean, integer, decimal (written with a point or an exponent), object or array; null for a JSON null."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "BIGINT", "integer")
-        .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "decimal").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array")
-    )
+def _remove(doc: dict, path: list[str]) -> None:
+    """Take a leaf out, and the objects that it leaves empty."""
+    chain = [doc]
+    for step in path[:-1]:
+        chain.append(chain[-1][step])
+    del chain[-1][path[-1]]
+    for holder, step in reversed(list(zip(chain, path[:-1]))):
+        if not holder[step]:
+            del holder[step]
 
 
-def _notes(doc: Column, names: list[Spelling]) -> Column:
-    """What a record says about each spelling."""
-    if not names:
-        return F.array().cast(SEEN)
-    one = [F.struct(F.lit(x.field).alias("field"), F.lit(x.raw_name).alias("raw_name"), json_type(_value(doc, x.raw_name)).alias("json_type")) for x in names]
-    return F.filter(F.array(*one), lambda x: x["json_type"].isNotNull())
+def _taker(target: dict[str, str], names: list[Spelling], literal: bool):
+    """A function from JSON text to a row of typed values, notes and the rest; literal: a dot is part of the name."""
+    paths = [(x, [x.raw_name] if literal else x.raw_name.split(".")) for x in names if x.field in target]
 
+    def take(text: str | None, filled: list[str] | None = None) -> dict:
+        doc = parse_object(text)
+        row: dict = {"readable": doc is not None, "seen": [], "rescued": None}
+        if doc is None:
+            return row
+        for x, path in paths:
+            v = _find(doc, path)
+            if v is None:
+                continue
+            row["seen"].append({"field": x.field, "raw_name": x.raw_name, "json_type": json_type(v)})
+            if row.get(x.field) is None and x.field not in (filled or ()) and (c := cast_value(v, target[x.field])) is not None:
+                row[x.field] = c
+                _remove(doc, path)
+        row["rescued"] = json.dumps(doc, ensure_ascii=False) if doc else None
+        return row
 
-def _typed(doc: Column, raw: str, kind: str) -> Column:
-    """The value cast to the column's type, or null; numbers in strings cast, a decimal only to an integer it equals."""
-    v = _value(doc, raw)
-    text = F.variant_get(v, "$", "string")
-    if kind in ("bigint", "long", "int"):
-        exact = F.variant_get(v, "$", "string").try_cast("decimal(38,10)")
-        return F.when(exact == F.floor(exact), exact.try_cast(kind))
-    return text if kind == "string" else text.try_cast(kind)
+    return take
 
 
-def _rest(doc: Column, taken: dict[str, Column]) -> Column:
-    """The document without the top-level fields whose value has been taken, as a JSON string; null if nothing is left."""
-    fields = doc.cast("map<string,variant>")
-    gone = F.filter(F.array(*[F.when(done, F.lit(k)) for k, done in taken.items()]), lambda x: x.isNotNull()) if taken else F.array().cast("array<string>")
-    left = F.map_filter(fields, lambda k, v: ~F.array_contains(gone, k))
-    return F.when(F.size(left) > 0, F.to_json(left))
+def _kind(target: dict[str, str]) -> str:
+    return "struct<" + ",".join([*[f"`{f}`:{k}" for f, k in target.items()], "readable:boolean", f"seen:{SEEN}", "rescued:string"]) + ">"
+
+
+def _arrow_type(target: dict[str, str]) -> pa.DataType:
+    of = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    seen = pa.list_(pa.struct([(c, pa.string()) for c in ("field", "raw_name", "json_type")]))
+    return pa.struct([*[(f, of[k]) for f, k in target.items()], ("readable", pa.bool_()), ("seen", seen), ("rescued", pa.string())])
+
+
+def _arrow(target: dict[str, str], names: list[Spelling], literal: bool) -> Callable:
+    take, kind = _taker(target, names, literal), _arrow_type(target)
+
+    @F.arrow_udf(_kind(target))
+    def run(text: pa.Array, filled: pa.Array) -> pa.Array:
+        return pa.array([take(x, f) for x, f in zip(text.to_pylist(), filled.to_pylist())], kind)
+
+    return run
 
 
 def ingest(df: DataFrame, payload: str, target: dict[str, str]) -> DataFrame:
-    """Add the target's typed columns, `readable`, `rescued` (JSON) and `seen` to the rows of df."""
+    """Add the target's typed columns (bigint, double, string or boolean), `readable`, `rescued` (JSON) and `seen`."""
     for c in [*target, "readable", "rescued", "seen"]:
         if c in df.columns:
             df = df.withColumnRenamed(c, f"{c}_in")
             payload = f"{payload}_in" if payload == c else payload
-    doc = F.try_parse_json(F.col(f"`{payload}`"))
-    df = df.withColumn("doc_", doc).withColumn("doc_", F.when(F.schema_of_variant("doc_").startswith("OBJECT"), F.col("doc_")))
-    d = F.col("doc_")
-    typed = {f: _typed(d, f, kind) for f, kind in target.items()}
-    out = df.select(
-        "*",
-        d.isNotNull().alias("readable"),
-        *[c.alias(f) for f, c in typed.items()],
-        _notes(d, [Spelling(f, f) for f in target]).alias("seen"),
-        _rest(d, {f: c.isNotNull() for f, c in typed.items()}).alias("rescued"),
-    )
-    return out.drop("doc_")
+    run = _arrow(target, [Spelling(f, f) for f in target], literal=True)
+    x = df.withColumn("x_", run(F.col(f"`{payload}`").cast("string"), F.array().cast("array<string>")))
+    return x.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"x_.`{c}`").alias(c) for c in [*target, "readable", "seen", "rescued"]])
 
 
 def promote(df: DataFrame, names: list[Spelling], target: dict[str, str]) -> DataFrame:
     """Replay the rescued values of approved spellings into the typed columns; the rescue keeps what still does not fit.
 
-    Where several spellings of a field hold values, the direct column wins, then the first spelling in order."""
-    names = [x for x in names if x.field in target]
-    df = df.withColumn("doc_", F.try_parse_json("rescued"))
-    d = F.col("doc_")
-    cols, taken = {}, {}
-    for f, kind in target.items():
-        options = [_typed(d, x.raw_name, kind) for x in names if x.field == f]
-        cols[f] = F.coalesce(F.col(f"`{f}`"), *options) if options else F.col(f"`{f}`")
-    for x in names:
-        if "." not in x.raw_name and x.raw_name != x.field:
-            taken[x.raw_name] = _typed(d, x.raw_name, target[x.field]).isNotNull()
-    keep = [c for c in df.columns if c not in target and c not in ("seen", "rescued", "doc_")]
-    notes = F.array_distinct(F.concat(F.coalesce("seen", F.array().cast(SEEN)), F.coalesce(_notes(d, names), F.array().cast(SEEN))))
-    return df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f) for f, c in cols.items()], notes.alias("seen"), _rest(d, taken).alias("rescued"))
+    A value that a column already holds stays and the other remains in the rescue; of several spellings in one record the first by name is taken. A spelling
+    equal to its field was tried at ingestion and is not tried again."""
+    run = _arrow(target, [x for x in names if x.raw_name != x.field], literal=False)
+    keep = [c for c in df.columns if c not in target and c not in ("seen", "rescued")]
+    filled = F.array_compact(F.array(*[F.when(F.col(f"`{f}`").isNotNull(), F.lit(f)) for f in target]))
+    x = df.withColumn("x_", run("rescued", filled))
+    notes = F.concat(F.coalesce("seen", F.array().cast(SEEN)), F.coalesce("x_.seen", F.array().cast(SEEN)))
+    typed = [F.coalesce(f"`{f}`", F.col(f"x_.`{f}`")).alias(f) for f in target]
+    return x.select(*[F.col(f"`{c}`") for c in keep], *typed, notes.alias("seen"), F.col("x_.rescued").alias("rescued"))
 
 
 def file_layouts(df: DataFrame, file: list[str]) -> DataFrame:

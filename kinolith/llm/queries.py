@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolith.llm import canonical, nearest, runs, sql, topn
+from kinolith.llm import bpe, canonical, knn, leaks, nearest, runs, sql, topn
 from kinolith.plans.evidence import speech_spans
 from kinolith.session import clean_id, latest, table
 
@@ -53,6 +53,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select("alignment_id", "event_ordinal", "source_span_index")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = knn.nearest_vectors(table(spark, d, "embedding_result"), "embedding_id", "vector", "model_name", "embedding_dim", 10, least=0.9)
+    pair = near.groupBy(F.least("embedding_id", "neighbour_id").alias("embedding_id_a"), F.greatest("embedding_id", "neighbour_id").alias("embedding_id_b")).agg(F.count("*").alias("n"))
+    return pair.filter("n = 2").drop("n")
+
+
+def p6_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of every vector whose number is divisible by 50, against all vectors."""
+    asks = F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 50 == 0
+    near = knn.nearest_vectors(table(spark, d, "embedding_result"), "embedding_id", "vector", "model_name", "embedding_dim", 10, queries=asks, probes=0.35)
+    return near.select("embedding_id", "neighbour_id", "rank_no", F.round("cosine", 5).alias("cosine"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_item").select("item_id", "text"))
+    return found.filter("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Verbatim and paraphrased leaks with their evidence."""
+    found = leaks.find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_item").select("item_id", "text"), cosine=0.9, paraphrases=True)
+    return found.withColumn("cosine", F.round("cosine", 4))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alikes(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -68,7 +96,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_runs, p5_found, p10_found, p10_classes, p10_texts)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_runs, p5_found, p6_found, p6_knn, p8_ids, p9_found, p9_leaks, p10_found, p10_classes, p10_texts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from kinolith.plans import evidence, evidence_sql
+from kinolith.plans import evidence, evidence_sql, retrieval, timeline
 
-MODULES = [evidence]
-SQL_MODULES = [evidence_sql]
+CATALOGS = [retrieval.CATALOG, timeline.CATALOG]
 
 
 def flagship(spark, d):
-    return evidence.p4_found(spark, d)
+    return retrieval.hybrid_rrf(spark, d)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.queries().items()}
+    return evidence.queries() | {k: f for m in CATALOGS for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in SQL_MODULES for k, s in m.SQL.items()}
+    return evidence_sql.SQL | {k: s for m in CATALOGS for k, s in m.SQL.items()}

@@ -6,7 +6,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY video_id, o ORDER BY x, t) k FRO
 h AS (SELECT *, lag(o) OVER w po, lag(x) OVER w px FROM g WHERE k = 1 WINDOW w AS (PARTITION BY video_id ORDER BY o)),
 i AS (SELECT *, sum(CASE WHEN o = po + 1 AND NOT isnan(x) AND NOT isnan(px) AND abs(x - px) <= 0.002 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY o) grp FROM h),
 s AS (SELECT video_id, min(o) first_frame_id, max(o) last_frame_id, count(*) n_frames, round(max(t) - min(t), 3) duration_ms
-      FROM i WHERE x < 1e300 GROUP BY video_id, grp)
+      FROM i WHERE isfinite(x) GROUP BY video_id, grp)
 """
 
 SQL = {

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinolith.plans import evidence, evidence_sql, retrieval, timeline
+from kinolith.plans import evidence, evidence_sql, ingest, retrieval, streams, timeline
 
-CATALOGS = [retrieval.CATALOG, timeline.CATALOG]
+CATALOGS = [retrieval.CATALOG, timeline.CATALOG, ingest.CATALOG, streams.CATALOG]
 
 
 def flagship(spark, d):

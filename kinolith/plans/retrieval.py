@@ -254,7 +254,7 @@ def page_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, result_no ORDER BY ingested_at DESC) k FROM search_response) WHERE k = 1)
-SELECT query_id, max(CASE WHEN isfinite(score) THEN score END) top_score, least(1.0, max(CASE WHEN isfinite(score) THEN score END) * 10)::DOUBLE confidence, bool_or(degraded) degraded,
+SELECT query_id, max(CASE WHEN isfinite(score) THEN score END) top_score, (CASE WHEN max(CASE WHEN isfinite(score) THEN score END) * 10 > 1 THEN 1.0 ELSE max(CASE WHEN isfinite(score) THEN score END) * 10 END)::DOUBLE confidence, bool_or(degraded) degraded,
   CASE WHEN bool_and(degraded) THEN 'failed' WHEN bool_or(degraded) THEN 'degraded' ELSE 'completed' END status FROM r GROUP BY 1""")
 def response_flags(spark: SparkSession, d: str) -> DataFrame:
     """Confidence of a ranking and status of a run from its rows."""

@@ -216,7 +216,7 @@ def cap_windows(spark: SparkSession, d: str) -> DataFrame:
     return temporal.cap_windows(_windows(spark, d), "video_id", 3, "q1_").select("video_id", "start_ms", "end_ms", "score", "ordinal", "window_id")
 
 
-@query(f"""WITH RECURSIVE {_FR}, p AS (SELECT video_id, original_frame_id f, row_number() OVER w n FROM fr WHERE scene_change_score BETWEEN 0.35 AND 1e30 {_V}),
+@query(f"""WITH RECURSIVE {_FR}, p AS (SELECT video_id, original_frame_id f, row_number() OVER w n FROM fr WHERE scene_change_score >= 0.35 AND isfinite(scene_change_score) {_V}),
 m AS (SELECT video_id, f, n, f last, true keep FROM p WHERE n = 1 UNION ALL SELECT p.video_id, p.f, p.n, CASE WHEN p.f - last >= 8 THEN p.f ELSE last END, p.f - last >= 8 FROM m JOIN p ON p.video_id = m.video_id AND p.n = m.n + 1)
 SELECT video_id, f original_frame_id FROM m WHERE keep""")
 def light_boundaries(spark: SparkSession, d: str) -> DataFrame:

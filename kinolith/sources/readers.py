@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinolith.session import stage
+
 FRAME_MAP = "n long, pts_time double, fps double, frame_idx long"
 
 
@@ -87,7 +89,7 @@ def read_frame_map(spark: SparkSession, path: str) -> DataFrame:
 def read_answers(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, broken rows with their text) of an answer CSV."""
     df = spark.read.schema(f"{schema}, _broken string").csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken", quote='"', escape='"')
-    rows = df.select("*")
+    rows = stage(df, "answers")  # Spark refuses to read the column of broken rows alone from raw files
     return rows.filter("_broken is null").drop("_broken"), rows.filter("_broken is not null").select("_broken")
 
 

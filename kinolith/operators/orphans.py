@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinolith.operators.skew import HOT_ROWS, hot_counts, salted_join
@@ -34,17 +34,19 @@ def _index(parents: DataFrame) -> DataFrame:
     return parents.filter(F.col("target_key").isNotNull()).groupBy(*KEY).agg(born.alias("born_at"), F.max("gone_at").alias("gone_at"))
 
 
-def _probe(refs: DataFrame, index: DataFrame, hot_rows: int) -> DataFrame:
-    """The state of each reference against an index of one row per parent."""
-    found = index.withColumn("found_", F.lit(True))
-    joined = salted_join(refs, found, KEY, "left", hot_counts(refs, KEY, hot_rows), F.xxhash64("ref_key", "ref_field"))
-    state = (
+def _state() -> Column:
+    """The state of a reference joined to its parent's row."""
+    return (
         F.when(F.col("found_").isNull(), "missing")
         .when(F.col("gone_at").isNotNull(), "deleted")
         .when(F.col("born_at") > F.col("ref_at"), "late")
         .otherwise("ok")
     )
-    return joined.select(*REF, state.alias("state"))
+
+
+def _meet(refs: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
+    """References with the row of their parent, if the index has one."""
+    return salted_join(refs, index.withColumn("found_", F.lit(True)), KEY, "left", hot, F.xxhash64("ref_key", "ref_field"))
 
 
 @dataclass
@@ -57,34 +59,30 @@ class OrphanStore:
     index: DataFrame | None = None
     snapshots: list[DataFrame] = field(default_factory=list)
 
-    def advance(self, refs: DataFrame | None = None, parents: DataFrame | None = None) -> "OrphanStore":
-        """Take in one delta of references and parent events (births and deletions), in any order."""
-        old_refs = self.refs if self.refs is not None else self.spark.createDataFrame([], REF_DDL)
+    def advance(self, refs: DataFrame | None = None, parents: DataFrame | None = None, hot: DataFrame | None = None) -> "OrphanStore":
+        """Take in one delta of references and parent events (births and deletions), in any order.
+
+        hot: keys to salt and their salts, if the caller has counted them."""
         first = self.refs is None
+        old = self.spark.createDataFrame([], REF_DDL) if first else self.refs
         delta = None
         if parents is not None:
             delta = _index(parents.select(*PARENT))
-            merged = delta if self.index is None else _index(self.index.unionByName(delta))
-            self.index = stage(merged, "parents")
+            self.index = stage(delta if self.index is None else _index(self.index.unionByName(delta)), "parents")
         index = self.index if self.index is not None else self.spark.createDataFrame([], PARENT_DDL)
-        parts = []
+        if hot is None:
+            known = old.select(*KEY) if refs is None else old.select(*KEY).unionByName(refs.select(*KEY))
+            hot = hot_counts(known, KEY, self.hot_rows)
+        out = old
+        if not first and delta is not None:  # references of the delta's parents change state, all others keep theirs
+            changed = index.join(delta.select(*KEY), KEY, "left_semi")
+            out = _meet(old, changed, hot).select(*REF, F.when(F.col("found_").isNull(), F.col("state")).otherwise(_state()).alias("state"))
         if refs is not None:
             new = refs.select(*REF).filter(F.col("target_key").isNotNull()).distinct()
             if not first:
-                new = new.join(old_refs.select(*REF), [c for c in REF if c != "ref_at"], "left_anti")
-            parts.append(_probe(new, index, self.hot_rows))
-        if not first:
-            if parents is None:
-                parts.append(old_refs)
-            else:
-                touched = salted_join(old_refs, delta.select(*KEY, F.lit(True).alias("touched_")), KEY, "left", hot_counts(old_refs, KEY, self.hot_rows), F.xxhash64("ref_key", "ref_field"))
-                touched = stage(touched, "touched")
-                again = touched.filter(F.col("touched_"))
-                parts.append(_probe(again, index.join(again.select(*KEY).distinct(), KEY, "left_semi"), self.hot_rows))
-                parts.append(touched.filter(F.col("touched_").isNull()).select(*REF, "state"))
-        out = parts[0] if parts else old_refs
-        for p in parts[1:]:
-            out = out.unionByName(p)
+                new = new.join(old, [c for c in REF if c != "ref_at"], "left_anti")
+            new = _meet(new, index, hot).select(*REF, _state().alias("state"))
+            out = new if first else out.unionByName(new)
         self.refs = stage(out, "refs")
         return self
 
@@ -112,17 +110,21 @@ def replay(spark: SparkSession, refs: DataFrame, parents: DataFrame, epochs: int
     store = OrphanStore(spark, hot_rows)
     if epochs <= 1 or lo is None:
         return store.advance(refs, parents)
+    hot = hot_counts(refs, KEY, hot_rows)
 
     def epoch(at):
         pos = F.floor((F.unix_micros(at) - F.lit(lo)) * epochs / F.lit(hi - lo + 1))
         return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(epochs - 1), pos)), F.lit(0))
 
-    births = parents.select("parent_table", "target_key", "born_at", F.lit(None).cast("timestamp").alias("gone_at"), epoch(F.col("born_at")).alias("epoch_"))
-    deaths = parents.filter(F.col("gone_at").isNotNull()).select("parent_table", "target_key", "born_at", "gone_at", epoch(F.col("gone_at")).alias("epoch_"))
+    still = parents.filter("born_at is null and gone_at is null")  # known from the start; never part of a later delta
+    timed = parents.filter("born_at is not null or gone_at is not null")
+    births = timed.select("parent_table", "target_key", "born_at", F.lit(None).cast("timestamp").alias("gone_at"), epoch(F.col("born_at")).alias("epoch_"))
+    deaths = timed.filter(F.col("gone_at").isNotNull()).select("parent_table", "target_key", "born_at", "gone_at", epoch(F.col("gone_at")).alias("epoch_"))
     dated = refs.withColumn("epoch_", epoch(F.col("ref_at")))
     events = births.unionByName(deaths)
     for e in range(epochs):
-        store.advance(dated.filter(F.col("epoch_") == e), events.filter(F.col("epoch_") == e))
+        delta = events.filter(F.col("epoch_") == e).select(*PARENT)
+        store.advance(dated.filter(F.col("epoch_") == e), delta if e else delta.unionByName(still.select(*PARENT)), hot)
     return store
 
 

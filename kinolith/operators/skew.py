@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolith.session import stage
+
 HOT_ROWS = 2_000_000
 
 
 def hot_counts(left: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys of `left` with more than hot_rows rows and the number of salts each needs.
 
-    At most rows/hot_rows keys come out, so the table stays small at any size; counts combine before the exchange."""
+    At most rows/hot_rows keys come out, so the table stays small at any size; counts combine before the exchange. It is
+    written once, so that the joins that use it do not count again."""
     n = left.groupBy(*on).agg(F.count("*").alias("n_"))
-    return n.filter(F.col("n_") > hot_rows).withColumn("salts_", F.ceil(F.col("n_") / hot_rows).cast("int")).drop("n_")
+    return stage(n.filter(F.col("n_") > hot_rows).withColumn("salts_", F.ceil(F.col("n_") / hot_rows).cast("int")).drop("n_"), "hot")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None, spread: Column | None = None) -> DataFrame:
     """Equi-join of a large `left` with a `right` that has few rows per key.
 
     Rows of `left` under a hot key are dealt to its salts, the key's `right` rows are copied once per salt; other keys
-    join as usual. Spark picks broadcast or sort-merge by the size it measures. Null keys match nothing. how: inner or left."""
+    join as usual, and without hot keys the whole join does. Spark picks broadcast or sort-merge by the size it measures.
+    Null keys match nothing. how: inner or left."""
     hot = hot if hot is not None else hot_counts(left, on)
+    if hot.isEmpty():
+        return left.join(right, on, how)
     spread = spread if spread is not None else F.xxhash64(*[F.col(f"`{c}`") for c, t in left.dtypes if not t.startswith("map")])
     a = left.join(hot, on, "left").withColumn("salt_", F.pmod(spread, F.coalesce("salts_", F.lit(1))).cast("int")).drop("salts_")
     b = right.join(hot, on, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")

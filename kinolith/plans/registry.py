@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinolith.plans import evidence, evidence_sql, ingest, retrieval, streams, timeline
+from kinolith.plans import checks, evidence, evidence_sql, ingest, retrieval, streams, timeline
 
-CATALOGS = [retrieval.CATALOG, timeline.CATALOG, ingest.CATALOG, streams.CATALOG]
+CATALOGS = [retrieval.CATALOG, timeline.CATALOG, ingest.CATALOG, streams.CATALOG, checks.CATALOG]
 
 
 def flagship(spark, d):

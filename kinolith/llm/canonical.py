@@ -114,15 +114,16 @@ def form_function() -> Callable[[str | None], str | None]:
     return form
 
 
-def consistent(text: str | Column) -> Column:
-    """The consistent form of a text column."""
+def consistent(text: str | Column, pushed: bool = True) -> Column:
+    """The consistent form of a text column. pushed=False keeps filters on it from being moved below, as each use there
+    would compute the form again."""
     form = form_function()
 
     @F.arrow_udf("string")
     def run(x: pa.Array) -> pa.Array:
         return pa.array([form(t) for t in x.to_pylist()], pa.string())
 
-    return run(F.col(text) if isinstance(text, str) else text)
+    return (run if pushed else run.asNondeterministic())(F.col(text) if isinstance(text, str) else text)
 
 
 def form_keys(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -130,7 +131,7 @@ def form_keys(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     Texts end here: everything later moves digests only."""
     form = F.col("form_")
-    keyed = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text_")).filter("text_ is not null").withColumn("form_", consistent("text_"))
+    keyed = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text_")).filter("text_ is not null").withColumn("form_", consistent("text_", pushed=False))
     keyed = keyed.filter(F.length(F.regexp_replace(form, r"[\s\x{85}\x{2028}\x{2029}]+", "")) > 0)
     return keyed.select("doc_id", F.unhex(F.md5(form)).alias("form_key"), F.unhex(F.md5("text_")).alias("text_key")).distinct()
 

@@ -47,3 +47,29 @@ def previous_in_entity(df: DataFrame, entity: list[str], order: str, value: Colu
     out = lagged.join(carried, [*entity, "blk_"], "left")
     prev = F.when(F.col("first_"), F.col("carry_")).otherwise(F.col("in_"))
     return out.withColumn(name, prev["val_"]).drop("blk_", "val_", "in_", "first_", "carry_")
+
+
+def running_in_entity(df: DataFrame, entity: list[str], order: str, value: Column, kind: str, name: str, block: int = 65_536, ties: list[str] | None = None) -> DataFrame:
+    """A running value over entity by `order`, block by block: no task sorts a whole entity.
+
+    kind: `last` (last value that is not null, up to the row), `next` (first from the row on), `max` and `sum` (up to the
+    row), `before` (maximum of the rows before the row). Within a block it is a plain window; what earlier (for `next`:
+    later) blocks add comes from one row per block. ties: further columns that fix the order of rows with equal `order`."""
+    d = df.withColumn("blk_", F.floor(F.col(order) / block)).withColumn("val_", value)
+    by = [F.col(c) for c in [order, *(ties or [])]]
+    inside = Window.partitionBy(*entity, "blk_").orderBy(*by)
+    blocks = Window.partitionBy(*entity).orderBy("blk_")
+    upto, rest = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    place = F.struct(*by)
+    held = F.when(F.col("val_").isNotNull(), F.struct("val_"))
+    edge, here, carry, both = {
+        "last": lambda: (F.max_by(held, F.when(held.isNotNull(), place)), F.last("val_", ignorenulls=True).over(upto), F.last("edge_", ignorenulls=True).over(earlier)["val_"], lambda a, b: F.coalesce(a, b)),
+        "next": lambda: (F.min_by(held, F.when(held.isNotNull(), place)), F.first("val_", ignorenulls=True).over(rest), F.first("edge_", ignorenulls=True).over(later)["val_"], lambda a, b: F.coalesce(a, b)),
+        "max": lambda: (F.max("val_"), F.max("val_").over(upto), F.max("edge_").over(earlier), lambda a, b: F.greatest(a, b)),
+        "before": lambda: (F.max("val_"), F.max("val_").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.max("edge_").over(earlier), lambda a, b: F.greatest(a, b)),
+        "sum": lambda: (F.sum("val_"), F.sum("val_").over(upto), F.sum("edge_").over(earlier), lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    }[kind]()
+    edges = d.groupBy(*entity, "blk_").agg(edge.alias("edge_")).withColumn("carry_", carry).drop("edge_")
+    out = d.withColumn("here_", here).join(edges, [*entity, "blk_"], "left")
+    return out.withColumn(name, both(F.col("here_"), F.col("carry_"))).drop("blk_", "val_", "here_", "carry_")

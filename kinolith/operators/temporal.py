@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolith.operators.skew import previous_in_entity, running_in_entity
+
 
 def stab(spans: DataFrame, points: DataFrame, entity: str, start: str, end: str, at: str, block: int = 10_000, closed: bool = False) -> DataFrame:
     """Pairs of point and span with start <= t < end (<= if closed), as an equi-join over blocks of time.
@@ -44,11 +46,11 @@ def neighbours(frames: DataFrame, targets: DataFrame, entity: str, at: str, cent
     return near.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(at))).drop("n_")
 
 
-def islands(df: DataFrame, entity: str, at: str, reach: float | Column) -> DataFrame:
+def islands(df: DataFrame, entity: str, at: str, reach: float | Column, block: int = 600_000) -> DataFrame:
     """Adds island_: rows of an entity whose times follow each other within the reach."""
-    w = Window.partitionBy(entity).orderBy(at)
-    gap = F.col(at) - F.lag(at).over(w)
-    return df.withColumn("new_", F.when(gap.isNull() | (gap > reach), 1).otherwise(0)).withColumn("island_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+    gap = F.col(at) - F.col("before_")
+    d = previous_in_entity(df, [entity], at, F.col(at), "before_", block).withColumn("new_", F.when(gap.isNull() | (gap > reach), 1).otherwise(0)).withColumn("tie_", -F.col("new_"))
+    return running_in_entity(d, [entity], at, F.col("new_"), "sum", "island_", block, ["tie_"]).drop("new_", "before_", "tie_")  # of equal times the opening row comes first
 
 
 def suppress_near(df: DataFrame, entity: str, at: str, score: str, frame: str, start: str, window_ms: int) -> DataFrame:
@@ -73,11 +75,12 @@ def spaced_boundaries(df: DataFrame, entity: str, at: str, least: int) -> DataFr
     return lists.select(entity, F.explode(kept).alias(at))
 
 
-def merge_windows(hits: DataFrame, entity: str, start: str, end: str, gap: int, score: str, peak: str) -> DataFrame:
+def merge_windows(hits: DataFrame, entity: str, start: str, end: str, gap: int, score: str, peak: str, block: int = 600_000) -> DataFrame:
     """Windows merged while start <= running end + gap: bounds, members, best score and its first frame."""
-    w = Window.partitionBy(entity).orderBy(start, end, peak)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    m = hits.withColumn("new_", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)).withColumn("grp_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [end, peak, score]
+    m = running_in_entity(hits, [entity], start, F.col(end), "before", "reach_", block, order)
+    m = m.withColumn("new_", F.when(F.col("reach_").isNull() | (F.col(start) > F.col("reach_") + gap), 1).otherwise(0))
+    m = running_in_entity(m, [entity], start, F.col("new_"), "sum", "grp_", block, order)
     best = F.struct(F.coalesce(score, F.lit(float("-inf"))).alias("s"), (-F.col(start)).alias("a"), (-F.col(peak)).alias("p"))
     out = m.groupBy(entity, "grp_").agg(F.min(start).alias("start_ms"), F.max(end).alias("end_ms"), F.count("*").alias("n_members"), F.max(score).alias("score"), F.max_by(peak, best).alias("peak_frame"))
     return out.drop("grp_")

@@ -1,34 +1,40 @@
-"""The frame timeline: signals, clocks, shots, sampling and checks. All windows are per video over slim columns."""
+"""The frame timeline: signals, clocks, shots, sampling and checks.
+
+Order-dependent values come from the blocked forms of `skew`: a video is cut into blocks of frame ids, so a video with most
+of the rows is spread over many tasks. Frames must be distinct in (video_id, original_frame_id)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolith.operators.skew import previous_in_entity, running_in_entity
+
 
-def by_frame():
-    """The window of a video's frames in order."""
-    return Window.partitionBy("video_id").orderBy("original_frame_id")
+VIDEO, FRAME = ["video_id"], "original_frame_id"
 
 
 def change_signals(frames: DataFrame, value: str) -> DataFrame:
     """Absolute change against the previous frame, 0 for the first; scene change as min(1, motion / 64)."""
-    motion = F.coalesce(F.abs(F.col(value) - F.lag(value).over(by_frame())), F.lit(0.0))
-    return frames.withColumn("motion", motion).withColumn("scene", F.least(F.lit(1.0), F.col("motion") / 64))
+    f = previous_in_entity(frames, VIDEO, FRAME, F.col(value), "before_")
+    motion = F.coalesce(F.abs(F.col(value) - F.col("before_")), F.lit(0.0))
+    return f.withColumn("motion", motion).withColumn("scene", F.least(F.lit(1.0), F.col("motion") / 64)).drop("before_")
 
 
 def neighbour_average(frames: DataFrame, value: str) -> DataFrame:
     """Mean of the pair values before and after a frame (those that exist)."""
-    pair = F.abs(F.col(value) - F.lag(value).over(by_frame()))
-    f = frames.withColumn("pair_", pair)
-    return f.withColumn("motion_avg", F.avg("pair_").over(by_frame().rowsBetween(0, 1))).drop("pair_")
+    f = previous_in_entity(frames, VIDEO, FRAME, F.col(value), "a_").withColumn("pair_", F.abs(F.col(value) - F.col("a_")))
+    back = f.withColumn("back_", -F.col(FRAME))
+    g = previous_in_entity(back, VIDEO, "back_", F.col("pair_"), "after_")  # the pair of the following frame
+    mean = F.when(F.col("pair_").isNull(), F.col("after_")).when(F.col("after_").isNull(), F.col("pair_")).otherwise((F.col("pair_") + F.col("after_")) / 2)
+    return g.withColumn("motion_avg", mean).drop("a_", "pair_", "back_", "after_")
 
 
 def minmax(df: DataFrame, value: str, partition: list[str], name: str) -> DataFrame:
-    """Scaled to 0..1 in its partition; a constant gives 0."""
-    w = Window.partitionBy(*partition)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(name, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0)))
+    """Scaled to 0..1 in its partition; a constant gives 0. The bounds combine before the exchange and join back."""
+    bounds = df.groupBy(*partition).agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
+    d = df.join(bounds, partition)
+    return d.withColumn(name, F.when(F.col("high_") > F.col("low_"), (F.col(value) - F.col("low_")) / (F.col("high_") - F.col("low_"))).otherwise(F.lit(0.0))).drop("low_", "high_")
 
 
 def clock(frames: DataFrame) -> DataFrame:
@@ -51,25 +57,28 @@ def pts_origin(frames: DataFrame) -> DataFrame:
 
 def interpolate(frames: DataFrame, value: str, name: str) -> DataFrame:
     """Missing values on the line between their known neighbours; the ends hold the nearest known value."""
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("original_frame_id").alias("i"), F.col(value).alias("v")))
-    f = frames.withColumn("a_", F.last(known, ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0))).withColumn("b_", F.first(known, ignorenulls=True).over(by_frame().rowsBetween(0, Window.unboundedFollowing)))
-    line = F.col("a_.v") + (F.col("b_.v") - F.col("a_.v")) * (F.col("original_frame_id") - F.col("a_.i")) / F.nullif(F.col("b_.i") - F.col("a_.i"), F.lit(0))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(FRAME).alias("i"), F.col(value).alias("v")))
+    f = running_in_entity(frames, VIDEO, FRAME, known, "last", "a_")
+    f = running_in_entity(f, VIDEO, FRAME, known, "next", "b_")
+    line = F.col("a_.v") + (F.col("b_.v") - F.col("a_.v")) * (F.col(FRAME) - F.col("a_.i")) / F.nullif(F.col("b_.i") - F.col("a_.i"), F.lit(0))
     return f.withColumn(name, F.coalesce(F.col(value), line, F.col("a_.v"), F.col("b_.v"))).drop("a_", "b_")
 
 
 def last_key_frame(frames: DataFrame) -> DataFrame:
     """The codec keyframe at or before each frame."""
-    key = F.when(F.col("is_codec_keyframe"), F.col("original_frame_id"))
-    return frames.withColumn("key_frame_id", F.last(key, ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, 0)))
+    return running_in_entity(frames, VIDEO, FRAME, F.when(F.col("is_codec_keyframe"), F.col(FRAME)), "last", "key_frame_id")
 
 
 def shots(frames: DataFrame, value: str, threshold: float) -> DataFrame:
-    """Shots from cut probabilities: each maximal run above the threshold gives one boundary at its middle (s+e+1)//2."""
-    pos = frames.withColumn("i_", F.row_number().over(by_frame()) - 1).withColumn("hard_", F.coalesce(F.col(value) > threshold, F.lit(False)))
-    w = Window.partitionBy("video_id").orderBy("i_")
-    run = pos.withColumn("new_", F.when(F.col("hard_") & ~F.coalesce(F.lag("hard_").over(w), F.lit(False)), 1).otherwise(0)).withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cuts = run.filter("hard_").groupBy("video_id", "run_").agg(F.floor((F.min("i_") + F.max("i_") + 1) / 2).alias("start_frame"))
-    n = pos.groupBy("video_id").agg(F.count("*").alias("n_frames"))
+    """Shots from cut probabilities: each maximal run above the threshold gives one boundary at its middle (s+e+1)//2.
+
+    Only frames above the threshold go on to the runs, and one row per shot to the last window."""
+    pos = running_in_entity(frames.select("video_id", FRAME, value), VIDEO, FRAME, F.lit(1), "sum", "i_").withColumn("i_", F.col("i_") - 1)
+    hard = pos.filter(F.coalesce(F.col(value) > threshold, F.lit(False))).select("video_id", "i_")
+    run = previous_in_entity(hard, VIDEO, "i_", F.col("i_"), "p_").withColumn("new_", F.when(F.col("p_") + 1 == F.col("i_"), 0).otherwise(1))
+    run = running_in_entity(run, VIDEO, "i_", F.col("new_"), "sum", "run_")
+    cuts = run.groupBy("video_id", "run_").agg(F.floor((F.min("i_") + F.max("i_") + 1) / 2).alias("start_frame"))
+    n = frames.groupBy("video_id").agg(F.count("*").alias("n_frames"))
     starts = cuts.select("video_id", "start_frame").unionByName(n.select("video_id", F.lit(0).cast("long").alias("start_frame"))).distinct()
     starts = starts.join(n, "video_id").filter("start_frame < n_frames")
     w2 = Window.partitionBy("video_id").orderBy("start_frame")
@@ -132,12 +141,12 @@ def weighted_choice(df: DataFrame, group: list[str], weights: dict[str, float])
 
 def timeline_violations(frames: DataFrame) -> DataFrame:
     """Rows that break a timeline: an id that is not its position, a time that goes back, a pts that comes twice."""
-    w = Window.partitionBy("video_id").orderBy("original_frame_id", "decoded_frame_index")
-    first = F.min("original_frame_id").over(Window.partitionBy("video_id"))
-    f = frames.withColumn("position", F.row_number().over(w) - 1 + first).withColumn("back", F.col("timestamp_ms") < F.lag("timestamp_ms").over(w))
-    f = f.withColumn("twice", F.count("pts").over(Window.partitionBy("video_id", "pts")) > 1)
-    kinds = F.array_compact(F.array(F.when(F.col("position") != F.col("original_frame_id"), "position"), F.when(F.col("back"), "time"), F.when(F.col("twice"), "pts")))
-    return f.select("video_id", "original_frame_id", F.explode(kinds).alias("violation"))
+    first = frames.groupBy("video_id").agg(F.min(FRAME).alias("first_"))
+    twice = frames.filter("pts is not null").groupBy("video_id", "pts").agg(F.count("*").alias("same_"))
+    f = running_in_entity(frames, VIDEO, FRAME, F.lit(1), "sum", "nth_", ties=["decoded_frame_index"])
+    f = previous_in_entity(f, VIDEO, FRAME, F.col("timestamp_ms"), "before_").join(first, "video_id").join(twice, ["video_id", "pts"], "left")
+    kinds = F.array_compact(F.array(F.when(F.col("nth_") - 1 + F.col("first_") != F.col(FRAME), "position"), F.when(F.col("timestamp_ms") < F.col("before_"), "time"), F.when(F.col("same_") > 1, "pts")))
+    return f.select("video_id", FRAME, F.explode(kinds).alias("violation"))
 
 
 def shot_violations(table: DataFrame) -> DataFrame:
@@ -151,6 +160,5 @@ def coverage(keyframes: DataFrame, videos: DataFrame, limit_s: float = 10.0) ->
     """Per video the widest gap between kept times (both ends count) and the gaps beyond the limit."""
     edges = videos.select("video_id", F.explode(F.array(F.lit(0.0), F.col("duration_s"))).alias("t"))
     all_ = keyframes.select("video_id", "t").join(videos.select("video_id"), "video_id", "left_semi").unionByName(edges)
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("video_id").orderBy("t"))
-    g = all_.withColumn("gap", gap)
-    return g.groupBy("video_id").agg(F.round(F.max("gap"), 2).alias("max_gap_s"), F.sum(F.when(F.col("gap") > limit_s, 1).otherwise(0)).alias("n_wide"))
+    g = previous_in_entity(all_, VIDEO, "t", F.col("t"), "p_", block=3600).withColumn("gap", F.col("t") - F.col("p_"))
+    return g.groupBy("video_id").agg(F.round(F.max("gap"), 2).alias("max_gap_s"), F.sum(F.when(F.col("gap") > limit_s, 1).otherwise(0)).alias("n_wide"))
\ No newline at end of file

@@ -207,15 +207,14 @@ class ItemIndex:
         return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
-def run_length(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """Words in a row that a around i and b around j have in common; a[i] == b[j]."""
-    n = 1
-    while i - n >= 0 and j - n >= 0 and a[i - n] == b[j - n]:
-        n += 1
-    m = 1
-    while i + m < len(a) and j + m < len(b) and a[i + m] == b[j + m]:
-        m += 1
-    return n + m - 1
+def common_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
+    """Start and end in a of the words in a row that a around i and b around j have in common; a[i] == b[j]."""
+    start, end = i, i + 1
+    while start > 0 and j - (i - start) > 0 and a[start - 1] == b[j - (i - start) - 1]:
+        start -= 1
+    while end < len(a) and j + end - i < len(b) and a[end] == b[j + end - i]:
+        end += 1
+    return start, end
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -228,37 +227,42 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def _matches(index: ItemIndex, idf: np.ndarray, paraphrases: bool, share: float, kind: pa.DataType):
+@dataclass
+class Evidence:
+    """What a document holds of an item; shift and end tell which run is known already."""
+
+    kind: str
+    n: int
+    cosine: float
+    shift: int = 0
+    end: int = -1
+
+
+def _matches(index: ItemIndex, idf: np.ndarray, paraphrases: bool, share: float):
     """Documents with the items they hold: verbatim runs, and paraphrases if asked for."""
     names = ["doc_id", "item_id", "kind", "n_words", "cosine"]
+    w = np.arange(PASSAGE)
 
-    def verbatim(flat, doc_at, sizes, row, start, z, found):
-        doc, item, cos = index.candidates(z)
+    def check(flat: np.ndarray, doc_at: np.ndarray, sizes: np.ndarray, row: np.ndarray, start: np.ndarray, found: dict[tuple[int, int], Evidence]) -> None:
+        doc, item, cos = index.candidates(index.space.vectors(flat, start))
         if not len(doc):
             return
-        w = np.arange(PASSAGE)
         same = (flat[start[doc][:, None] + w] == index.words[index.starts[item][:, None] + w]).all(axis=1)
         for d, q, c in zip(doc[same], item[same], cos[same]):
-            r, i = row[d], index.row[q]
-            key = (int(r), int(i))
-            held = found.get(key)
-            a, b = flat[doc_at[r] : doc_at[r] + sizes[r]], index.words[index.first[i] : index.first[i] + index.sizes[i]]
+            r, i = int(row[d]), int(index.row[q])
+            held = found.get((r, i))
             p, s = int(start[d] - doc_at[r]), int(index.starts[q] - index.first[i])
-            if held and held[0] == "verbatim" and held[2] <= p - s < held[2] + 1 and p + PASSAGE <= held[3]:
-                continue  # this passage lies in the run that is known
-            n = run_length(a, p, b, s)
-            if n >= RUN and (not held or held[0] != "verbatim" or n > held[1]):
-                end = p
-                while end + 1 < len(a) and s + end + 1 - p < len(b) and a[end + 1] == b[s + end + 1 - p]:
-                    end += 1
-                found[key] = ("verbatim", n, p - s, end + 1, float(c))
+            if held and held.kind == "verbatim" and held.shift == p - s and p < held.end:
+                continue  # a passage of the run that is known
+            a, z = common_run(flat[doc_at[r] : doc_at[r] + sizes[r]], p, index.words[index.first[i] : index.first[i] + index.sizes[i]], s)
+            if z - a >= RUN and not (held and held.kind == "verbatim" and held.n >= z - a):
+                found[r, i] = Evidence("verbatim", z - a, float(c), p - s, z)
         if not paraphrases:
             return
         for d, q, c in zip(doc[~same], item[~same], cos[~same]):
-            r, i = row[d], index.row[q]
-            key = (int(r), int(i))
-            held = found.get(key)
-            if held and (held[0] == "verbatim" or held[4] >= c):
+            r, i = int(row[d]), int(index.row[q])
+            held = found.get((r, i))
+            if held and (held.kind == "verbatim" or held.cosine >= c):
                 continue
             p, s = int(start[d] - doc_at[r]), int(index.starts[q] - index.first[i])
             b = index.words[index.first[i] : index.first[i] + index.sizes[i]][max(0, s - PASSAGE) : s + 2 * PASSAGE]
@@ -268,23 +272,23 @@ def _matches(index: ItemIndex, idf: np.ndarray, paraphrases: bool, share: float,
                 weight = idf[bins(b)]
                 answer = set(b[weight >= np.quantile(weight, 0.75)].tolist())  # the passage's rarest words
                 if len(answer & set(a.tolist())) >= share * len(answer):
-                    found[key] = ("paraphrase", n, 0, 0, float(c))
+                    found[r, i] = Evidence("paraphrase", n, float(c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, sizes = _flat(b, 1)
-            row, start = passages(np.where(sizes >= RUN, sizes, 0), STRIDE)
             doc_at = np.cumsum(sizes) - sizes
-            start = doc_at[row] + start - (np.cumsum(np.where(sizes >= RUN, sizes, 0)) - np.where(sizes >= RUN, sizes, 0))[row]
-            found: dict[tuple, tuple] = {}
+            row, start = passages(sizes, STRIDE)
+            long_ = sizes[row] >= RUN
+            row, start = row[long_], start[long_]
+            found: dict[tuple[int, int], Evidence] = {}
             for a in range(0, len(start), SLICE):
-                cut = slice(a, a + SLICE)
-                verbatim(flat, doc_at, sizes, row[cut], start[cut], index.space.vectors(flat, start[cut]), found)
+                check(flat, doc_at, sizes, row[a : a + SLICE], start[a : a + SLICE], found)
             if found:
-                keys = list(found)
-                docs = b.column(0).take(pa.array([k[0] for k in keys]))
-                items = pa.array([int(index.ids[k[1]]) for k in keys], pa.int64())
-                yield pa.RecordBatch.from_arrays([docs, items, pa.array([found[k][0] for k in keys]), pa.array([found[k][1] for k in keys], pa.int32()), pa.array([found[k][4] for k in keys])], names)
+                docs = b.column(0).take(pa.array([r for r, _ in found]))
+                items = pa.array([int(index.ids[i]) for _, i in found], pa.int64())
+                kinds, n = pa.array([e.kind for e in found.values()]), pa.array([e.n for e in found.values()], pa.int32())
+                yield pa.RecordBatch.from_arrays([docs, items, kinds, n, pa.array([e.cosine for e in found.values()])], names)
 
     return run
 
@@ -307,6 +311,6 @@ def find_leaks(
     words = stage(texts.select("doc_id", word_hashes("text_").alias("words")), "words")
     idf = inverse_frequencies(words)
     index = ItemIndex(latent_space(words, idf), [i for i, _ in held], [w for _, w in held], cosine)
-    out = words.mapInArrow(_matches(index, idf, paraphrases, share, None), f"doc_id {kind}, item_id long, kind string, n_words int, cosine double")
+    out = words.mapInArrow(_matches(index, idf, paraphrases, share), f"doc_id {kind}, item_id long, kind string, n_words int, cosine double")
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("kind") == "verbatim", "n_words", "cosine", "kind")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.kind").alias("kind"), F.col("x.n_words").alias("n_words"), F.col("x.cosine").alias("cosine"))

@@ -36,6 +36,7 @@ LIST_ROWS, MAX_LISTS, SAMPLE = 1024, 2048, 32
 SPILL, MARGIN = 6, 0.05
 COLUMNS, EPSILON = 16, 2.1
 BLOCK_ROWS = 8192
+QUERIES, FIRST = 256, 256
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -71,11 +72,16 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, reach: np.ndarray, columns: int
 def nearest_in_list(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, least: float, step: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, x row, cosine) of the k best of each query with a cosine of at least `least`; ids rank ties and differ.
 
-    The list is scanned in steps, and what a query has found so far tightens its test for the next step."""
+    The k-th best among the first rows of the list bounds a query's test from the start; then the list is scanned in
+    steps, and what a query has found so far tightens its test for the next step."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(q), 1024):
-        part, ids = q[a : a + 1024], q_id[a : a + 1024]
+    for a in range(0, len(q), QUERIES):
+        part, ids = q[a : a + QUERIES], q_id[a : a + QUERIES]
         reach = np.full(len(part), 2 - 2 * least)
+        if len(x) > FIRST > k:
+            near = part @ x[:FIRST].T
+            near[ids[:, None] == x_id[None, :FIRST]] = -2
+            reach = np.minimum(reach, 2 - 2 * np.partition(near, FIRST - k, axis=1)[:, FIRST - k].astype(float) + 1e-5)
         r = c = np.zeros(0, np.int64)
         s = np.zeros(0)
         for b in range(0, len(x), step):

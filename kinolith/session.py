@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = tempfile.mkdtemp(prefix="kinolith-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
@@ -56,6 +59,12 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_stages(spark: SparkSession) -> None:
+    """Delete all staged tables of this application's shared folder; only once no frame that reads them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/kinolith")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean_id(c: str | Column) -> Column:
     """A video id in its one spelling: trimmed of any blanks, upper case."""
     c = F.col(c) if isinstance(c, str) else c

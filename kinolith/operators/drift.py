@@ -73,13 +73,14 @@ def json_type(v: object) -> str:
 
 
 def cast_value(v: object, kind: str) -> object:
-    """The value in the column's type, or None: numbers in strings cast, a decimal only to an integer it equals."""
+    """The value in the column's type, or None: numbers in strings cast, a decimal only to an integer it equals, 0 and 1 to booleans."""
     if isinstance(v, (dict, list)):
         return None
     if kind == "string":
         return v if isinstance(v, str) else json.dumps(v)
     if kind == "boolean":
-        return v if isinstance(v, bool) else {"true": True, "false": False}.get(v.strip().lower()) if isinstance(v, str) else None
+        known = {"true": True, "false": False, "1": True, "0": False}
+        return known.get(json.dumps(v) if not isinstance(v, str) else v.strip().lower())
     if isinstance(v, bool):
         return None
     try:

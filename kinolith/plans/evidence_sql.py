@@ -44,7 +44,18 @@ pair AS (SELECT f.file_id, h.field_name, h.raw_name now_raw, h.t now_t, NULL was
 x AS (SELECT file_id, field_name, max(now_raw) nr, max(now_t) nt, max(was_raw) wr, max(was_t) wt FROM pair GROUP BY ALL)
 """
 
+_INTEGERS = ["n_after_cosine", "n_frames_manifest", "n_frames_raw_est", "n_shots", "n_candidates", "n_after_quality", "n_after_phash", "n_keyframes"]
+_CASTS = {f: f"CASE WHEN try_cast({{t}} AS DECIMAL(38, 10)) = floor(try_cast({{t}} AS DECIMAL(38, 10))) THEN try_cast(try_cast({{t}} AS DECIMAL(38, 10)) AS BIGINT) END" for f in _INTEGERS} | {
+    "duration_s": "try_cast({t} AS DOUBLE)", "elapsed_s": "try_cast({t} AS DOUBLE)", "fps": "{t}", "sbd_method": "{t}", "embedded": "try_cast({t} AS BOOLEAN)",
+}
+_FIELDS = ", ".join(c.format(t=f"max(t) FILTER (field_name = '{f}')") + f" AS {f}" for f, c in _CASTS.items())
+
 SQL = {
+    "p7_typed": f"""WITH r AS (SELECT DISTINCT file_id, record_no, CASE WHEN payload <> '' THEN try_cast(payload AS JSON) END j FROM stats_raw),
+        names AS (SELECT field_name, '$."' || replace(raw_name, '.', '"."') || '"' path FROM stats_names),
+        v AS (SELECT file_id, record_no, field_name, json_extract_string(j, path) t FROM r, names WHERE json_type(j) = 'OBJECT' AND json_type(j, path) <> 'NULL'),
+        p AS (SELECT file_id, record_no, {_FIELDS} FROM v GROUP BY 1, 2)
+        SELECT r.file_id, r.record_no, coalesce(json_type(j) = 'OBJECT', false) readable, p.* EXCLUDE (file_id, record_no) FROM r LEFT JOIN p USING (file_id, record_no)""",
     "p1_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_key, ref_field, target_key FROM refs WHERE state <> 'ok'",
     "p1_counts": f"""WITH {_REFS} SELECT ref_table, ref_field, strftime(ref_at, '%Y-%m') period, count(*) n_refs,
         count(*) FILTER (state = 'missing') n_missing, count(*) FILTER (state = 'deleted') n_deleted, count(*) FILTER (state = 'late') n_late

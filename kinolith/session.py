@@ -51,17 +51,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/kinolith-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/kinolith/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release_stages(spark: SparkSession) -> None:
-    """Delete all staged tables of this application's shared folder; only once no frame that reads them is used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/kinolith")
+    """Delete all staged tables of this application; only once no frame that reads them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

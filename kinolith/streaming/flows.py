@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinolith.operators.orphans import OrphanStore
-from kinolith.session import shared_dir
+from kinolith.session import own_dir
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
@@ -66,7 +66,7 @@ def keep_spaced(df: DataFrame, key: str, at: str, least: int) -> DataFrame:
 def run_to_table(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there (availableNow) into a table of the shared folder and return the table."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark).rstrip('/')}/kinolith/stream-{uuid.uuid4().hex}"
+    root = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{root}/state")
     if mode == "append":
         query = writer.format("parquet").option("path", f"{root}/out").start()

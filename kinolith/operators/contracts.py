@@ -77,3 +77,35 @@ def reading_order(boxes: str | Column) -> Column:
     ok = F.filter(p, lambda q: F.size(q) >= 3)
     keyed = F.transform(ok, lambda q: F.struct(F.array_min(F.transform(q, lambda c: c[1])).alias("y"), F.array_min(F.transform(q, lambda c: c[0])).alias("x"), q.alias("q")))
     return F.transform(F.array_sort(keyed), lambda s: s["q"])
+
+
+def normal_source_map(df: DataFrame, names: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations) of a map from keyframes to source frames: columns found under any of their names, cast to numbers.
+
+    names: column -> names it may have; the first that exists is taken. A row with a null number is a violation."""
+    of = {c: next((F.col(x) for x in options if x in df.columns), F.lit(None)) for c, options in names.items()}
+    d = df.select(*[(v.cast("string") if c == "video_id" else v.cast("string").try_cast("long")).alias(c) for c, v in of.items()])
+    bad = F.lit(False)
+    for c in names:
+        bad = bad | F.col(c).isNull()
+    return d.filter(~bad), d.filter(bad)
+
+
+def dense_candidates(df: DataFrame, key: list[str], quality: list[str], evidence: list[str]) -> DataFrame:
+    """Candidates with their signals as structs."""
+    return df.select(*key, F.struct(*quality).alias("quality_scores"), F.struct(*evidence).alias("evidence"))
+
+
+def match_by_clock(decoded: DataFrame, manifest: DataFrame, entity: str, pts: str, order: str) -> DataFrame:
+    """Decoded rows with their manifest row: by a pts that is unique on both sides, else by place in decode order.
+
+    Result: entity, decoded_at and manifest_at (the order columns) and how (pts or order)."""
+    unique = lambda x: x.filter(F.col(pts).isNotNull()).groupBy(entity, pts).agg(F.count("*").alias("n_"), F.min(order).alias("o_")).filter("n_ = 1").drop("n_")
+    a = unique(decoded).withColumnRenamed("o_", "decoded_at")
+    b = unique(manifest).withColumnRenamed("o_", "manifest_at")
+    by_pts = a.join(b, [entity, pts]).select(entity, "decoded_at", "manifest_at", F.lit("pts").alias("how"))
+    open_a = decoded.select(entity, F.col(order).alias("decoded_at")).join(by_pts.select(entity, "decoded_at"), [entity, "decoded_at"], "left_anti")
+    open_b = manifest.select(entity, F.col(order).alias("manifest_at")).join(by_pts.select(entity, "manifest_at"), [entity, "manifest_at"], "left_anti")
+    place = lambda x, c: x.withColumn("i_", F.row_number().over(Window.partitionBy(entity).orderBy(c)))
+    by_order = place(open_a, "decoded_at").join(place(open_b, "manifest_at"), [entity, "i_"]).select(entity, "decoded_at", "manifest_at", F.lit("order").alias("how"))
+    return by_pts.unionByName(by_order)

@@ -98,3 +98,18 @@ def shot_sample_times(spark: SparkSession, d: str) -> DataFrame:
     s = timeline.shots(frames(spark, d, "scene_change_score"), "scene_change_score", 0.9)
     t = timeline.shot_targets(F.col("start_frame") / 25.0, (F.col("end_frame") + 1) / 25.0)
     return s.select("video_id", "shot_id", F.explode(t).alias("t")).withColumn("t", F.round("t", 3))
+
+
+@query("""WITH f AS (SELECT DISTINCT video_id, original_frame_id o, pts FROM frame_manifest WHERE original_frame_id IS NOT NULL), a AS (SELECT video_id, o, CASE WHEN o % 11 = 0 THEN NULL ELSE pts END pts FROM f),
+ua AS (SELECT video_id, pts, min(o) decoded_at FROM a WHERE pts IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1), ub AS (SELECT video_id, pts, min(o) manifest_at FROM f WHERE pts IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1),
+p AS (SELECT video_id, decoded_at, manifest_at, 'pts' how FROM ua JOIN ub USING (video_id, pts)),
+oa AS (SELECT video_id, o decoded_at, row_number() OVER (PARTITION BY video_id ORDER BY o) i FROM a WHERE (video_id, o) NOT IN (SELECT video_id, decoded_at FROM p)),
+ob AS (SELECT video_id, o manifest_at, row_number() OVER (PARTITION BY video_id ORDER BY o) i FROM f WHERE (video_id, o) NOT IN (SELECT video_id, manifest_at FROM p)),
+m AS (SELECT * FROM p UNION ALL SELECT video_id, decoded_at, manifest_at, 'order' FROM oa JOIN ob USING (video_id, i))
+SELECT video_id, how, count(*) n, count(*) FILTER (decoded_at = manifest_at) n_same FROM m GROUP BY 1, 2""")
+def clock_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded frames against the manifest by pts, and by decode order where the pts is missing or not unique."""
+    f = frames(spark, d, "pts")
+    decoded = f.withColumn("pts", F.when(F.pmod("original_frame_id", F.lit(11)) != 0, F.col("pts")))
+    m = contracts.match_by_clock(decoded, f, "video_id", "pts", "original_frame_id")
+    return m.groupBy("video_id", "how").agg(F.count("*").alias("n"), F.count_if(F.col("decoded_at") == F.col("manifest_at")).alias("n_same"))

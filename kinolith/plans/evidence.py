@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinolith.operators import drift, intervals, orphans
-from kinolith.session import clean_id, latest, table
+from kinolith.session import clean_id, latest, stage, table
 
 STATS_TARGET = {
     "n_after_cosine": "bigint", "n_frames_manifest": "bigint", "n_frames_raw_est": "bigint", "n_shots": "bigint", "n_candidates": "bigint",
@@ -90,7 +90,7 @@ def _stats(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "stats_raw").select("producer", "file_no", "file_id", "payload")
-    layouts = drift.file_layouts(_stats(spark, d, rows), ["producer", "file_no", "file_id"])
+    layouts = stage(drift.file_layouts(_stats(spark, d, rows), ["producer", "file_no", "file_id"]), "layouts")  # used twice
     return drift.layout_changes(layouts, "producer", "file_no", "file_id").select("file_id", "field_name", "change")
 
 
@@ -100,5 +100,10 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return _stats(spark, d, rows).drop("payload", "seen")
 
 
+def p7_typed(spark: SparkSession, d: str) -> DataFrame:
+    """The typed columns of all records."""
+    return p7_table(spark, d).select("file_id", "record_no", "readable", *STATS_TARGET)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_periods, p7_found, p7_table)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_periods, p7_found, p7_table, p7_typed)}

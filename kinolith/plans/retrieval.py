@@ -27,7 +27,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH q AS (SELECT embedding qv FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, label, round(list_cosine_similarity(embedding, qv), 5)::DOUBLE score FROM embeddings, q ORDER BY list_cosine_similarity(embedding, qv) DESC, vec_id LIMIT 20""")
+SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 5) score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) DESC, vec_id LIMIT 20""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """Exact cosine top k of one query vector (the query is one row: a literal, not a join)."""
     e = table(spark, d, "embeddings")
@@ -38,7 +38,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH q AS (SELECT embedding qv FROM embeddings WHERE vec_id = 1)
-SELECT vec_id, round(list_inner_product(embedding, qv), 5)::DOUBLE score FROM embeddings, q ORDER BY list_inner_product(embedding, qv) DESC, vec_id LIMIT 15""")
+SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], qv::DOUBLE[]), 5) score FROM embeddings, q ORDER BY list_inner_product(embedding::DOUBLE[], qv::DOUBLE[]) DESC, vec_id LIMIT 15""")
 def inner_product_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     qv = e.filter("vec_id = 1").first()["embedding"]
@@ -49,8 +49,8 @@ def inner_product_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH e AS MATERIALIZED (SELECT DISTINCT * FROM embedding_result WHERE len(vector) = embedding_dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND list_max(list_transform(vector, lambda x: abs(x))) > 0),
 q AS MATERIALIZED (SELECT vector qv, model_name qm FROM e ORDER BY embedding_id LIMIT 1)
-SELECT embedding_id, video_id, original_frame_id, round(list_cosine_similarity(vector, qv), 5)::DOUBLE score FROM e, q WHERE model_name = qm
-ORDER BY list_cosine_similarity(vector, qv) DESC, embedding_id LIMIT 10""")
+SELECT embedding_id, video_id, original_frame_id, round(list_cosine_similarity(vector::DOUBLE[], qv::DOUBLE[]), 5) score FROM e, q WHERE model_name = qm
+ORDER BY list_cosine_similarity(vector::DOUBLE[], qv::DOUBLE[]) DESC, embedding_id LIMIT 10""")
 def frame_query_topk(spark: SparkSession, d: str) -> DataFrame:
     """The vector indexed for a frame as the query, against all vectors of its model."""
     e = table(spark, d, "embedding_result").select("embedding_id", "video_id", "original_frame_id", "embedding_dim", "model_name", "vector").filter(F.size("vector") == F.col("embedding_dim"))

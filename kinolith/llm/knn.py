@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from kinolith.session import stage, width
 
 LIST_ROWS, MAX_LISTS, SAMPLE = 1024, 2048, 32
-SPILL, MARGIN = 6, 0.05
+SPILL, MARGIN = 6, 0.07
 COLUMNS, EPSILON = 16, 2.1
 BLOCK_ROWS = 8192
 QUERIES, FIRST = 256, 256
@@ -133,10 +133,10 @@ def fit_lists(rows: DataFrame, list_rows: int, block_rows: int) -> dict[str, Lis
     lists = {g: int(min(MAX_LISTS, max(1, n // list_rows))) for g, n in counts.items()}
     share = {g: min(1.0, 1.2 * SAMPLE * lists[g] / counts[g]) for g in counts}
     chance = F.element_at(F.create_map(*[F.lit(x) for g in share for x in (g, share[g])]), F.col("grp"))
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < chance * 1_000_000).select("grp", "vector")
+    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < chance * 1_000_000).select("grp", "id", "vector")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf["grp"].iloc[0]
+        g, pdf = pdf["grp"].iloc[0], pdf.sort_values("id")  # the same sample gives the same centroids
         v = unit(np.stack(pdf["vector"].to_numpy())).astype(np.float32)
         c = _kmeans(v, lists[g])
         near = np.sort(v @ c.T, axis=1)[:, ::-1][:, :SPILL]

@@ -1,20 +1,20 @@
 """Selections whose next step depends on what was kept: compaction, greedy de-duplication, repair, medoids, alignment.
 
 The pure functions hold the rules; the DataFrame forms run them per group. A fold with constant state streams over a
-sorted partition; those that need vectors take groups the caller bounds (a shot, a candidate list of a query).
+sorted partition; those over vectors compare all pairs of a group in pairs of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.session import width
+from kinolith.session import stage, width
 
 
 def compact(hashes: list[int], sharpness: list[float], most: int = 5) -> list[int]:
@@ -149,34 +149,120 @@ def compact_frames(df: DataFrame, entity: str, at: str, hash_: str, sharpness: s
     return one.mapInArrow(run, df.schema)
 
 
-def per_group(df: DataFrame, group: list[str], rule: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
-    """Rows of each group at the positions a rule returns; for groups of bounded size."""
+def placed(df: DataFrame, group: list[str], vector: str, at: str, key: str) -> DataFrame:
+    """Adds grp_ (the group as one string), pos_ (place in the group by (at with null last, key, vector), from 0) and size_; staged."""
+    whole = Window.partitionBy(*group)
+    n = F.row_number().over(whole.orderBy(F.col(at).asc_nulls_last(), F.col(key).asc_nulls_last(), vector)) - 1
+    return stage(df.withColumn("grp_", F.to_json(F.struct(*group))).withColumn("pos_", n.cast("long")).withColumn("size_", F.count("*").over(whole)), "placed")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[rule(pdf)]
-
-    return df.groupBy(*group).applyInPandas(run, df.schema)
-
-
-def distinct_vectors(df: DataFrame, group: list[str], vector: str, at: str, key: str, threshold: float, inclusive: bool = True) -> DataFrame:
-    """Greedy de-duplication of each group in order of (at, key)."""
 
-    def rule(pdf: pd.DataFrame) -> list[int]:
-        order = pdf.reset_index(drop=True).sort_values([at, key]).index.tolist()
-        return greedy_distinct(np.stack(pdf[vector].to_numpy()).astype(float), order, threshold, inclusive)
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a symmetric matrix of neighbours connects, at most one less than its rows."""
+    free, edges = near.any(axis=1), []
+    for first in np.flatnonzero(free):
+        if not free[first]:
+            continue
+        free[first], todo = False, [int(first)]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & free)
+            free[new] = False
+            edges += [(i, j) for j in new.tolist()]
+            todo += new.tolist()
+    return edges
 
-    return per_group(df, group, rule)
 
+def similar_places(rows: DataFrame, vector: str, threshold: float, inclusive: bool, connect: bool, block: int) -> DataFrame:
+    """grp_, pos_ and earlier: places of the group before pos_ whose cosine reaches the threshold; from `placed` rows.
 
-def medoid_vectors(df: DataFrame, group: list[str], vector: str, at: str, key: str, threshold: float) -> DataFrame:
-    """The medoid of each similarity component of each group."""
+    A group is cut into blocks of places and every pair of its blocks is a task of its own, so all pairs are compared and a
+    long group spreads. A place has a row per pair of blocks. connect: only as many pairs as keep the components of the pair of blocks."""
+    one = rows.filter("size_ > 1").select("grp_", "pos_", F.floor(F.col("pos_") / block).alias("blk_"), "size_", F.col(vector).alias("v_"))
+    other = one.withColumn("other_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size_") - 1) / block))))
+    tiles = other.select("grp_", F.least("blk_", "other_").alias("low_"), F.greatest("blk_", "other_").alias("high_"), "blk_", "pos_", "v_")
 
-    def rule(pdf: pd.DataFrame) -> list[int]:
-        order = pdf.reset_index(drop=True).sort_values([at, key]).index.tolist()
-        v = np.stack(pdf[vector].to_numpy()).astype(float)[order]
-        return [order[i] for i in medoids(v, pdf[at].astype(float).to_numpy()[order].tolist(), threshold)]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos_")
+        pos, v = pdf["pos_"].to_numpy(), np.stack(pdf["v_"].to_numpy()).astype(float)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        low, high = pdf["blk_"].to_numpy() == pdf["low_"].iloc[0], pdf["blk_"].to_numpy() == pdf["high_"].iloc[0]
+        s = v[high] @ v[low].T
+        near = ((s >= threshold) if inclusive else (s > threshold)) & (pos[high][:, None] > pos[low])
+        later: list[int] = []
+        earlier: list[np.ndarray] = []
+        if connect and near.any():
+            square = np.zeros((len(pos), len(pos)), bool)
+            square[np.ix_(high, low)] = near
+            for i, j in forest(square | square.T):
+                later.append(pos[max(i, j)])
+                earlier.append(pos[[min(i, j)]])
+        elif near.any():
+            for i in np.flatnonzero(near.any(axis=1)):
+                later.append(pos[high][i])
+                earlier.append(pos[low][near[i]])
+        return pd.DataFrame({"grp_": pd.Series([pdf["grp_"].iloc[0]] * len(later), dtype=object), "pos_": pd.Series(later, dtype="int64"), "earlier": pd.Series(earlier, dtype=object)})
+
+    return tiles.groupBy("grp_", "low_", "high_").applyInPandas(run, "grp_ string, pos_ long, earlier array<long>")
+
+
+def distinct_vectors(df: DataFrame, group: list[str], vector: str, at: str, key: str, threshold: float, inclusive: bool = True, block: int = 2048) -> DataFrame:
+    """Greedy de-duplication of each whole group in order of (at with null last, key); vectors of a group have one length.
+
+    The fold streams over the similar pairs in order; its state is the group's dropped places."""
+    rows = placed(df, group, vector, at, key)
+    pairs = similar_places(rows, vector, threshold, inclusive, False, block)
 
-    return per_group(df, group, rule)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, dropped = None, set()
+        for b in batches:
+            out: list[tuple[str, int]] = []
+            for g, p, earlier in zip(*(c.to_pylist() for c in b.columns)):
+                if g != now:
+                    now, dropped = g, set()
+                if p not in dropped and not dropped.issuperset(earlier):
+                    dropped.add(p)
+                    out.append((g, p))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out]), pa.array([p for _, p in out], pa.int64())], ["grp_", "pos_"])
+
+    inorder = pairs.repartition(width(df.sparkSession), "grp_").sortWithinPartitions("grp_", "pos_")
+    return rows.join(inorder.mapInArrow(run, "grp_ string, pos_ long"), ["grp_", "pos_"], "left_anti").select(*df.columns)
+
+
+def medoid_vectors(df: DataFrame, group: list[str], vector: str, at: str, key: str, threshold: float, block: int = 2048) -> DataFrame:
+    """The medoid of each similarity component of each whole group, null `at` last; vectors of a group have one length.
+
+    The mean similarity of a member is its product with the sum of the members, so a component needs no matrix of pairs."""
+    rows = placed(df, group, vector, at, key)
+    edges = similar_places(rows, vector, threshold, True, True, block)
+
+    def components(pdf: pd.DataFrame) -> pd.DataFrame:
+        label: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while label.setdefault(i, i) != i:
+                label[i] = label[label[i]]
+                i = label[i]
+            return i
+
+        for p, earlier in zip(pdf["pos_"].tolist(), pdf["earlier"]):
+            for e in earlier.tolist():
+                a, b = root(p), root(e)
+                label[max(a, b)] = min(a, b)
+        return pd.DataFrame({"grp_": pdf["grp_"].iloc[0], "pos_": list(label), "of_": [root(i) for i in list(label)]})
+
+    def others(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos_")
+        v = np.stack(pdf["v_"].to_numpy()).astype(float)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        mean = v @ v.sum(axis=0) / len(v)
+        first = np.flatnonzero(np.isclose(mean, mean.max(), rtol=1e-10, atol=1e-12))[0]
+        return pdf[["grp_", "pos_"]].drop(pdf.index[first])
+
+    of = edges.groupBy("grp_").applyInPandas(components, "grp_ string, pos_ long, of_ long")
+    members = rows.select("grp_", "pos_", F.col(vector).alias("v_")).join(of, ["grp_", "pos_"])
+    rest = members.groupBy("grp_", "of_").applyInPandas(others, "grp_ string, pos_ long")
+    return rows.join(rest, ["grp_", "pos_"], "left_anti").select(*df.columns)
 
 
 def align_sequences(df: DataFrame, group: list[str], frame: str, time: str, scores: str) -> DataFrame:
@@ -209,8 +295,6 @@ def repair(df: DataFrame, group: list[str], most: float) -> DataFrame:
 
 def round_robin_subset(df: DataFrame, batch: str, order: str, size: str, target: float) -> DataFrame:
     """One of each batch in turn until the sizes reach the target; the row that reaches it is the last."""
-    from pyspark.sql import Window
-
     n = df.withColumn("turn", F.row_number().over(Window.partitionBy(batch).orderBy(order)))
     before = F.sum(size).over(Window.orderBy("turn", batch).rowsBetween(Window.unboundedPreceding, -1))
     return n.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < target)

@@ -254,20 +254,21 @@ def sequence_alignment(spark: SparkSession, d: str) -> DataFrame:
     return selection.align_sequences(one, ["query_id", "video_id"], "original_frame_id", "t", "scores")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embedding_result").filter(F.size("vector") == F.col("embedding_dim")).filter(vector.is_finite("vector") & (vector.norm("vector") > 0))
+    return e.select("model_name", "embedding_dim", "video_id", "embedding_id", "original_frame_id", "vector").distinct()
+
+
 @query()
 def embedding_medoids(spark: SparkSession, d: str) -> DataFrame:
-    """A medoid per similarity component within each stretch of 500 frames of a video and model."""
-    e = table(spark, d, "embedding_result").filter(F.size("vector") == F.col("embedding_dim")).filter(vector.is_finite("vector") & (vector.norm("vector") > 0))
-    e = e.filter("original_frame_id is not null").withColumn("stretch", F.floor(F.col("original_frame_id") / 500)).select("model_name", "video_id", "stretch", "embedding_id", "original_frame_id", "vector").distinct()
-    return selection.medoid_vectors(e, ["model_name", "video_id", "stretch"], "vector", "original_frame_id", "embedding_id", 0.8).select("embedding_id")
+    """A medoid per similarity component within each video and model; vectors without a frame come last in time."""
+    return selection.medoid_vectors(_vectors(spark, d), ["model_name", "embedding_dim", "video_id"], "vector", "original_frame_id", "embedding_id", 0.8).select("embedding_id")
 
 
 @query()
 def embedding_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy de-duplication (cosine >= 0.9) within each stretch of 500 frames of a video and model."""
-    e = table(spark, d, "embedding_result").filter(F.size("vector") == F.col("embedding_dim")).filter(vector.is_finite("vector") & (vector.norm("vector") > 0))
-    e = e.filter("original_frame_id is not null").withColumn("stretch", F.floor(F.col("original_frame_id") / 500)).select("model_name", "video_id", "stretch", "embedding_id", "original_frame_id", "vector").distinct()
-    return selection.distinct_vectors(e, ["model_name", "video_id", "stretch"], "vector", "original_frame_id", "embedding_id", 0.9).select("embedding_id")
+    """Greedy de-duplication (cosine >= 0.9) within each video and model; vectors without a frame come last in time."""
+    return selection.distinct_vectors(_vectors(spark, d), ["model_name", "embedding_dim", "video_id"], "vector", "original_frame_id", "embedding_id", 0.9).select("embedding_id")
 
 
 @query("""WITH v AS (SELECT DISTINCT video_id, codec, duration_ms FROM videos_manifest WHERE codec IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY codec ORDER BY video_id) turn FROM v),

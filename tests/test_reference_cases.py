@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinolith.functions import num, text, vector
 from kinolith.operators import fusion, mapping, selection, temporal, timeline
 from kinolith.plans import planner
+from kinolith.plans import timeline as plans
 
 
 def one(spark, column):
@@ -27,6 +28,33 @@ def test_greedy_and_medoids():
     assert selection.medoids(np.zeros((0, 2)), [], 0.9) == []
 
 
+def test_vectors_of_a_whole_group(spark):
+    rng = np.random.default_rng(4)
+    rows, want_distinct, want_medoids = [], set(), set()
+    for g, n in (("a", 41), (None, 9), ("c", 1)):
+        centre = rng.standard_normal((5, 6))
+        v = (centre[rng.integers(0, 5, n)] + 0.25 * rng.standard_normal((n, 6))).astype(np.float32)
+        at = [None if i % 10 == 7 else int(x) for i, x in enumerate(rng.integers(0, 3000, n))]
+        ids = [f"{g}{i:03}" for i in range(n)]
+        rows += [(g, i, t, x.tolist()) for i, t, x in zip(ids, at, v)]
+        order = sorted(range(n), key=lambda i: (at[i] is None, at[i] or 0, ids[i]))
+        want_distinct |= {ids[i] for i in selection.greedy_distinct(v.astype(float), order, 0.9, True)}
+        want_medoids |= {ids[order[i]] for i in selection.medoids(v[order].astype(float), list(range(n)), 0.95)}
+    df = spark.createDataFrame(rows, "g string, id string, at long, v array<float>")
+    for block in (4, 2048):
+        assert {r.id for r in selection.distinct_vectors(df, ["g"], "v", "at", "id", 0.9, block=block).collect()} == want_distinct
+        assert {r.id for r in selection.medoid_vectors(df, ["g"], "v", "at", "id", 0.95, block=block).collect()} == want_medoids
+    assert 8 < len(want_distinct) < 51 and len(want_medoids) < 51
+    assert selection.distinct_vectors(df.limit(0), ["g"], "v", "at", "id", 0.9).count() == selection.medoid_vectors(df.limit(0), ["g"], "v", "at", "id", 0.9).count() == 0
+
+
+def test_similar_vectors_far_apart_in_a_video(spark, tmp_path):
+    rows = [("m", 2, "V", i, f, v) for i, f, v in (("a", 499, [1.0, 0.0]), ("b", 500, [1.0, 0.01]), ("c", 700, [0.0, 1.0]), ("d", 5000, [1.0, 0.0]), ("e", None, [0.0, 2.0]))]
+    spark.createDataFrame(rows, "model_name string, embedding_dim int, video_id string, embedding_id string, original_frame_id long, vector array<float>").write.parquet(f"{tmp_path}/embedding_result.parquet")
+    assert sorted(r.embedding_id for r in plans.embedding_distinct(spark, str(tmp_path)).collect()) == ["a", "c"]
+    assert sorted(r.embedding_id for r in plans.embedding_medoids(spark, str(tmp_path)).collect()) == ["a", "c"]
+
+
 def test_coverage_repair():
     c = [(2.0, 1.0, True), (8.0, 1.0, True), (12.0, 2.0, True), (18.0, 1.0, True)]
     added = selection.repair_coverage(c, [2.0, 18.0], (0.0, 20.0), 10.0)

@@ -6,11 +6,13 @@
             sums meet per block of terms, and the driver finishes on a matrix of fixed size (terms x sketch) by Nystrom
   search    each corpus passage against all item passages by cosine in that space; item passages lie in clusters, and a
             cluster is left out only where the angle to its centre proves it holds nothing above the threshold
-  checks    the words of each candidate pair: longest common run, or longest common subsequence and answer words
+  checks    the words of each candidate pair: longest common run
+  paraphrases  every stretch of a document that holds one of the rarest answer words of an item's stretch, whatever its
+            cosine: longest common subsequence and answer words (`WindowIndex`)
 
 A passage is 8 words. Items are cut at every word, documents at every fifth: any 12 words in a row hold a whole passage
 of the document, equal to one of the item, whose cosine is 1. So no verbatim case is lost by the search, whatever the rank
-of the space. The item side is bounded (`MAX_ITEMS`, checked), the corpus streams past it and is never grouped or gathered.
+of the space. No paraphrase that passes the checks at these passages is lost either. The item side is bounded (`MAX_ITEMS`, checked), the corpus streams past it and is never grouped or gathered.
 
 Defined results: null and empty texts and texts of fewer than 12 words hold no case; an item of fewer than 12 words cannot
 leak; a pair comes out once however often the passage or the row is repeated; an empty corpus or no items give no rows;
@@ -37,6 +39,7 @@ TERMS, SKETCH, RANK = 1 << 14, 48, 40
 COSINE = 0.97
 MAX_ITEMS = 20_000
 SLICE = 4096
+SLACK, PAIRS = 4, 1 << 20
 
 
 def word_function():
@@ -207,6 +210,86 @@ class ItemIndex:
         return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
+class WindowIndex:
+    """Stretches of three passages of the items, by answer words (the stretch's rarest); a document's stretch is as long and SLACK more.
+
+    A paraphrase holds `share` of the m answer words, so at least one of any m - need + 1 of them: only the rarest so many of
+    a stretch are looked up, and no pair that passes the checks is left out."""
+
+    def __init__(self, index: ItemIndex, idf: np.ndarray, share: float):
+        if share <= 0:
+            raise ValueError("share must be above 0")
+        self.share, n = share, len(index.row)
+        self.vocabulary, word = np.unique(index.words, return_inverse=True)
+        self.word, weight = word.astype(np.int32), idf[bins(index.words)]
+        first, s = index.first[index.row], index.starts - index.first[index.row]
+        self.low = first + np.maximum(0, s - PASSAGE)
+        self.size = first + np.minimum(index.sizes[index.row], s + 2 * PASSAGE) - self.low
+        self.answer, self.need = np.zeros((n, 3 * PASSAGE), bool), np.zeros(n, np.int64)
+        words, windows = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for size in np.unique(self.size):
+            of = np.flatnonzero(self.size == size)
+            for c in range(0, len(of), SLICE):
+                k = of[c : c + SLICE]
+                at = self.low[k][:, None] + np.arange(size)
+                b, w = self.word[at], weight[at]
+                repeat = (np.tril(np.ones((size, size), bool), -1) & (b[:, :, None] == b[:, None, :])).any(axis=2)
+                answer = (w >= np.quantile(w, 0.75, axis=1)[:, None]) & ~repeat
+                m = answer.sum(axis=1)
+                self.answer[k, :size], self.need[k] = answer, np.ceil(share * m)
+                order = np.argsort(np.where(answer, -w, np.inf), axis=1, kind="stable")
+                use, nth = np.nonzero(np.arange(size) < (m - self.need[k] + 1)[:, None])
+                words.append(b[use, order[use, nth]])
+                windows.append(k[use])
+        held = np.concatenate(words)
+        self.windows = np.concatenate(windows)[np.argsort(held, kind="stable")]
+        self.at = np.r_[0, np.cumsum(np.bincount(held, minlength=len(self.vocabulary)))]
+
+    def known(self, flat: np.ndarray) -> np.ndarray:
+        """Place of each word in the items' vocabulary, or -1."""
+        i = np.minimum(np.searchsorted(self.vocabulary, flat), max(0, len(self.vocabulary) - 1))
+        return np.where(self.vocabulary[i] == flat, i, -1).astype(np.int32)
+
+    def paraphrases(self, a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of a, item passage, common subsequence) of all pairs that pass the checks; a: known words, -1 for others."""
+        n = np.where(a >= 0, self.at[a + 1] - self.at[a], 0)
+        upto = np.cumsum(n.sum(axis=1))
+        cut = 0
+        while cut < len(a):
+            end = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + PAIRS, "right")))
+            r, j = np.nonzero(n[cut:end])
+            r += cut
+            m = n[r, j]
+            nth = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            pair = np.unique(np.repeat(r, m) * len(self.low) + self.windows[np.repeat(self.at[a[r, j]], m) + nth])
+            for c in range(0, len(pair), SLICE):
+                yield self._checked(a, *np.divmod(pair[c : c + SLICE], len(self.low)))
+            cut = end
+
+    def _checked(self, a: np.ndarray, r: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place = np.arange(3 * PASSAGE)
+        inside = place < self.size[k][:, None]
+        b = np.where(inside, self.word[np.minimum(self.low[k][:, None] + place, len(self.word) - 1)], -2)
+        same = b[:, :, None] == a[r][:, None, :]
+        hit = same.any(axis=2)
+        ok = ((hit & self.answer[k]).sum(axis=1) >= self.need[k]) & (hit.sum(axis=1) >= self.share * self.size[k])
+        r, k = r[ok], k[ok]
+        n = common_subsequences(same[ok])
+        ok = (n >= self.share * self.size[k]) & (self.size[k] >= RUN)
+        return r[ok], k[ok], n[ok]
+
+
+def common_subsequences(same: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of many pairs at once; same[i, x, y]: words x and y of pair i are equal, at most 32 y."""
+    bits = np.packbits(same, axis=2, bitorder="little").astype(np.uint64)
+    mask = (bits << (8 * np.arange(bits.shape[2], dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+    open_ = np.full(len(same), 2**32 - 1, np.uint64)  # a word of y is closed when one more word of x is matched up to it
+    for x in range(same.shape[1]):
+        use = open_ & mask[:, x]
+        open_ = ((open_ + use) | (open_ & ~mask[:, x])) & np.uint64(2**32 - 1)
+    return 32 - np.bitwise_count(open_).astype(np.int64)
+
+
 def common_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
     """Start and end in a of the words in a row that a around i and b around j have in common; a[i] == b[j]."""
     start, end = i, i + 1
@@ -238,8 +321,8 @@ class Evidence:
     end: int = -1
 
 
-def _matches(index: ItemIndex, idf: np.ndarray, paraphrases: bool, share: float):
-    """Documents with the items they hold: verbatim runs, and paraphrases if asked for."""
+def _matches(index: ItemIndex, stretches: WindowIndex | None):
+    """Documents with the items they hold: verbatim runs, and paraphrases if there are stretches to look for."""
     names = ["doc_id", "item_id", "kind", "n_words", "cosine"]
     w = np.arange(PASSAGE)
 
@@ -257,22 +340,19 @@ def _matches(index: ItemIndex, idf: np.ndarray, paraphrases: bool, share: float)
             a, z = common_run(flat[doc_at[r] : doc_at[r] + sizes[r]], p, index.words[index.first[i] : index.first[i] + index.sizes[i]], s)
             if z - a >= RUN and not (held and held.kind == "verbatim" and held.n >= z - a):
                 found[r, i] = Evidence("verbatim", z - a, float(c), p - s, z)
-        if not paraphrases:
-            return
-        for d, q, c in zip(doc[~same], item[~same], cos[~same]):
-            r, i = int(row[d]), int(index.row[q])
-            held = found.get((r, i))
-            if held and (held.kind == "verbatim" or held.cosine >= c):
+
+    def rephrased(flat: np.ndarray, known: np.ndarray, doc_at: np.ndarray, sizes: np.ndarray, row: np.ndarray, start: np.ndarray, found: dict[tuple[int, int], Evidence]) -> None:
+        at = start[:, None] - PASSAGE - SLACK + np.arange(3 * PASSAGE + 2 * SLACK)
+        inside = (at >= doc_at[row][:, None]) & (at < (doc_at + sizes)[row][:, None])
+        a = np.where(inside, known[np.clip(at, 0, len(known) - 1)], -1)
+        for d, q, n in stretches.paraphrases(a):
+            if not len(d):
                 continue
-            p, s = int(start[d] - doc_at[r]), int(index.starts[q] - index.first[i])
-            b = index.words[index.first[i] : index.first[i] + index.sizes[i]][max(0, s - PASSAGE) : s + 2 * PASSAGE]
-            a = flat[doc_at[r] : doc_at[r] + sizes[r]][max(0, p - PASSAGE - 4) : p + 2 * PASSAGE + 4]
-            n = common_subsequence(b.tolist(), a.tolist())
-            if len(b) >= RUN and n >= share * len(b):
-                weight = idf[bins(b)]
-                answer = set(b[weight >= np.quantile(weight, 0.75)].tolist())  # the passage's rarest words
-                if len(answer & set(a.tolist())) >= share * len(answer):
-                    found[r, i] = Evidence("paraphrase", n, float(c))
+            cos = (index.space.vectors(flat, start[d]) * index.space.vectors(index.words, index.starts[q])).sum(axis=1)
+            for r, i, m, c in zip(row[d].tolist(), index.row[q].tolist(), n.tolist(), cos.tolist()):
+                held = found.get((r, i))
+                if not held or held.kind != "verbatim" and (held.cosine, held.n) < (c, m):
+                    found[r, i] = Evidence("paraphrase", m, c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,6 +364,9 @@ def _matches(index: ItemIndex, idf: np.ndarray, paraphrases: bool, share: float)
             found: dict[tuple[int, int], Evidence] = {}
             for a in range(0, len(start), SLICE):
                 check(flat, doc_at, sizes, row[a : a + SLICE], start[a : a + SLICE], found)
+            known = stretches.known(flat) if stretches else flat
+            for a in range(0, len(start) if stretches else 0, SLICE):
+                rephrased(flat, known, doc_at, sizes, row[a : a + SLICE], start[a : a + SLICE], found)
             if found:
                 docs = b.column(0).take(pa.array([r for r, _ in found]))
                 items = pa.array([int(index.ids[i]) for _, i in found], pa.int64())
@@ -311,6 +394,6 @@ def find_leaks(
     words = stage(texts.select("doc_id", word_hashes("text_").alias("words")), "words")
     idf = inverse_frequencies(words)
     index = ItemIndex(latent_space(words, idf), [i for i, _ in held], [w for _, w in held], cosine)
-    out = words.mapInArrow(_matches(index, idf, paraphrases, share), f"doc_id {kind}, item_id long, kind string, n_words int, cosine double")
+    out = words.mapInArrow(_matches(index, WindowIndex(index, idf, share) if paraphrases else None), f"doc_id {kind}, item_id long, kind string, n_words int, cosine double")
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("kind") == "verbatim", "n_words", "cosine", "kind")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.kind").alias("kind"), F.col("x.n_words").alias("n_words"), F.col("x.cosine").alias("cosine"))

@@ -200,6 +200,42 @@ def test_leaks(spark):
     assert leaks.common_subsequence([1, 2, 3, 4], [2, 9, 4]) == 2
 
 
+def test_paraphrases_equal_an_exhaustive_check(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+    items = {i: [rng.choice(vocab) for _ in range(n)] for i, n in ((1, 13), (2, 24), (3, 30), (4, 37))}
+    docs = {}
+    for d in range(40):
+        words = [rng.choice(vocab) for _ in range(rng.randint(0, 25))]
+        if d % 4:
+            every, at = d % 4 + 2, rng.randint(0, len(words))
+            words[at:at] = [f"x{d}" if j % every == every - 1 else w for j, w in enumerate(items[rng.randint(1, 4)])]
+        docs[d] = words
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    idf = leaks.inverse_frequencies(df.select(leaks.word_hashes("text").alias("words")))
+    hashed = leaks.word_function()
+    want = set()
+    for d, i in ((d, i) for d in docs for i in items):
+        x, y = np.array(hashed(" ".join(docs[d])), np.int64), np.array(hashed(" ".join(items[i])), np.int64)
+        if len(x) < 12 or any((x[p : p + 12] == y[q : q + 12]).all() for p in range(len(x) - 11) for q in range(len(y) - 11)):
+            continue
+        for p, q in ((p, q) for p in range(0, len(x) - 7, 5) for q in range(len(y) - 7)):
+            a, b = x[max(0, p - 12) : p + 20], y[max(0, q - 8) : q + 16]
+            weight = idf[leaks.bins(b)]
+            answer = set(b[weight >= np.quantile(weight, 0.75)].tolist())
+            if len(answer & set(a.tolist())) >= 0.7 * len(answer) and leaks.common_subsequence(b.tolist(), a.tolist()) >= 0.7 * len(b):
+                want.add((d, i))
+    held = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = leaks.find_leaks(df, held, cosine=0.9, paraphrases=True).filter("kind = 'paraphrase'").collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want) and len(want) > 12
+    same = np.random.default_rng(2).random((50, 24, 32)) < 0.1
+    table = np.zeros((50, 25, 33), int)
+    for x in range(24):
+        for y in range(32):
+            table[:, x + 1, y + 1] = np.maximum(np.maximum(table[:, x, y + 1], table[:, x + 1, y]), table[:, x, y] + same[:, x, y])
+    assert leaks.common_subsequences(same).tolist() == table[:, 24, 32].tolist()
+
+
 def test_adaptive_scan_keeps_near_pairs():
     rng = np.random.default_rng(1)
     x = knn.unit(rng.standard_normal((300, 64))).astype(np.float32)

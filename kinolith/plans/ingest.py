@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +27,27 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
     return a.select(clean_id("video_id").alias("video_id"), "keyframe_no", "original_frame_id", "timestamp_ms", "thumbnail_object_key", "metadata", "created_at").distinct()
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' table_name, count(*) n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) n_distinct FROM {t}" for t in TABLES if t not in ("embedding_result",)))
-def table_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and different rows per table."""
+def _counts(spark: SparkSession, d: str, names: Iterable[str]) -> DataFrame:
     out = None
-    for t in TABLES:
-        if t == "embedding_result":
-            continue
+    for t in names:
         df = table(spark, d, t)
         one = df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(F.lit(t).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(" UNION ALL ".join(f"SELECT '{t}' table_name, count(*) n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) n_distinct FROM {t}" for t in TABLES if t not in ("embedding_result",)))
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and different rows per table, but for the table with the vectors (`all_table_counts` has it)."""
+    return _counts(spark, d, [t for t in TABLES if t != "embedding_result"])
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' table_name, count(*) n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) n_distinct FROM {t}" for t in TABLES))
+def all_table_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and different rows of every table; vectors count by value."""
+    return _counts(spark, d, TABLES)
+
+
 @query("SELECT status, count(*) n, count(DISTINCT alignment_id) n_alignments FROM (SELECT DISTINCT * REPLACE (upper(trim(video_id)) AS video_id) FROM trake_alignment) GROUP BY 1")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "trake_alignment").withColumn("video_id", clean_id("video_id")).distinct()

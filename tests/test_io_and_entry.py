@@ -43,6 +43,13 @@ def test_equals_sql(spark, sf, name):
     assert got == sorted((tuple(norm(r[at.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
+def test_counts_of_the_vector_table(spark, sf):
+    got = {r.table_name: (r.n_rows, r.n_distinct) for r in entry.queries()["all_table_counts"](spark, sf).collect()}
+    con = duckdb.connect()
+    assert got["embedding_result"] == con.execute(f"SELECT count(*), (SELECT count(*) FROM (SELECT DISTINCT * FROM '{sf}/embedding_result.parquet')) FROM '{sf}/embedding_result.parquet'").fetchone()
+    assert got["embedding_result"][0] > got["embedding_result"][1] and len(got) == 10
+
+
 def test_readers(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([(1, "a"), (2, "b")], "i int, s string").coalesce(1).write.mode("overwrite").parquet(f"{d}/t.parquet")

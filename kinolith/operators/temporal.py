@@ -6,10 +6,14 @@ different islands cannot meet, so islands fold independently and an entity with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolith.operators.skew import previous_in_entity, running_in_entity
+from kinolith.session import width
 
 
 def stab(spans: DataFrame, points: DataFrame, entity: str, start: str, end: str, at: str, block: int = 10_000, closed: bool = False) -> DataFrame:
@@ -67,6 +71,33 @@ def suppress_near(df: DataFrame, entity: str, at: str, score: str, frame: str, s
     return lists.select(F.explode(kept).alias("x")).select("x.row.*")
 
 
+def top_peaks(df: DataFrame, group: list[str], at: str, score: str, minimum: float, distance: int, limit: int) -> DataFrame:
+    """Greedy peaks of each group, at most `limit`: in order (score desc, at) a row stays if its score is at least `minimum`
+    and no kept row lies nearer than `distance`. A null or NaN score counts as 0; rows with a null `at` are no peaks.
+
+    The fold streams over a sorted partition; its state is the group's kept places, so a group of any length fits."""
+    names = df.columns
+    cols = [names.index(c) for c in group]
+    s = F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        kept: list[int] = []
+        for b in batches:
+            take = []
+            for i, (t, *g) in enumerate(zip(b.column(names.index(at)).to_pylist(), *(b.column(c).to_pylist() for c in cols))):
+                if g != now:
+                    now, kept = g, []
+                if len(kept) < limit and all(abs(t - k) >= distance for k in kept):
+                    kept.append(t)
+                    take.append(i)
+            if take:
+                yield b.take(pa.array(take))
+
+    rows = df.filter(F.col(at).isNotNull() & (s >= minimum)).repartition(width(df.sparkSession), *group)
+    return rows.sortWithinPartitions(*group, s.desc(), at).mapInArrow(run, df.schema)
+
+
 def spaced_boundaries(df: DataFrame, entity: str, at: str, least: int) -> DataFrame:
     """Fold over a sorted sequence: a row stays if it lies at least `least` after the last one that stayed."""
     marked = islands(df, entity, at, least - 1)

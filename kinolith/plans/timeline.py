@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinolith.functions import num, vector
 from kinolith.operators import selection, temporal, timeline
+from kinolith.operators.skew import running_in_entity
 from kinolith.plans.catalog import Catalog
 from kinolith.plans.evidence import speech_spans
 from kinolith.plans.evidence_sql import _SPANS
@@ -283,7 +284,17 @@ def round_robin_subset(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_FR}, x AS (SELECT video_id, original_frame_id, motion_score FROM fr WHERE NOT isnan(motion_score)), c AS (SELECT video_id, original_frame_id // 100 blk, original_frame_id, motion_score, row_number() OVER (PARTITION BY video_id, original_frame_id // 100 ORDER BY motion_score DESC, original_frame_id) n FROM x)
 SELECT video_id, blk, original_frame_id FROM c WHERE n = 1""")
 def signal_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest frame of each hundred."""
+    """The strongest frame of each hundred; peaks by distance within a shot are `shot_peaks`."""
     f = frames(spark, d, "motion_score").filter("not isnan(motion_score)").withColumn("blk", F.floor(F.col("original_frame_id") / 100))
     n = F.row_number().over(Window.partitionBy("video_id", "blk").orderBy(F.col("motion_score").desc(), "original_frame_id"))
     return f.withColumn("n", n).filter("n = 1").select("video_id", "blk", "original_frame_id")
+
+
+@query()
+def shot_peaks(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three motion peaks of each shot, of at least 0.25 and at least eight frames apart."""
+    f = frames(spark, d, "scene_change_score")
+    place = running_in_entity(f, ["video_id"], "original_frame_id", F.lit(1), "sum", "i_").groupBy("video_id", "original_frame_id").agg((F.min("i_") - 1).alias("place"))
+    j = frames(spark, d, "motion_score").join(place, ["video_id", "original_frame_id"]).withColumnRenamed("original_frame_id", "frame").withColumnRenamed("place", "original_frame_id")  # shots count places
+    j = timeline.frames_in_shots(j, _shots(spark, d)).select("video_id", "shot_id", F.col("frame").alias("original_frame_id"), "motion_score")
+    return temporal.top_peaks(j, ["video_id", "shot_id"], "original_frame_id", "motion_score", 0.25, 8, 3).select("video_id", "shot_id", "original_frame_id")

@@ -96,6 +96,25 @@ def test_suppression(spark):
     assert temporal.suppress_near(df, "video_id", "t", "score", "f", "t", 0).count() == 4
 
 
+def test_peaks_by_distance(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(g, int(i), float(x)) for g in ("a", "b") for i, x in enumerate(np.round(rng.random(90), 1))] + [("c", 99, 0.9), ("c", 100, 0.8), ("c", 160, 0.7), ("c", 170, None), ("c", 180, float("nan")), ("c", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, f long, s double")
+    for limit in (2, 100):
+        want = set()
+        for g in "abc":
+            kept = []
+            for f, s in sorted(((f, s) for h, f, s in rows if h == g and f is not None and s is not None and s >= 0.3), key=lambda x: (-x[1], x[0])):
+                if len(kept) < limit and all(abs(f - k) >= 8 for k in kept):
+                    kept.append(f)
+            want |= {(g, f) for f in kept}
+        got = [(r.g, r.f) for r in temporal.top_peaks(df, ["g"], "f", "s", 0.3, 8, limit).collect()]
+        assert sorted(got) == sorted(want) and {f for g, f in got if g == "c"} == {99, 160}
+    ids = [*range(90, 170), 300]
+    spark.createDataFrame([("V", i, 0.0, {99: 0.5, 100: 0.4, 160: 0.3, 300: 0.26, 120: 0.2}.get(i, 0.0)) for i in ids], "video_id string, original_frame_id long, scene_change_score float, motion_score float").write.parquet(f"{tmp_path}/frame_manifest.parquet")
+    assert sorted((r.shot_id, r.original_frame_id) for r in plans.shot_peaks(spark, str(tmp_path)).collect()) == [(0, 99), (0, 160), (0, 300)]
+
+
 def test_majority(spark):
     df = spark.createDataFrame([("g", "b", 1), ("g", "a", 2), ("g", "a", 3), ("g", "b", 4), ("g", "unknown", 5), ("g", None, 6), ("h", None, 1)], "g string, a string, i int")
     assert [(r.g, r.a, r.n_votes) for r in fusion.majority(df, ["g"], "a", "i").collect()] == [("g", "b", 2)]

@@ -93,6 +93,20 @@ def quality_gate(brightness: str | Column, contrast: str | Column, blur: str | C
     return F.when((b < low) | (b > high) | b.isNull(), "brightness").when(~(_col(contrast) >= least_contrast), "low_info").when(~(_col(blur) >= least_blur), "blur").otherwise("ok")
 
 
+def quality_tier(brightness: str | Column, blur: str | Column, contrast: str | Column) -> Column:
+    """low, medium or high by brightness, contrast and sharpness; NaN counts as 0, null where one is null."""
+    b, s, c = (F.nanvl(_col(x).cast("double"), F.lit(0.0)) for x in (brightness, blur, contrast))
+    tier = F.when((b < 10) | (b > 245) | (c < 5), "low").when(s < 30, "medium").otherwise("high")
+    return F.when(b.isNotNull() & s.isNotNull() & c.isNotNull(), tier)
+
+
+def audio_ready(confidence: str | Column, mos: str | Column) -> Column:
+    """ready (confidence >= 0.60 and a mean opinion score, where there is one from 0 to 5, >= 2.5; null without a confidence) and suggestions."""
+    c, m = _col(confidence), F.when(_col(mos).between(0, 5), _col(mos))
+    says = F.array(F.when(c < 0.60, "confidence thấp"), F.when(m < 2.5, "chất lượng âm thanh thấp"))
+    return F.struct((F.when(c.isNotNull(), (c >= 0.60) & F.coalesce(m >= 2.5, F.lit(True)))).alias("ready"), F.array_compact(says).alias("suggestions"))
+
+
 def normalised_box(box: str | Column, width: str | Column, height: str | Column) -> Column:
     """[x1,y1,x2,y2] over the image's size; null unless 0 <= x1 < x2 <= width and likewise for y."""
     b = _col(box)

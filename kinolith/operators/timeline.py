@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolith.operators.skew import previous_in_entity, running_in_entity
+from kinolith.operators.temporal import stab
 
 
 VIDEO, FRAME = ["video_id"], "original_frame_id"
@@ -161,4 +162,49 @@ def coverage(keyframes: DataFrame, videos: DataFrame, limit_s: float = 10.0) ->
     edges = videos.select("video_id", F.explode(F.array(F.lit(0.0), F.col("duration_s"))).alias("t"))
     all_ = keyframes.select("video_id", "t").join(videos.select("video_id"), "video_id", "left_semi").unionByName(edges)
     g = previous_in_entity(all_, VIDEO, "t", F.col("t"), "p_", block=3600).withColumn("gap", F.col("t") - F.col("p_"))
-    return g.groupBy("video_id").agg(F.round(F.max("gap"), 2).alias("max_gap_s"), F.sum(F.when(F.col("gap") > limit_s, 1).otherwise(0)).alias("n_wide"))
\ No newline at end of file
+    return g.groupBy("video_id").agg(F.round(F.max("gap"), 2).alias("max_gap_s"), F.sum(F.when(F.col("gap") > limit_s, 1).otherwise(0)).alias("n_wide"))
+
+
+def snap_targets(targets: DataFrame, frames: DataFrame, group: list[str], at: str, target: str, block: int = 65_536) -> DataFrame:
+    """The frame nearest in time to each target of its group (a shot), ties to the smaller id; null where the group has no frame.
+
+    Both are put in order of time, and a target looks at the frame before and the one after it."""
+    f = frames.filter(F.col(at).isNotNull() & F.col(FRAME).isNotNull()).groupBy(*group, F.col(at).cast("double").alias("t_")).agg(F.min(FRAME).alias("f_")).withColumn("ask_", F.lit(0))
+    t = targets.filter(F.col(target).isNotNull()).select(*group, F.col(target).cast("double").alias("t_")).distinct().withColumn("f_", F.lit(None).cast("long")).withColumn("ask_", F.lit(1))
+    held = F.when(F.col("ask_") == 0, F.struct("t_", "f_"))
+    u = running_in_entity(f.unionByName(t), group, "t_", held, "last", "a_", block, ["ask_"])
+    u = running_in_entity(u, group, "t_", held, "next", "b_", block, ["ask_"]).filter("ask_ = 1")
+    near = F.least(*[F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x)["t_"] - F.col("t_")).alias("d"), F.col(x)["f_"].alias("f"))) for x in ("a_", "b_")])
+    return u.select(*group, F.col("t_").alias(target), near["f"].alias(FRAME))
+
+
+def event_scores(windows: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scores of the windows that have each frame exactly once; violations: `missing` or `duplicate` frames of the others).
+
+    windows: event_window_id, video_id, start_frame, end_frame (not included); scores: event_window_id, video_id, frame, score."""
+    keys = ["event_window_id", "video_id", FRAME]
+    want = windows.filter("start_frame < end_frame").select(*keys[:2], F.explode(F.sequence(F.col("start_frame"), F.col("end_frame") - 1)).alias(FRAME))
+    have = scores.groupBy(*keys).agg(F.count("*").alias("n_"), F.first("score").alias("score"))
+    j = want.join(have, keys, "left")
+    bad = j.filter("n_ is null or n_ > 1").select(*keys, F.when(F.col("n_").isNull(), "missing").otherwise("duplicate").alias("violation"))
+    return j.select(*keys, "score").join(bad.select(*keys[:2]).distinct(), keys[:2], "left_anti"), bad
+
+
+def hit_windows(hits: DataFrame, frames: DataFrame, radius_ms: float) -> DataFrame:
+    """Each hit with the frames within the radius of its time: start and end frame (not included), start and end time.
+
+    The end is the time of the end frame, or after the last frame of a video the last time plus the last step. Hits of
+    unknown frames, or of frames without a time, keep null bounds. hits: video_id, frame and further columns."""
+    f = frames.select("video_id", FRAME, F.col("timestamp_ms").cast("double").alias("t_")).filter(F.col("t_").isNotNull() & F.col(FRAME).isNotNull())
+    asked = hits.select("video_id", FRAME).distinct().join(f.withColumnRenamed("t_", "hit_"), ["video_id", FRAME])
+    span = asked.select("video_id", F.col(FRAME).alias("of_"), F.greatest(F.lit(0.0), F.col("hit_") - radius_ms).alias("low_"), (F.col("hit_") + radius_ms).alias("high_"))
+    band = stab(span, f, "video_id", "low_", "high_", "t_", closed=True).select("video_id", "of_", FRAME, "t_")
+    band = band.unionByName(asked.filter(F.col("hit_") < 0).select("video_id", F.col(FRAME).alias("of_"), FRAME, F.col("hit_").alias("t_")).join(band.select("video_id", "of_").distinct(), ["video_id", "of_"], "left_anti"))
+    ends = band.groupBy("video_id", "of_").agg(F.min(FRAME).alias("start_frame"), (F.max(FRAME) + 1).alias("end_frame"), F.min_by("t_", FRAME).alias("start_ms"), F.max_by("t_", FRAME).alias("inside_"))
+    last = F.max(F.struct(FRAME, "t_"))
+    tail = f.groupBy("video_id").agg(last.alias("x_"), F.count("*").alias("n_"))
+    before = f.join(tail.select("video_id", F.col(f"x_.{FRAME}").alias("last_")), "video_id").filter(F.col(FRAME) < F.col("last_")).groupBy("video_id").agg(last.alias("y_"))
+    tail = tail.join(before, "video_id", "left").select("video_id", F.when(F.col("n_") > 1, F.col("x_.t_") + F.greatest(F.col("x_.t_") - F.col("y_.t_"), F.lit(0.0))).alias("after_"))
+    at_end = f.select("video_id", F.col(FRAME).alias("end_frame"), F.col("t_").alias("end_"))
+    out = ends.join(at_end, ["video_id", "end_frame"], "left").join(tail, "video_id", "left").select("video_id", F.col("of_").alias(FRAME), "start_frame", "end_frame", "start_ms", F.coalesce("end_", "after_", "inside_").alias("end_ms"))
+    return hits.join(out, ["video_id", FRAME], "left")

@@ -115,6 +115,37 @@ def test_peaks_by_distance(spark, tmp_path):
     assert sorted((r.shot_id, r.original_frame_id) for r in plans.shot_peaks(spark, str(tmp_path)).collect()) == [(0, 99), (0, 160), (0, 300)]
 
 
+def test_snapped_targets(spark):
+    frames = spark.createDataFrame([("v", 0, i, t) for i, t in ((5, 0.0), (6, 40.0), (7, 80.0), (8, 80.0), (9, None))] + [("v", 1, 20, 1000.0)], "video_id string, shot_id int, original_frame_id long, t double")
+    targets = spark.createDataFrame([("v", 0, x) for x in (-9.0, 20.0, 61.0, 80.0, 900.0)] + [("v", 1, 70.0), ("w", 0, 1.0)], "video_id string, shot_id int, target double")
+    for block in (50, 65_536):
+        got = timeline.snap_targets(targets, frames, ["video_id", "shot_id"], "t", "target", block).collect()
+        assert {(r.video_id, r.shot_id, r.target): r.original_frame_id for r in got} == {("v", 0, -9.0): 5, ("v", 0, 20.0): 5, ("v", 0, 61.0): 7, ("v", 0, 80.0): 7, ("v", 0, 900.0): 7, ("v", 1, 70.0): 20, ("w", 0, 1.0): None}
+
+
+def test_event_scores(spark):
+    windows = spark.createDataFrame([("e1", "v", 3, 6), ("e2", "v", 0, 2), ("e3", "v", 0, 2)], "event_window_id string, video_id string, start_frame long, end_frame long")
+    rows = [("e1", "v", i, i / 10) for i in (2, 3, 4, 5, 6)] + [("e2", "v", 0, 0.1), ("e3", "v", 0, 0.1), ("e3", "v", 1, 0.1), ("e3", "v", 1, 0.1)]
+    good, bad = timeline.event_scores(windows, spark.createDataFrame(rows, "event_window_id string, video_id string, original_frame_id long, score double"))
+    assert sorted((r.event_window_id, r.original_frame_id, r.score) for r in good.collect()) == [("e1", 3, 0.3), ("e1", 4, 0.4), ("e1", 5, 0.5)]
+    assert sorted((r.event_window_id, r.original_frame_id, r.violation) for r in bad.collect()) == [("e2", 1, "missing"), ("e3", 1, "duplicate")]
+
+
+def test_windows_around_hits(spark):
+    frames = spark.createDataFrame([("v", i, i * 1000.0) for i in range(10)] + [("w", 4, 70.0), ("v", 50, None)], "video_id string, original_frame_id long, timestamp_ms double")
+    hits = spark.createDataFrame([("v", 5, 0.5), ("v", 9, 0.9), ("v", 0, 0.1), ("w", 4, 0.2), ("v", 77, 0.3), ("v", 50, 0.3)], "video_id string, original_frame_id long, score double")
+    got = {(r.video_id, r.original_frame_id): (r.start_frame, r.end_frame, r.start_ms, r.end_ms) for r in timeline.hit_windows(hits, frames, 2000.0).collect()}
+    assert got == {("v", 5): (3, 8, 3000.0, 8000.0), ("v", 9): (7, 10, 7000.0, 10000.0), ("v", 0): (0, 3, 0.0, 3000.0), ("w", 4): (4, 5, 70.0, 70.0), ("v", 77): (None,) * 4, ("v", 50): (None,) * 4}
+
+
+def test_tiers_and_readiness(spark):
+    tier = lambda *x: one(spark, num.quality_tier(*(F.lit(v).cast("double") for v in x)))
+    assert [tier(9.9, 99, 9), tier(245.5, 99, 9), tier(10, 99, 4.9), tier(10, 29.9, 5), tier(245, 30, 5), tier(float("nan"), 99, 9), tier(None, 30, 5)] == ["low", "low", "low", "medium", "high", "low", None]
+    ready = lambda c, m: tuple(one(spark, num.audio_ready(F.lit(c).cast("double"), F.lit(m).cast("double"))))
+    assert ready(0.6, None) == (True, []) and ready(0.6, 2.4) == (False, ["chất lượng âm thanh thấp"]) and ready(0.59, 2.5) == (False, ["confidence thấp"])
+    assert ready(0.7, 9.0) == (True, []) and ready(None, 1.0) == (None, ["chất lượng âm thanh thấp"])
+
+
 def test_majority(spark):
     df = spark.createDataFrame([("g", "b", 1), ("g", "a", 2), ("g", "a", 3), ("g", "b", 4), ("g", "unknown", 5), ("g", None, 6), ("h", None, 1)], "g string, a string, i int")
     assert [(r.g, r.a, r.n_votes) for r in fusion.majority(df, ["g"], "a", "i").collect()] == [("g", "b", 2)]

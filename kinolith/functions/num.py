@@ -83,8 +83,9 @@ def candidate_key(video: str | Column, frame: str | Column, start: str | Column,
 
 
 def modality(branch: str | Column) -> Column:
+    """What a branch searches: clip is the embedding, ocr_ and asr_ branches are text and speech, others are what they are called."""
     b = _col(branch)
-    return F.when(b.startswith("ocr"), "ocr").when(b.startswith("asr"), "asr").when(b.startswith("caption"), "caption").when(b.startswith("object"), "object").otherwise("visual")
+    return F.when(b == "clip", "embedding").when(b.startswith("ocr_"), "ocr").when(b.startswith("asr_"), "asr").otherwise(b)
 
 
 def quality_gate(brightness: str | Column, contrast: str | Column, blur: str | Column, low: float = 15, high: float = 240, least_contrast: float = 10, least_blur: float = 100) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[\s\x{A0}\x{3000}]+"
+#: Letters that tell Vietnamese: d-stroke, and the twelve vowels with the five tones, but for those with neither mark nor tone.
+VIETNAMESE = "đ" + "".join(c for v in "aăâeêioôơuưy" for tone in ["", "\u0301", "\u0300", "\u0309", "\u0303", "\u0323"] if (c := unicodedata.normalize("NFC", v + tone)) > "z")
 
 
 def _col(c: str | Column) -> Column:
@@ -70,13 +72,21 @@ def fold(c: str | Column) -> Column:
 def language(c: str | Column) -> Column:
     """vi if Vietnamese letters occur, en if Latin letters do, else unknown."""
     c = F.lower(_col(c))
-    vietnamese = "[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]"
-    return F.when(c.rlike(vietnamese), "vi").when(c.rlike("[a-z]"), "en").otherwise("unknown")
+    return F.when(c.rlike(f"[{VIETNAMESE}]"), "vi").when(c.rlike("[a-z]"), "en").otherwise("unknown")
 
 
-def quoted_phrases(c: str | Column) -> Column:
-    """Texts between double quotes, straight or curly."""
-    return F.regexp_extract_all(_col(c), F.lit('["“]([^"“”]+)["”]'), 1)
+def quoted_phrases(c: str | Column, before: list[str] | None = None) -> Column:
+    """Texts of at most 200 characters between quotes, straight or curly; with `before`, those with one of the words in the 60 characters in front."""
+    c = _col(c)
+    if before is None:
+        return F.regexp_extract_all(c, F.lit("[\"“”']([^\"“”']{1,200})[\"“”']"), 1)
+
+    @F.arrow_udf("array<string>")
+    def run(x: pa.Array) -> pa.Array:
+        quote = re.compile("[\"“”']([^\"“”']{1,200})[\"“”']")
+        return pa.array([None if t is None else [m[1] for m in quote.finditer(t) if any(w in t[max(0, m.start() - 60) : m.start()].lower() for w in before)] for t in x.to_pylist()], pa.list_(pa.string()))
+
+    return run(c)
 
 
 def concept_tokens(c: str | Column, stopwords: list[str], longest: int = 16) -> Column:
@@ -180,9 +190,11 @@ def rank_cd(lexemes: str | Column, terms: list[str]) -> Column:
 
 
 def natural_key(c: str | Column) -> Column:
-    """Sort key in which runs of digits compare as numbers: each run padded to 12."""
-    parts = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    """Sort key in which runs of digits compare as numbers of any length: each run behind its number of digits, without leading zeros."""
+    parts = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    bare = lambda p: F.ltrim(p, F.lit("0"))
+    number = lambda p: F.concat(F.lit("\x01"), F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p), F.lit("\x01"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), number(p)).otherwise(p)), "")
 
 
 def csv_cell(c: str | Column) -> Column:

@@ -85,8 +85,14 @@ def medoids(vectors: np.ndarray, times: list[float], threshold: float) -> list[i
     return sorted(out, key=lambda m: (times[m], m))
 
 
+#: How plausible a step is, by its milliseconds: (less than, weight), then the weight beyond all.
+STEPS = [(400, 0.5), (1_000, 1.0), (120_001, 1.2), (900_001, 1.0)]
+FAR = 0.8
+
+
 def step_weight(ms: float) -> float:
-    return 0.5 if ms < 400 else 1.2 if 1_000 <= ms <= 120_000 else 0.8 if ms > 900_000 else 1.0
+    """How plausible a step between two events of a sequence is."""
+    return next((w for most, w in STEPS if ms < most), FAR)
 
 
 def align(frames: list[int], times: list[float], scores: list[list[float]]) -> tuple[float, list[int]] | None:

@@ -5,30 +5,34 @@ of the rows is spread over many tasks. Frames must be distinct in (video_id, ori
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.operators.skew import previous_in_entity, running_in_entity
+from kinolith.operators.skew import previous_in_entity, scan_entity
 from kinolith.operators.temporal import stab
-
+from kinolith.session import width
 
 VIDEO, FRAME = ["video_id"], "original_frame_id"
 
 
-def change_signals(frames: DataFrame, value: str) -> DataFrame:
-    """Absolute change against the previous frame, 0 for the first; scene change as min(1, motion / 64)."""
-    f = previous_in_entity(frames, VIDEO, FRAME, F.col(value), "before_")
+def change_signals(frames: DataFrame, value: str, text: str | None = None) -> DataFrame:
+    """Absolute change against the previous frame, 0 for the first; scene change as min(1, motion / 64); with `text`, its change too."""
+    asked = {"before_": ("lag", F.col(value))} | ({"text_before_": ("lag", F.col(text))} if text else {})
+    f = scan_entity(frames, VIDEO, FRAME, asked)
     motion = F.coalesce(F.abs(F.col(value) - F.col("before_")), F.lit(0.0))
-    return f.withColumn("motion", motion).withColumn("scene", F.least(F.lit(1.0), F.col("motion") / 64)).drop("before_")
+    f = f.withColumn("motion", motion).withColumn("scene", F.least(F.lit(1.0), F.col("motion") / 64)).drop("before_")
+    return f.withColumn("text_change", F.coalesce(F.abs(F.col(text) - F.col("text_before_")), F.lit(0.0))).drop("text_before_") if text else f
 
 
 def neighbour_average(frames: DataFrame, value: str) -> DataFrame:
     """Mean of the pair values before and after a frame (those that exist)."""
-    f = previous_in_entity(frames, VIDEO, FRAME, F.col(value), "a_").withColumn("pair_", F.abs(F.col(value) - F.col("a_")))
-    back = f.withColumn("back_", -F.col(FRAME))
-    g = previous_in_entity(back, VIDEO, "back_", F.col("pair_"), "after_")  # the pair of the following frame
-    mean = F.when(F.col("pair_").isNull(), F.col("after_")).when(F.col("after_").isNull(), F.col("pair_")).otherwise((F.col("pair_") + F.col("after_")) / 2)
-    return g.withColumn("motion_avg", mean).drop("a_", "pair_", "back_", "after_")
+    g = scan_entity(frames, VIDEO, FRAME, {"a_": ("lag", F.col(value)), "b_": ("lead", F.col(value))})
+    before, after = F.abs(F.col(value) - F.col("a_")), F.abs(F.col("b_") - F.col(value))
+    mean = F.when(before.isNull(), after).when(after.isNull(), before).otherwise((before + after) / 2)
+    return g.withColumn("motion_avg", mean).drop("a_", "b_")
 
 
 def minmax(df: DataFrame, value: str, partition: list[str], name: str) -> DataFrame:
@@ -59,48 +63,70 @@ def pts_origin(frames: DataFrame) -> DataFrame:
 def interpolate(frames: DataFrame, value: str, name: str) -> DataFrame:
     """Missing values on the line between their known neighbours; the ends hold the nearest known value."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(FRAME).alias("i"), F.col(value).alias("v")))
-    f = running_in_entity(frames, VIDEO, FRAME, known, "last", "a_")
-    f = running_in_entity(f, VIDEO, FRAME, known, "next", "b_")
+    f = scan_entity(frames, VIDEO, FRAME, {"a_": ("last", known), "b_": ("next", known)})
     line = F.col("a_.v") + (F.col("b_.v") - F.col("a_.v")) * (F.col(FRAME) - F.col("a_.i")) / F.nullif(F.col("b_.i") - F.col("a_.i"), F.lit(0))
     return f.withColumn(name, F.coalesce(F.col(value), line, F.col("a_.v"), F.col("b_.v"))).drop("a_", "b_")
 
 
 def last_key_frame(frames: DataFrame) -> DataFrame:
     """The codec keyframe at or before each frame."""
-    return running_in_entity(frames, VIDEO, FRAME, F.when(F.col("is_codec_keyframe"), F.col(FRAME)), "last", "key_frame_id")
+    return scan_entity(frames, VIDEO, FRAME, {"key_frame_id": ("last", F.when(F.col("is_codec_keyframe"), F.col(FRAME)))})
 
 
-def shots(frames: DataFrame, value: str, threshold: float) -> DataFrame:
+def shots(frames: DataFrame, value: str, threshold: float, distinct: bool = False) -> DataFrame:
     """Shots from cut probabilities: each maximal run above the threshold gives one boundary at its middle (s+e+1)//2.
 
-    Only frames above the threshold go on to the runs, and one row per shot to the last window."""
-    pos = running_in_entity(frames.select("video_id", FRAME, value), VIDEO, FRAME, F.lit(1), "sum", "i_").withColumn("i_", F.col("i_") - 1)
-    hard = pos.filter(F.coalesce(F.col(value) > threshold, F.lit(False))).select("video_id", "i_")
-    run = previous_in_entity(hard, VIDEO, "i_", F.col("i_"), "p_").withColumn("new_", F.when(F.col("p_") + 1 == F.col("i_"), 0).otherwise(1))
-    run = running_in_entity(run, VIDEO, "i_", F.col("new_"), "sum", "run_")
-    cuts = run.groupBy("video_id", "run_").agg(F.floor((F.min("i_") + F.max("i_") + 1) / 2).alias("start_frame"))
-    n = frames.groupBy("video_id").agg(F.count("*").alias("n_frames"))
-    starts = cuts.select("video_id", "start_frame").unionByName(n.select("video_id", F.lit(0).cast("long").alias("start_frame"))).distinct()
-    starts = starts.join(n, "video_id").filter("start_frame < n_frames")
-    w2 = Window.partitionBy("video_id").orderBy("start_frame")
+    One scan gives a frame its place and the number of frames above the threshold up to it; their difference is the same
+    for all of a run. One combining aggregate makes a row per run (and one per video for the rest), and only these go on."""
+    hard = F.coalesce(F.col(value) > threshold, F.lit(False))
+    pos = scan_entity(frames.select("video_id", FRAME, value), VIDEO, FRAME, {"i_": ("sum", F.lit(1)), "hard_": ("sum", hard.cast("long"))}, distinct=distinct)
+    pos = pos.select("video_id", (F.col("i_") - 1).alias("i_"), F.when(hard, F.col("i_") - F.col("hard_")).alias("run_"))
+    runs = pos.groupBy("video_id", "run_").agg(F.min("i_").alias("low_"), F.max("i_").alias("high_"))
+    start = F.when(F.col("run_").isNull(), F.lit(0)).otherwise(F.floor((F.col("low_") + F.col("high_") + 1) / 2)).cast("long")
+    whole = Window.partitionBy("video_id")
+    starts = runs.select("video_id", start.alias("start_frame"), (F.max("high_").over(whole) + 1).alias("n_frames")).filter("start_frame < n_frames")
+    # a video of hard frames only has no row for the rest, and a run at its start may give 0 again
+    starts = starts.withColumn("low_", F.min("start_frame").over(whole))
+    lacks = (F.col("low_") > 0) & (F.col("start_frame") == F.col("low_"))
+    starts = starts.withColumn("start_frame", F.explode(F.when(lacks, F.array(F.lit(0).cast("long"), F.col("start_frame"))).otherwise(F.array("start_frame"))))
+    starts = starts.select("video_id", "start_frame", "n_frames").dropDuplicates(["video_id", "start_frame"])
+    w2 = whole.orderBy("start_frame")
     end = F.coalesce(F.lead("start_frame").over(w2), F.col("n_frames")) - 1
     return starts.withColumn("end_frame", end).withColumn("shot_id", F.row_number().over(w2) - 1).select("video_id", "shot_id", "start_frame", "end_frame")
 
 
 def merge_short(table: DataFrame, least: int) -> DataFrame:
-    """Shots shorter than `least` join the one before; a short first shot joins the second."""
-    lists = table.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame"))).alias("xs"))
-    merged = F.aggregate(
-        "xs",
-        F.slice("xs", 1, 0),
-        lambda acc, x: F.when(F.size(acc) == 0, F.array(x))
-        .when(
-            (x["end_frame"] - x["start_frame"] + 1 < least) | ((F.size(acc) == 1) & (acc[0]["end_frame"] - acc[0]["start_frame"] + 1 < least)),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start_frame"].alias("start_frame"), x["end_frame"].alias("end_frame")))),
-        )
-        .otherwise(F.concat(acc, F.array(x))),
-    )
-    return lists.select("video_id", F.posexplode(merged).alias("shot_id", "x")).select("video_id", "shot_id", "x.start_frame", "x.end_frame")
+    """Shots shorter than `least` join the one before; a short first shot joins the second.
+
+    A fold over the sorted shots that holds one open shot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None  # video, number, start, end of the open shot
+
+        for b in batches:
+            out = []
+            for v, s, e in zip(*(c.to_pylist() for c in b.columns)):
+                if now is None or now[0] != v:
+                    if now is not None:
+                        out.append(now)
+                    now = (v, 0, s, e)
+                elif e - s + 1 < least or (now[1] == 0 and now[3] - now[2] + 1 < least):
+                    now = (v, now[1], now[2], e)
+                else:
+                    out.append(now)
+                    now = (v, now[1] + 1, s, e)
+            if out:
+                yield _shot_batch(out)
+        if now is not None:
+            yield _shot_batch([now])
+
+    rows = table.select("video_id", F.col("start_frame").cast("long"), F.col("end_frame").cast("long")).repartition(width(table.sparkSession), "video_id").sortWithinPartitions("video_id", "start_frame")
+    return rows.mapInArrow(run, "video_id string, shot_id int, start_frame long, end_frame long")
+
+
+def _shot_batch(rows: list[tuple]) -> pa.RecordBatch:
+    v, i, s, e = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(i, pa.int32()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["video_id", "shot_id", "start_frame", "end_frame"])
 
 
 def shot_targets(start: Column, end: Column, short: float = 3.0, medium: float = 4.0, period: float = 1.0) -> Column:
@@ -142,11 +168,10 @@ def weighted_choice(df: DataFrame, group: list[str], weights: dict[str, float])
 
 def timeline_violations(frames: DataFrame) -> DataFrame:
     """Rows that break a timeline: an id that is not its position, a time that goes back, a pts that comes twice."""
-    first = frames.groupBy("video_id").agg(F.min(FRAME).alias("first_"))
-    twice = frames.filter("pts is not null").groupBy("video_id", "pts").agg(F.count("*").alias("same_"))
-    f = running_in_entity(frames, VIDEO, FRAME, F.lit(1), "sum", "nth_", ties=["decoded_frame_index"])
-    f = previous_in_entity(f, VIDEO, FRAME, F.col("timestamp_ms"), "before_").join(first, "video_id").join(twice, ["video_id", "pts"], "left")
-    kinds = F.array_compact(F.array(F.when(F.col("nth_") - 1 + F.col("first_") != F.col(FRAME), "position"), F.when(F.col("timestamp_ms") < F.col("before_"), "time"), F.when(F.col("same_") > 1, "pts")))
+    twice = frames.filter("pts is not null").groupBy("video_id", "pts").agg(F.count("*").alias("same_")).filter("same_ > 1")
+    f = scan_entity(frames, VIDEO, FRAME, {"nth_": ("sum", F.lit(1)), "before_": ("lag", F.col("timestamp_ms")), "first_": ("first", F.col(FRAME))}, ties=["decoded_frame_index"])
+    f = f.join(twice, ["video_id", "pts"], "left")
+    kinds = F.array_compact(F.array(F.when(F.col("nth_") - 1 + F.col("first_") != F.col(FRAME), "position"), F.when(F.col("timestamp_ms") < F.col("before_"), "time"), F.when(F.col("same_").isNotNull(), "pts")))
     return f.select("video_id", FRAME, F.explode(kinds).alias("violation"))
 
 
@@ -172,8 +197,7 @@ def snap_targets(targets: DataFrame, frames: DataFrame, group: list[str], at: st
     f = frames.filter(F.col(at).isNotNull() & F.col(FRAME).isNotNull()).groupBy(*group, F.col(at).cast("double").alias("t_")).agg(F.min(FRAME).alias("f_")).withColumn("ask_", F.lit(0))
     t = targets.filter(F.col(target).isNotNull()).select(*group, F.col(target).cast("double").alias("t_")).distinct().withColumn("f_", F.lit(None).cast("long")).withColumn("ask_", F.lit(1))
     held = F.when(F.col("ask_") == 0, F.struct("t_", "f_"))
-    u = running_in_entity(f.unionByName(t), group, "t_", held, "last", "a_", block, ["ask_"])
-    u = running_in_entity(u, group, "t_", held, "next", "b_", block, ["ask_"]).filter("ask_ = 1")
+    u = scan_entity(f.unionByName(t), group, "t_", {"a_": ("last", held), "b_": ("next", held)}, block, ["ask_"]).filter("ask_ = 1")
     near = F.least(*[F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x)["t_"] - F.col("t_")).alias("d"), F.col(x)["f_"].alias("f"))) for x in ("a_", "b_")])
     return u.select(*group, F.col("t_").alias(target), near["f"].alias(FRAME))
 

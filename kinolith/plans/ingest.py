@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,27 +25,17 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
     return a.select(clean_id("video_id").alias("video_id"), "keyframe_no", "original_frame_id", "timestamp_ms", "thumbnail_object_key", "metadata", "created_at").distinct()
 
 
-def _counts(spark: SparkSession, d: str, names: Iterable[str]) -> DataFrame:
+@query(" UNION ALL ".join(f"SELECT '{t}' table_name, count(*) n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) n_distinct FROM {t}" for t in TABLES))
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and different rows of every table; vectors count by value."""
     out = None
-    for t in names:
+    for t in TABLES:
         df = table(spark, d, t)
         one = df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(F.lit(t).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' table_name, count(*) n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) n_distinct FROM {t}" for t in TABLES if t not in ("embedding_result",)))
-def table_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and different rows per table, but for the table with the vectors (`all_table_counts` has it)."""
-    return _counts(spark, d, [t for t in TABLES if t != "embedding_result"])
-
-
-@query(" UNION ALL ".join(f"SELECT '{t}' table_name, count(*) n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) n_distinct FROM {t}" for t in TABLES))
-def all_table_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and different rows of every table; vectors count by value."""
-    return _counts(spark, d, TABLES)
-
-
 @query("SELECT status, count(*) n, count(DISTINCT alignment_id) n_alignments FROM (SELECT DISTINCT * REPLACE (upper(trim(video_id)) AS video_id) FROM trake_alignment) GROUP BY 1")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "trake_alignment").withColumn("video_id", clean_id("video_id")).distinct()
@@ -192,7 +180,7 @@ def coverage_at_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
     t = table(spark, d, "trake_alignment").filter("timestamp_ms is not null").select("alignment_id", "event_ordinal", clean_id("video_id").alias("video_id"), F.col("timestamp_ms").alias("t")).distinct()
     a = aliases(spark, d).select("video_id", F.col("timestamp_ms").alias("k")).distinct()
-    near = nearest_row(t, a, "video_id", "t", "k", ["k"], ["alignment_id", "event_ordinal"], ["k"], 2000)
+    near = nearest_row(t, a, "video_id", "t", "k", ["k"], ["k"], 2000, block=600_000)
     return near.groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("distance").isNotNull(), 1.0).otherwise(0.0)), 6).alias("covered"))
 
 
@@ -226,7 +214,8 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return a.select("video_id", "keyframe_no", num.stable_id("kf", "video_id", "keyframe_no", "original_frame_id").alias("stable_id"), F.get_json_object("metadata", "$.selected_by").alias("selected_by"), F.get_json_object("metadata", "$.shot_id").try_cast("long").alias("shot_id"))
 
 
-@query(f"""WITH {_AL} SELECT video_id, keyframe_no, thumbnail_object_key, regexp_replace(lower(thumbnail_object_key), '(\\d+)', '<\\1>', 'g') marked FROM al WHERE thumbnail_object_key IS NOT NULL""" if False else None)
+@query(f"""WITH {_AL}, k AS (SELECT video_id, keyframe_no, list_transform(regexp_extract_all(lower(thumbnail_object_key), '([0-9]+|[^0-9]+)', 1), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN chr(1) || lpad(length(ltrim(p, '0'))::VARCHAR, 10, '0') || ltrim(p, '0') || chr(1) ELSE p END) ps
+ FROM al WHERE thumbnail_object_key IS NOT NULL) SELECT video_id, keyframe_no, array_to_string(ps, '') sort_key FROM k""")
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
     """Object keys in natural order."""
     a = aliases(spark, d).filter("thumbnail_object_key is not null")
@@ -260,8 +249,8 @@ def feature_bundle(spark: SparkSession, d: str) -> DataFrame:
     return j.select("video_id", F.when(F.size("has") == 4, "completed").otherwise("partial").alias("status"), F.when(F.size("has") > 0, F.array_join("has", ",")).alias("available"), F.when(F.size(lacks) > 0, F.array_join(lacks, ",")).alias("failed"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]') THEN 'vi' WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' ELSE 'unknown' END detected,
- len(regexp_extract_all(text, '["“]([^"“”]+)["”]', 1)) n_quoted FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)""")
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[{text.VIETNAMESE}]') THEN 'vi' WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' ELSE 'unknown' END detected,
+ len(regexp_extract_all(text, '["“”'']([^"“”'']{{1,200}})["“”'']', 1)) n_quoted FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)""")
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select("doc_id", "text").filter("text is not null").distinct()
     return x.select("doc_id", text.language("text").alias("detected"), F.size(text.quoted_phrases("text")).alias("n_quoted"))

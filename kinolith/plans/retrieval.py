@@ -190,37 +190,40 @@ def _branch_hits(spark: SparkSession, d: str) -> DataFrame:
     return h.select("query_id", "branch", num.candidate_key("video_id", "original_frame_id", "start_ms", "end_ms").alias("key"), "video_id", "original_frame_id", "start_ms", "end_ms", F.col("result_no").alias("rank"), F.col("score").alias("raw_score"), "evidence_id")
 
 
-_BRANCH = f"""{_HITS}, bh AS (SELECT evidence_type branch, video_id, original_frame_id, start_ms, end_ms, result_no rank, score raw_score, evidence_id,
+_BRANCH = f"""{_HITS}, bh AS (SELECT query_id, evidence_type branch, video_id, original_frame_id, start_ms, end_ms, result_no rank, score raw_score, evidence_id,
   CASE WHEN original_frame_id IS NOT NULL THEN video_id || ':frame:' || original_frame_id ELSE video_id || ':time:' || start_ms || ':' || end_ms END AS key
   FROM (SELECT hits.*, evidence_type FROM hits JOIN ev USING (evidence_id) WHERE hits.start_ms IS NOT NULL AND hits.end_ms IS NOT NULL)),
-bn AS (SELECT *, row_number() OVER (PARTITION BY branch, key ORDER BY raw_score DESC, rank, evidence_id) n FROM bh),
-ba AS (SELECT branch, key, max(video_id) video_id, round(0.7 * max(raw_score) + 0.3 * avg(raw_score) FILTER (n <= 3) + least(0.10, 0.02 * (count(*) - 1)), 9) raw, count(*) n_hits,
-  min(start_ms) start_ms, greatest(max(end_ms), min(start_ms) + 1) end_ms, list_sort(list(DISTINCT evidence_id)) evidence_ids FROM bn GROUP BY branch, key),
-br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY raw DESC, key) rank FROM ba) WHERE rank <= 100)"""
+bn AS (SELECT *, row_number() OVER (PARTITION BY query_id, branch, key ORDER BY raw_score DESC, rank, evidence_id) n FROM bh),
+ba AS (SELECT query_id, branch, key, max(video_id) video_id, round(0.7 * max(raw_score) + 0.3 * avg(raw_score) FILTER (n <= 3) + least(0.10, 0.02 * (count(*) - 1)), 9) raw, count(*) n_hits,
+  min(start_ms) start_ms, greatest(max(end_ms), min(start_ms) + 1) end_ms, list_sort(list(DISTINCT evidence_id)) evidence_ids FROM bn GROUP BY query_id, branch, key),
+br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, branch ORDER BY raw DESC, key) rank FROM ba) WHERE rank <= 100)"""
 
 
-@query(f"WITH {_BRANCH} SELECT branch, key, video_id, round(raw, 6)::DOUBLE raw, n_hits, start_ms, end_ms, len(evidence_ids) n_evidence, rank FROM br")
+@query(f"WITH {_BRANCH} SELECT query_id, branch, key, video_id, round(raw, 6)::DOUBLE raw, n_hits, start_ms, end_ms, len(evidence_ids) n_evidence, rank FROM br")
 def branch_aggregate(spark: SparkSession, d: str) -> DataFrame:
     a = fusion.branch_aggregate(_branch_hits(spark, d), 100)
-    return a.select("branch", "key", "video_id", F.round("raw", 6).alias("raw"), "n_hits", "start_ms", "end_ms", F.size("evidence_ids").alias("n_evidence"), "rank")
+    return a.select("query_id", "branch", "key", "video_id", F.round("raw", 6).alias("raw"), "n_hits", "start_ms", "end_ms", F.size("evidence_ids").alias("n_evidence"), "rank")
 
 
 @query(f"""
-WITH {_BRANCH}, c AS (SELECT *, CASE branch WHEN 'object' THEN 1.2 WHEN 'ocr' THEN 1.25 WHEN 'asr' THEN 1.25 ELSE 1.0 END / (60 + rank) c FROM br WHERE branch <> 'frame')
-SELECT key, round(sum(c), 6)::DOUBLE score, max(video_id) video_id, min(start_ms) start_ms, max(end_ms) end_ms, count(*) n_branches, string_agg(branch, ',' ORDER BY c DESC, branch) trace
-FROM c GROUP BY key ORDER BY round(sum(c), 9) DESC, key LIMIT 500""")
+WITH {_BRANCH}, c AS (SELECT *, CASE branch WHEN 'object' THEN 1.2 WHEN 'ocr' THEN 1.25 WHEN 'asr' THEN 1.25 ELSE 1.0 END / (60 + rank) c FROM br WHERE branch <> 'frame'),
+g AS (SELECT query_id, key, sum(c) s, max(video_id) video_id, min(start_ms) start_ms, max(end_ms) end_ms, count(*) n_branches, string_agg(branch, ',' ORDER BY c DESC, branch) trace FROM c GROUP BY query_id, key),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, key) rank FROM g)
+SELECT query_id, rank, key, round(s, 6)::DOUBLE score, video_id, start_ms, end_ms, n_branches, trace FROM n WHERE rank <= 500""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: branches aggregated per frame or time, cut to their best, fused by weighted reciprocal rank."""
+    """Flagship: each query's branches aggregated per frame or time, cut to their best, fused by weighted reciprocal rank."""
     branches = fusion.branch_aggregate(_branch_hits(spark, d), 100)
     fused = fusion.weighted_rrf(branches, {"object": 1.2, "ocr": 1.25, "asr": 1.25, "frame": 0.0})
-    return fused.withColumn("score", F.round("score", 6))
+    return fused.select("query_id", "rank", "key", F.round("score", 6).alias("score"), "video_id", "start_ms", "end_ms", "n_branches", "trace")
 
 
 @query(f"""
-WITH {_BRANCH}, o AS (SELECT branch, key, min(rank) least_rank, max(raw_score) raw_score, min(start_ms) start_ms, max(end_ms) end_ms FROM bh GROUP BY 1, 2)
-SELECT branch, key, least_rank, raw_score, start_ms, end_ms, row_number() OVER (PARTITION BY branch ORDER BY least_rank, raw_score DESC, key) rank FROM o""")
+WITH {_BRANCH}, o AS (SELECT query_id, branch, key, min(rank) least_rank, max(raw_score) raw_score, min(start_ms) start_ms, max(end_ms) end_ms FROM bh GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, branch ORDER BY least_rank, raw_score DESC, key) rank FROM o)
+SELECT query_id, branch, key, least_rank, raw_score, start_ms, end_ms, rank FROM n WHERE rank <= 5""")
 def variant_merge(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.merge_variants(_branch_hits(spark, d)).select("branch", "key", "least_rank", "raw_score", "start_ms", "end_ms", "rank")
+    """Hits of a query's variants merged per branch, the best five kept."""
+    return fusion.merge_variants(_branch_hits(spark, d), 5).select("query_id", "branch", "key", "least_rank", "raw_score", "start_ms", "end_ms", "rank")
 
 
 @query("""
@@ -233,14 +236,14 @@ def majority_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_BRANCH}, s AS (SELECT key, video_id, rank, round(raw, 6) score FROM br WHERE branch = 'ocr'),
-x AS (SELECT *, rank <= 20 head, CASE WHEN rank <= 20 THEN score * greatest(0.1, 1 + ((rank % 7 * 15.0 - 50) / 50) * 0.3) ELSE score END s2 FROM s)
-SELECT key, round(s2, 6)::DOUBLE score, row_number() OVER (ORDER BY CASE WHEN head THEN 0 ELSE 1 END, CASE WHEN head THEN -s2 ELSE rank END, key) new_rank FROM x""")
+WITH {_BRANCH}, s AS (SELECT query_id, key, video_id, rank, round(raw, 6) score FROM br WHERE branch = 'ocr'),
+x AS (SELECT *, rank <= 3 head, CASE WHEN rank <= 3 THEN score * greatest(0.1, 1 + ((rank % 7 * 15.0 - 50) / 50) * 0.3) ELSE score END s2 FROM s)
+SELECT query_id, key, round(s2, 6)::DOUBLE score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN head THEN 0 ELSE 1 END, CASE WHEN head THEN -s2 ELSE rank END, key) new_rank FROM x""")
 def rerank_head(spark: SparkSession, d: str) -> DataFrame:
     """A scored head before the untouched tail."""
-    b = fusion.branch_aggregate(_branch_hits(spark, d), 100).filter("branch = 'ocr'").select("key", "rank", F.round("raw", 6).alias("score"))
-    scores = b.select("key", (F.col("rank") % 7 * 15.0).alias("model_score"))
-    return fusion.rerank_head(b, scores, 20, 0.3).select("key", F.round("score", 6).alias("score"), "new_rank")
+    b = fusion.branch_aggregate(_branch_hits(spark, d), 100).filter("branch = 'ocr'").select("query_id", "key", "rank", F.round("raw", 6).alias("score"))
+    scores = b.select("query_id", "key", (F.col("rank") % 7 * 15.0).alias("model_score"))
+    return fusion.rerank_head(b, scores, 3, 0.3).select("query_id", "key", F.round("score", 6).alias("score"), "new_rank")
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinolith.functions import num, vector
 from kinolith.operators import selection, temporal, timeline
-from kinolith.operators.skew import running_in_entity
+from kinolith.operators.skew import scan_entity
 from kinolith.plans.catalog import Catalog
 from kinolith.plans.evidence import speech_spans
 from kinolith.plans.evidence_sql import _SPANS
@@ -21,7 +21,12 @@ _V = "WINDOW w AS (PARTITION BY video_id ORDER BY original_frame_id)"
 
 def frames(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Distinct frames with the columns asked for; only these reach the exchange."""
-    return table(spark, d, "frame_manifest").filter("original_frame_id is not null").select("video_id", "original_frame_id", *cols).distinct()
+    return raw_frames(spark, d, *cols).distinct()
+
+
+def raw_frames(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Frames with the columns asked for, repeats included, for scans that take them out in their own exchange."""
+    return table(spark, d, "frame_manifest").filter("original_frame_id is not null").select("video_id", "original_frame_id", *cols)
 
 
 @query(f"""WITH {_FR} SELECT video_id, original_frame_id, coalesce(abs(brightness_score::DOUBLE - lag(brightness_score::DOUBLE) OVER w), 0) motion,
@@ -83,7 +88,7 @@ shots AS (SELECT st.video_id, row_number() OVER (PARTITION BY st.video_id ORDER
 
 
 def _shots(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.shots(frames(spark, d, "scene_change_score"), "scene_change_score", 0.9)
+    return timeline.shots(raw_frames(spark, d, "scene_change_score"), "scene_change_score", 0.9, distinct=True)
 
 
 @query(f"WITH {_SHOTS} SELECT * FROM shots")
@@ -173,13 +178,13 @@ def interval_stab(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT DISTINCT alignment_id, event_ordinal, upper(trim(video_id)) video_id, original_frame_id c FROM trake_alignment WHERE original_frame_id IS NOT NULL),
 k AS (SELECT DISTINCT upper(trim(video_id)) video_id, original_frame_id f FROM frame_aliases WHERE original_frame_id IS NOT NULL),
-j AS (SELECT alignment_id, event_ordinal, f, abs(f - c) d, row_number() OVER (PARTITION BY alignment_id, event_ordinal ORDER BY abs(f - c), f) n FROM t JOIN k USING (video_id) WHERE abs(f - c) <= 200)
+j AS (SELECT alignment_id, event_ordinal, f, abs(f - c) d, row_number() OVER (PARTITION BY alignment_id, event_ordinal ORDER BY abs(f - c), f) n FROM t JOIN k USING (video_id))
 SELECT alignment_id, event_ordinal, f near_frame, d distance FROM j WHERE n = 1""")
 def nearest_keyframe(spark: SparkSession, d: str) -> DataFrame:
-    """The keyframe nearest by frame id within 200, ties to the smaller id."""
+    """The keyframe nearest by frame id, however far, ties to the smaller id."""
     t = table(spark, d, "trake_alignment").filter("original_frame_id is not null").select("alignment_id", "event_ordinal", clean_id("video_id").alias("video_id"), F.col("original_frame_id").alias("c")).distinct()
     k = table(spark, d, "frame_aliases").filter("original_frame_id is not null").select(clean_id("video_id").alias("video_id"), F.col("original_frame_id").alias("f")).distinct()
-    near = temporal.nearest_row(t, k, "video_id", "c", "f", ["f"], ["alignment_id", "event_ordinal"], ["f"], 200)
+    near = temporal.nearest_row(t, k, "video_id", "c", "f", ["f"], ["f"])
     return near.filter("near_f is not null").select("alignment_id", "event_ordinal", F.col("near_f").alias("near_frame"), "distance")
 
 
@@ -294,7 +299,7 @@ def signal_peaks(spark: SparkSession, d: str) -> DataFrame:
 def shot_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Up to three motion peaks of each shot, of at least 0.25 and at least eight frames apart."""
     f = frames(spark, d, "scene_change_score")
-    place = running_in_entity(f, ["video_id"], "original_frame_id", F.lit(1), "sum", "i_").groupBy("video_id", "original_frame_id").agg((F.min("i_") - 1).alias("place"))
+    place = scan_entity(f, ["video_id"], "original_frame_id", {"i_": ("sum", F.lit(1))}).groupBy("video_id", "original_frame_id").agg((F.min("i_") - 1).alias("place"))
     j = frames(spark, d, "motion_score").join(place, ["video_id", "original_frame_id"]).withColumnRenamed("original_frame_id", "frame").withColumnRenamed("place", "original_frame_id")  # shots count places
     j = timeline.frames_in_shots(j, _shots(spark, d)).select("video_id", "shot_id", F.col("frame").alias("original_frame_id"), "motion_score")
     return temporal.top_peaks(j, ["video_id", "shot_id"], "original_frame_id", "motion_score", 0.25, 8, 3).select("video_id", "shot_id", "original_frame_id")

@@ -23,7 +23,6 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
-        "spark.sql.warehouse.dir": tempfile.gettempdir() + "/kinolith-warehouse",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName("kinolith")
     spark = builder.config(map=settings).getOrCreate()
@@ -42,9 +41,11 @@ def width(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset (tests)."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="kinolith-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -80,11 +81,16 @@ def clean_id(c: str | Column) -> Column:
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The row of each key with the latest `by`; rows equal in `by` fall to the largest remaining values, so the result is fixed.
 
-    One partial aggregate per map task, so a key repeated many times shrinks before the exchange. Null keys form one key."""
+    One partial aggregate per map task, so a key repeated many times shrinks before the exchange. Null keys form one key.
+    Columns that hold maps are carried along; as maps have no order, rows that differ only there are ranked by their JSON."""
     rest = [c for c in df.columns if c not in keys and c != by]
-    maps = [c for c, t in df.dtypes if t.startswith("map")]
-    rest = [c for c in rest if c not in maps]
-    row = F.struct(F.col(f"`{by}`").alias("by_"), *[F.col(f"`{c}`") for c in rest])
-    agg = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max(row).alias("row_"))
+    maps = {c for c, t in df.dtypes if "map<" in t}
+    held = F.struct(F.col(f"`{by}`").alias("by_"), *[F.col(f"`{c}`") for c in rest])
+    if maps:
+        rank = F.struct(F.col(f"`{by}`"), *[F.col(f"`{c}`") for c in rest if c not in maps], *[F.to_json(F.struct(F.col(f"`{c}`"))).alias(c) for c in rest if c in maps])
+        row = F.max_by(held, rank)
+    else:
+        row = F.max(held)
+    agg = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(row.alias("row_"))
     cols = [F.col(f"`{k}`") for k in keys] + [F.col("row_.by_").alias(by)] + [F.col(f"row_.`{c}`").alias(c) for c in rest]
     return agg.select(*cols)

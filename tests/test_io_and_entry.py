@@ -44,7 +44,7 @@ def test_equals_sql(spark, sf, name):
 
 
 def test_counts_of_the_vector_table(spark, sf):
-    got = {r.table_name: (r.n_rows, r.n_distinct) for r in entry.queries()["all_table_counts"](spark, sf).collect()}
+    got = {r.table_name: (r.n_rows, r.n_distinct) for r in entry.queries()["table_counts"](spark, sf).collect()}
     con = duckdb.connect()
     assert got["embedding_result"] == con.execute(f"SELECT count(*), (SELECT count(*) FROM (SELECT DISTINCT * FROM '{sf}/embedding_result.parquet')) FROM '{sf}/embedding_result.parquet'").fetchone()
     assert got["embedding_result"][0] > got["embedding_result"][1] and len(got) == 10

@@ -8,6 +8,7 @@ from kinolith.functions import num, text, vector
 from kinolith.operators import fusion, mapping, selection, temporal, timeline
 from kinolith.plans import planner
 from kinolith.plans import timeline as plans
+from kinolith.session import latest
 
 
 def one(spark, column):
@@ -78,17 +79,36 @@ def test_alignment():
     assert selection.align([], [], []) is None and selection.align([1], [0.0], [[0.5, 0.5]]) is None
 
 
+HITS = "query_id string, branch string, key string, video_id string, original_frame_id long, start_ms long, end_ms long, rank int, raw_score double, evidence_id string"
+
+
 def test_fusion(spark):
-    rows = [("caption", "v:10", "v", 10, 400, 500, 1, 0.9, "e1"), ("caption", "v:10", "v", 10, 400, 500, 2, 0.7, "e2"), ("object", "v:10", "v", 10, 400, 500, 1, 0.9, "e3")]
-    hits = spark.createDataFrame(rows, "branch string, key string, video_id string, original_frame_id long, start_ms long, end_ms long, rank int, raw_score double, evidence_id string")
+    rows = [("q", "caption", "v:10", "v", 10, 400, 500, 1, 0.9, "e1"), ("q", "caption", "v:10", "v", 10, 400, 500, 2, 0.7, "e2"), ("q", "object", "v:10", "v", 10, 400, 500, 1, 0.9, "e3")]
+    hits = spark.createDataFrame(rows, HITS)
     agg = {r.branch: r for r in fusion.branch_aggregate(hits, 10).collect()}
     assert agg["caption"]["rank"] == 1 and agg["caption"].n_hits == 2 and agg["caption"].evidence_ids == ["e1", "e2"]
     assert agg["caption"].raw == pytest.approx(0.7 * 0.9 + 0.3 * 0.8 + 0.02)
     fused = fusion.weighted_rrf(fusion.branch_aggregate(hits, 10), {"caption": 1.0, "object": 2.0}, 10).collect()
-    assert len(fused) == 1 and fused[0].score == pytest.approx(3 / 11) and fused[0].trace == "object,caption"
+    assert len(fused) == 1 and fused[0].score == pytest.approx(3 / 11) and fused[0].trace == "object,caption" and fused[0].evidence_ids == ["e3", "e1", "e2"]
     assert fusion.weighted_rrf(fusion.branch_aggregate(hits, 10), {"caption": 0.0, "object": 0.0}).count() == 0
 
 
+def test_queries_are_kept_apart(spark):
+    rows = [(q, "ocr", f"v:{f}", "v", f, 0, 1, r, 1.0 - r / 10, f"e{q}{f}") for q in ("q1", "q2") for r, f in enumerate((10, 11, 12), 1)]
+    hits = spark.createDataFrame(rows, HITS)
+    agg = fusion.branch_aggregate(hits, 2)
+    assert sorted((r.query_id, r.key, r.n_hits, r["rank"]) for r in agg.collect()) == [(q, f"v:{9 + i}", 1, i) for q in ("q1", "q2") for i in (1, 2)]
+    fused = fusion.weighted_rrf(agg, {}, 60, 1).collect()
+    assert sorted((r.query_id, r.key, r["rank"]) for r in fused) == [("q1", "v:10", 1), ("q2", "v:10", 1)]
+    assert fusion.merge_variants(hits, 2).count() == 4
+    head = fusion.rerank_head(fused_frame(spark), spark.createDataFrame([("q1", "a", 0.0), ("q1", "b", 100.0)], "query_id string, key string, model_score double"), 2, 1.0)
+    assert sorted((r.query_id, r.new_rank, r.key) for r in head.collect()) == [("q1", 1, "b"), ("q1", 2, "a"), ("q1", 3, "c"), ("q2", 1, "a")]
+
+
+def fused_frame(spark):
+    return spark.createDataFrame([("q1", "a", 1, 0.9), ("q1", "b", 2, 0.8), ("q1", "c", 3, 0.7), ("q2", "a", 1, 0.5)], "query_id string, key string, rank int, score double")
+
+
 def test_suppression(spark):
     df = spark.createDataFrame([("v", 10, 1000, 0.9), ("v", 11, 1500, 0.8), ("v", 12, 2201, 0.7), ("w", 11, 1500, 0.1)], "video_id string, f long, t long, score double")
     got = temporal.suppress_near(df, "video_id", "t", "score", "f", "t", 1000)
@@ -206,19 +226,88 @@ def test_mapping_rules(spark):
     assert sorted((r.k, r.side) for r in mapping.set_difference(a, spark.createDataFrame([(2,), (5,)], "k int"), "k").collect()) == [(1, "extra"), (5, "missing")]
 
 
+ONTOLOGY = {"bicycle": ["bicycle", "xe đạp"], "bottle": ["bottle", "chai"], "person": ["person", "người"], "traffic light": ["traffic light"]}
+
+
 def test_planner():
-    ontology = {"bicycle": "bicycle", "bottle": "bottle", "person": "person", "người": "person", "traffic light": "traffic light"}
-    p = planner.plan_query("two bicycles beside three bottles", ontology)
-    assert p.labels == {"bicycle": 2, "bottle": 3} and "object" in p.branches and p.language == "en"
-    q = planner.plan_query("một căn phòng không có người", ontology)
-    assert q.excluded == ("person",) and q.language == "vi" and q.labels == {}
-    r = planner.plan_query('a sign "EXIT" then a traffic light', ontology, {"object": 0.0})
-    assert r.phrases == ("EXIT",) and "ocr" in r.branches and "object" not in r.branches and r.relations == ("then",)
+    p = planner.plan_query("two bicycles beside three bottles", ONTOLOGY)
+    assert p.objects.counts == {"bicycle": 2, "bottle": 3} and "object" in p.branches and p.language == "en"
+    o = planner.find_objects("hai người đứng bên trái một chiếc xe đạp và cầm chai nước", ONTOLOGY)
+    assert set(o.labels) == {"person", "bicycle", "bottle"} and o.counts["person"] == 2 and "left" in o.places
+    q = planner.plan_query("một căn phòng không có người", ONTOLOGY)
+    assert q.objects.excluded == ("person",) and q.language == "vi" and q.objects.labels == () and ("negative", "person") in {(a.kind, a.value) for a in q.atoms}
+    assert planner.plan_query("một vận động viên chạy qua vạch đích", ONTOLOGY).branches == ("clip", "caption")
+    r = planner.plan_query('a sign "EXIT" then a traffic light', ONTOLOGY, {"object": 0.0})
+    assert r.visible == ("EXIT",) and "ocr_lexical" in r.branches and "object" not in r.branches and r.relations == ("sequence",) and r.weights["ocr_lexical"] == 1.25
+    t = planner.plan_query('người đàn ông cầm chai trước bảng hiệu có chữ "HỘI THI AI" và nói "xin chào"', ONTOLOGY)
+    assert set(t.branches) == {"clip", "caption", "ocr_lexical", "asr_lexical", "object"} and planner.text_for(t, "object", ONTOLOGY) == "person bottle"
+    assert "HỘI THI AI" in planner.text_for(t, "ocr_lexical", ONTOLOGY) and "xin chào" in planner.text_for(t, "asr_lexical", ONTOLOGY)
+    u = planner.plan_query("người mở cửa trước khi đặt chai xuống bàn, sau đó rời đi", ONTOLOGY)
+    assert set(u.relations) >= {"before", "after", "sequence"} and ("temporal", "before") in {(a.kind, a.value) for a in u.atoms}
+    assert not planner.signalled("bờ biển", planner.SIGNALS["ocr"]) and planner.signalled("a logo", planner.SIGNALS["ocr"]) and planner.signalled("the audio", planner.SIGNALS["asr"])
+    assert planner.plan_query("x", ONTOLOGY, available=["tags"]).branches == ("tags",)
     assert planner.limits() == (100, 500, 100) and planner.limits(700) == (700, 700, 700)
     with pytest.raises(ValueError):
-        planner.plan_query("x", ontology, {"ocr": 9.0})
+        planner.plan_query("x", ONTOLOGY, {"ocr_lexical": 9.0})
+    with pytest.raises(ValueError):
+        planner.check_request({}, 9, 0)
+    assert planner.fan_out({"visual": 0.5, "ocr": 2.0, "object": 1.0}) == {"visual": 0.5, "clip": 0.5, "ocr_lexical": 2.0, "ocr_semantic": 2.0, "object": 1.0}
+    assert planner.variants("Scene\nQuestion: who?", "vqa") == ["Scene", "who?"] and planner.variants("main text\n1. a\n2) b", "trake") == ["main text"] and planner.variants(" a  b ") == ["a b"]
+    assert planner.same_events(["a", "b"], ["x", "y"], None, "o") == "o\n1. x\n2. y" and planner.same_events(["a"], ["x", "y"], None, None) is None and planner.same_events(["a"], ["x"], "o", None) is None
     assert planner.closure({"c": ["b"], "b": ["a"]}, ["c"]) == ["a", "b", "c"]
     with pytest.raises(ValueError):
         planner.closure({"a": ["b"], "b": ["a"]}, ["a"])
     status = planner.run_stages({"b": ["a"]}, {"a": lambda: 1 / 0, "b": lambda: None}, ["b"])
     assert status["a"] == "failed" and status["b"] == "blocked"
+    held: dict = {}
+    run = lambda prints: planner.run_stages({"b": ["a"]}, {"a": lambda: None, "b": lambda: None}, ["b"], prints=prints, checkpoint=held)
+    assert run({"a": "1", "b": "1"}) == {"a": "completed", "b": "completed"} and run({"a": "1", "b": "1"}) == {"a": "skipped", "b": "skipped"}
+    assert run({"a": "1", "b": "2"}) == {"a": "skipped", "b": "completed"} and run({"a": "2", "b": "2"}) == {"a": "completed", "b": "completed"}
+    rules = {"n": (int, lambda n: n > 0), "on": (bool, lambda _: True)}
+    assert planner.check_config({"n": 0, "x": 1}, rules, {"a": ["b"]}) == ["unknown: x", "invalid: n", "missing: on", "unknown node: b in a"]
+    assert planner.check_config({"n": 1, "on": True}, rules, {"a": ["b"], "b": ["a"]}) == ["cycle at a"]
+
+
+def test_branches_fail_alone(spark):
+    def slow():
+        return spark.range(1).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L) x")
+
+    def broken():
+        raise RuntimeError("no index")
+
+    got = {r.branch: (r.status, r.rows and len(r.rows)) for r in planner.run_branches(spark, {"ok": lambda: spark.range(3), "slow": slow, "broken": broken, "none": None}, 6000)}
+    assert got == {"ok": ("completed", 3), "slow": ("timed_out", None), "broken": ("failed", None), "none": ("unavailable", None)}
+
+
+def test_latest_keeps_maps(spark):
+    df = spark.createDataFrame([(1, 1, {"a": 1}, "x"), (1, 2, {"a": 2}, "y"), (1, 2, {"a": 3}, "y"), (2, None, None, "z")], "k int, t int, m map<string,int>, s string")
+    assert sorted((r.k, r.t, r.m, r.s) for r in latest(df, ["k"], "t").collect()) == [(1, 2, {"a": 3}, "y"), (2, None, None, "z")]
+
+
+def test_natural_keys_of_any_length(spark):
+    names = ["f1234567890129.jpg", "f9.jpg", "f10.jpg", "f007.jpg", "f1234567890123.jpg", "e-1", "e1", "2", "10"]
+    df = spark.createDataFrame([(x,) for x in names], "x string")
+    got = [r.x for r in df.orderBy(text.natural_key("x")).collect()]
+    assert got == ["2", "10", "e1", "e-1", "f007.jpg", "f9.jpg", "f10.jpg", "f1234567890123.jpg", "f1234567890129.jpg"]
+
+
+def test_stabbing_spans_of_any_length(spark):
+    spans = spark.createDataFrame([("v", 0, 10, "a"), ("v", 5, 9_000_000_000_000, "b"), ("v", 100_000, 400_000, "c"), ("v", 7, 7, "d"), ("v", None, 9, "e"), ("w", 0, 100, "f")], "v string, s long, e long, n string")
+    points = spark.createDataFrame([("v", 5), ("v", 7), ("v", 150_000), ("v", 8_000_000_000_000), ("w", 99), ("w", 100), ("w", None)], "v string, t long")
+    got = sorted((r.v, r.t, r.n) for r in temporal.stab(spans, points, "v", "s", "e", "t").collect())
+    assert got == [("v", 5, "a"), ("v", 5, "b"), ("v", 7, "a"), ("v", 7, "b"), ("v", 150_000, "b"), ("v", 150_000, "c"), ("v", 8_000_000_000_000, "b"), ("w", 99, "f")]
+    assert ("w", 100, "f") in {(r.v, r.t, r.n) for r in temporal.stab(spans, points, "v", "s", "e", "t", closed=True).collect()}
+
+
+def test_nearest_at_any_distance(spark):
+    rng = np.random.default_rng(3)
+    right = [(v, int(t), int(i)) for v in "ab" for i, t in enumerate(rng.integers(0, 10**6, 40))] + [("a", None, 1), ("c", 5, 7), ("c", 5, 3)]
+    left = [(v, None if i % 9 == 0 else int(t), i) for i, (v, t) in enumerate(zip("abcd" * 10, rng.integers(0, 10**6, 40)))]
+    a, b = spark.createDataFrame(left, "v string, t long, i int"), spark.createDataFrame(right, "v string, s long, k int")
+    for reach in (None, 9000):
+        want = {}
+        for v, t, i in left:
+            near = [(abs(s - t), s, k) for w, s, k in right if w == v and s is not None and t is not None and (reach is None or abs(s - t) <= reach)]
+            want[i] = (min(near)[2], min(near)[0]) if near else (None, None)
+        got = {r.i: (r.near_k, r.distance) for r in temporal.nearest_row(a, b, "v", "t", "s", ["s", "k"], ["k"], reach, block=1000).collect()}
+        assert got == want

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str, least: int) -> DataFrame:
-    return runs.collapse_runs(table(spark, d, "frame_manifest"), "video_id", "original_frame_id", "scene_change_score", "timestamp_ms", 0.002, least)
+    return runs.collapse_runs(table(spark, d, "frame_manifest"), "video_id", "original_frame_id", "scene_change_score", "timestamp_ms", 0.002, least=least)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +37,12 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("video_id", F.col("first_id").alias("first_frame_id"), F.col("last_id").alias("last_frame_id"), F.col("n_events").alias("n_frames"), F.round("duration", 3).alias("duration_ms"))
 
 
+def p3_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Runs that follow the level of the score: neighbours within 0.05, and a boundary where it saves more than 0.0005 of squared distance."""
+    out = runs.collapse_runs(table(spark, d, "frame_manifest"), "video_id", "original_frame_id", "scene_change_score", "timestamp_ms", 0.05, penalty=0.0005, weight=1.0)
+    return out.select("video_id", F.col("first_id").alias("first_frame_id"), F.col("last_id").alias("last_frame_id"), F.col("n_events").alias("n_frames"), F.round("duration", 3).alias("duration_ms"))
+
+
 def timed_events(spark: SparkSession, d: str) -> DataFrame:
     """video_id, alignment_id, event_ordinal and the event's time; only events without a time of their own look for their frame."""
     cols = ["original_frame_id", "timestamp_ms"]
@@ -96,7 +102,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_runs, p5_found, p6_found, p6_knn, p8_ids, p9_found, p9_leaks, p10_found, p10_classes, p10_texts)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_runs, p3_levels, p5_found, p6_found, p6_knn, p8_ids, p9_found, p9_leaks, p10_found, p10_classes, p10_texts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,14 +60,70 @@ def brute_runs(rows, penalty):
     return sorted(out, key=repr)
 
 
+def squares(values):
+    m = sum(values) / len(values)
+    return sum((v - m) ** 2 for v in values)
+
+
+def best_cost(values, penalty, weight):
+    n = len(values)
+    cuts = ([0, *[i + 1 for i in range(n - 1) if bits >> i & 1], n] for bits in range(1 << (n - 1)))
+    return min(sum(weight * squares(values[a:z]) for a, z in zip(c, c[1:])) + penalty * (len(c) - 2) for c in cuts)
+
+
+def cost_of(values, starts, penalty, weight):
+    c = [*starts, len(values)]
+    return sum(weight * squares(values[a:z]) for a, z in zip(c, c[1:])) + penalty * (len(starts) - 1)
+
+
 def test_segmentation_is_optimal():
     rng = random.Random(2)
-    for _ in range(200):
-        n = rng.randint(1, 8)
-        d = [math.inf] + [rng.choice([0.0, 0.1, 0.25, 0.5, math.inf]) for _ in range(n - 1)]
-        best = min(sum(0.25 if cut >> i & 1 else d[i + 1] for i in range(n - 1)) for cut in range(1 << (n - 1)))
-        starts = runs.segment(d, 0.25)
-        assert sum(0.25 if i in starts else d[i] for i in range(1, n)) == pytest.approx(best)
+    widest, by_threshold = 0, 0
+    for _ in range(300):
+        values = [rng.choice([0.0, 0.1, 0.2, 0.5, 1.0]) + rng.choice([0.0, 0.01]) for _ in range(rng.randint(1, 10))]
+        starts = runs.segment(values, 0.05, 1.0)
+        assert cost_of(values, starts, 0.05, 1.0) == pytest.approx(best_cost(values, 0.05, 1.0))
+        x, n = runs.squeeze(values)
+        solver = runs.Segmenter(0.05, 1.0)
+        solver.starts(x, n)
+        widest = max(widest, solver.most)
+        by_threshold += starts == [0, *[i for i in range(1, len(values)) if abs(values[i] - values[i - 1]) > math.sqrt(0.1)]]
+        assert runs.segment(values, 0.05, 0.0) == [0]
+    assert widest > 3 and by_threshold < 250  # several starts live, and the result is no comparison of neighbours
+    drift = [i * 0.01 for i in range(40)]
+    assert len(runs.segment(drift, 0.05, 1.0)) > 1
+
+
+def test_certain_boundaries_hold_in_any_surroundings():
+    rng = random.Random(3)
+    seen = 0
+    for _ in range(150):
+        middle = [rng.choice([0.0, 1.0, 2.0]) + rng.random() / 10 for _ in range(12)]
+        certain = runs.Segmenter(0.2, 1.0, 0.2).starts(middle, [1] * 12)[1]
+        seen += len(certain)
+        for _ in range(4):
+            before, after = ([rng.random() * 3 for _ in range(rng.randint(0, 6))] for _ in range(2))
+            whole = runs.segment(before + middle + after, 0.2, 1.0)
+            assert {len(before) + c for c in certain} <= set(whole)
+    assert seen > 100
+
+
+def test_levels_do_not_depend_on_blocks(spark):
+    rng = random.Random(5)
+    rows = []
+    for v in ("a", None):
+        x = 0.0
+        for o in range(400):
+            x += rng.choice([0, 0, 0, 0.02, -0.02, 0.3, -0.3])
+            if rng.random() < 0.97:
+                rows.append((v, o, NAN if rng.random() < 0.02 else x + rng.choice([0, 0.01]), o * 40.0))
+    rows += [("c", o, float("inf"), 0.0) for o in range(60)] + [("d", o, o * 0.01, 0.0) for o in range(200)]
+    df = spark.createDataFrame(rows, "v string, o long, x double, t double")
+    got = [sorted([tuple(r) for r in runs.collapse_runs(df, "v", "o", "x", "t", 0.31, 0.05, 1.0, block=block).collect()], key=repr) for block in (16, 50, 10_000)]
+    assert got[0] == got[1] == got[2] and ("c", 0, 59) in {r[:3] for r in got[0]} and sum(r[0] == "d" for r in got[0]) > 5
+    values = {(v, o): x for v, o, x, _ in rows}
+    for v, first, last, n, *_ in got[0]:
+        assert n == last - first + 1 and all((v, o) in values for o in range(first, last + 1))
 
 
 def test_runs(spark):
@@ -82,9 +138,9 @@ def test_runs(spark):
     rows += rows[:20] + [("a", None, 1.0, 1.0), ("a", 7, 99.0, 3.0)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "v string, o long, x double, t double, ent string")
     for block in (7, 1000):
-        got = sorted([(r.v, r.first_id, r.last_id, r.n_events) for r in runs.collapse_runs(df, "v", "o", "x", "t", 0.02, 1, block).collect()], key=repr)
+        got = sorted([(r.v, r.first_id, r.last_id, r.n_events) for r in runs.collapse_runs(df, "v", "o", "x", "t", 0.02, least=1, block=block).collect()], key=repr)
         assert got == brute_runs(rows, 0.02)
-        long_ = runs.collapse_runs(df, "v", "o", "x", "t", 0.02, 4, block)
+        long_ = runs.collapse_runs(df, "v", "o", "x", "t", 0.02, least=4, block=block)
         assert sorted([(r.v, r.first_id, r.last_id, r.n_events) for r in long_.collect()], key=repr) == [x for x in got if x[3] >= 4]
     assert runs.collapse_runs(df.limit(0), "v", "o", "x", "t", 0.02).count() == 0
 

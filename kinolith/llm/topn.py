@@ -1,12 +1,14 @@
 """Problem 2: the N first items of every group, by a merge of sorted runs with a loser tree.
 
   runs    each task sorts its rows by group and order (Tungsten sort, spills) and keeps the first N of a group; what is
-          left is packed into blocks, one per (bucket, run) and at most `block_rows` rows, each with a directory of groups
-  merge   the blocks of a bucket, ordered by their first group, meet in one task; a loser tree over the open runs yields
-          rows in order, and after N rows of a group every run seeks to its next group by its directory
+          left is packed into blocks, one per (bucket, run) and at most `block_rows` rows, and stored in the shared folder
+  merge   at most `fan_in` runs of a bucket meet in a task; a loser tree over them yields rows in order, and after N rows
+          of a group every run seeks to its next group by its directory. While a bucket has more runs, merges make longer
+          runs of them, level by level; the last level gives the ranks
 
-A run never holds more than N rows of a group, so a group with most of the rows costs a bucket at most N rows per run.
-Buckets follow the session's partitions, so a task's blocks stay small as the data and the cluster grow.
+A run never holds more than N rows of a group, so a group with most of the rows costs a task at most N rows per run, that
+is N times the fan-in, whatever the number of map tasks. Blocks are decoded a few thousand rows at a time as the merge
+comes to them. Buckets follow the session's partitions, so a task's blocks stay small as the data and the cluster grow.
 
 Defined results: the order must end in columns that tell rows apart; rows equal in every order column are equal to the
 operator and come out in any of their orders; repeated rows count as often as they come; nulls sort as asked (last by
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kinolith.session import width
+from kinolith.session import stage, width
+
+FAN_IN, PART = 64, 4096
 
 
 @dataclass(frozen=True)
@@ -71,27 +75,36 @@ def _part(v, by: By):
 
 
 class Run:
-    """A sorted block: rows, the start of each group, and a cursor."""
+    """A sorted run, decoded part by part: the rows of the present part, the start of each of its groups, and a cursor."""
+
+    __slots__ = ("parts", "n_group", "rows", "groups", "starts", "at", "group", "key")
 
-    __slots__ = ("rows", "groups", "starts", "at", "group", "key")
+    def __init__(self, parts: Iterator[list[tuple]], n_group: int):
+        self.parts, self.n_group = parts, n_group
+        self.rows: list[tuple] = []
+        self.at, self.key = 0, None
 
-    def __init__(self, rows: list[tuple], n_group: int):
-        self.rows = rows
-        heads = [r[:n_group] for r in rows]
+    def _next_part(self) -> bool:
+        rows = next((p for p in self.parts if p), None)
+        if rows is None:
+            return False
+        n = self.n_group
+        heads = [r[:n] for r in rows]
         self.starts = [0] + [i for i in range(1, len(rows)) if heads[i] != heads[i - 1]]
         self.groups = [tuple(_part(v, By("")) for v in heads[i]) for i in self.starts]
         self.starts.append(len(rows))
-        self.at, self.group, self.key = 0, 0, None
+        self.rows, self.at, self.group = rows, 0, 0
+        return True
 
-    def head(self, n_group: int, order: list[By]) -> tuple | None:
+    def head(self, order: list[By]) -> tuple | None:
         """The key of the row at the cursor."""
-        if self.at >= len(self.rows):
-            self.key = None
+        if self.at >= len(self.rows) and not self._next_part():
+            self.rows, self.key = [], None
         else:
             if self.at >= self.starts[self.group + 1]:
                 self.group += 1
             row = self.rows[self.at]
-            self.key = (self.groups[self.group], tuple(_part(row[n_group + i], b) for i, b in enumerate(order)))
+            self.key = (self.groups[self.group], tuple(_part(row[self.n_group + i], b) for i, b in enumerate(order)))
         return self.key
 
     def seek(self, group: tuple) -> bool:
@@ -143,11 +156,11 @@ class LoserTree:
         self.node[0] = i
 
 
-def merge_runs(runs: list[Run], n_group: int, order: list[By], n: int) -> Iterator[tuple[int, tuple]]:
+def merge_runs(runs: list[Run], order: list[By], n: int) -> Iterator[tuple[int, tuple]]:
     """(rank, row) of the first n rows of every group, group by group."""
     if not runs:
         return
-    tree = LoserTree([r.head(n_group, order) for r in runs])
+    tree = LoserTree([r.head(order) for r in runs])
     current, rank = None, 0
     while (key := tree.keys[w := tree.winner()]) is not None:
         if key[0] != current:
@@ -159,7 +172,27 @@ def merge_runs(runs: list[Run], n_group: int, order: list[By], n: int) -> Iterat
             run.at += 1
         else:  # the group is full: this run, and each that comes up with the same group, seeks past it
             run.seek(current)
-        tree.replay(w, run.head(n_group, order))
+        tree.replay(w, run.head(order))
+
+
+BLOCKS = "bucket int, run int, nth int, block binary"
+BLOCK_SCHEMA = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("nth", pa.int32()), ("block", pa.binary())])
+
+
+def _packed(body: pa.Table) -> bytes:
+    """A block: rows in parts of PART, so that a reader decodes one part at a time."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(body, max_chunksize=PART)
+    return sink.getvalue().to_pybytes()
+
+
+def _parts(blocks: list[bytes]) -> Iterator[list[tuple]]:
+    """The rows of a run's blocks, part by part; a block is let go once it is read."""
+    for i, raw in enumerate(blocks):
+        for b in pa.ipc.open_stream(raw):
+            yield list(zip(*[c.to_pylist() for c in b.columns]))
+        blocks[i] = b""
 
 
 def _cut(n: int, n_group: int, block_rows: int):
@@ -167,7 +200,7 @@ def _cut(n: int, n_group: int, block_rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_id = TaskContext.get().partitionId()
-        last, seen = None, 0
+        last, seen, nth = None, 0, 0
         held: list[pa.Table] = []
         rows = 0
 
@@ -176,15 +209,9 @@ def _cut(n: int, n_group: int, block_rows: int):
             bucket = t.column(0).to_numpy()
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             body = t.drop_columns([t.column_names[0]])
-            out = {"bucket": [], "run": [], "block": []}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(body.slice(a, b - a))
-                out["bucket"].append(int(bucket[a]))
-                out["run"].append(run_id)
-                out["block"].append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("block", pa.binary())]))
+            blocks = [_packed(body.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
+            k = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([run_id] * k, pa.int32()), pa.array([nth] * k, pa.int32()), pa.array(blocks, pa.binary())], schema=BLOCK_SCHEMA)
 
         for b in batches:
             if not b.num_rows:
@@ -208,52 +235,55 @@ def _cut(n: int, n_group: int, block_rows: int):
             rows += kept.num_rows
             if rows >= block_rows:
                 yield from flush()
-                held, rows = [], 0
+                held, rows, nth = [], 0, nth + 1
         if rows:
             yield from flush()
 
     return run
 
 
-def _merge(n: int, n_group: int, order: list[By], out: pa.Schema, batch: int = 20_000):
-    """The blocks of each bucket come together, sorted by bucket and run; yield the first n rows of its groups."""
+def _merge(n: int, n_group: int, order: list[By], out: pa.Schema, fan_in: int, last: bool, block_rows: int, batch: int = 20_000):
+    """The blocks of each (bucket, run // fan_in) come together, sorted by run and place in it; yield the first n rows of the
+    bucket's groups, with ranks on the last level, else as blocks of a longer run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [f.name for f in out if f.name != "rank_no"]
-
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            data = [pa.array([r[1][i] for r in rows], out.field(c).type) for i, c in enumerate(cols)]
-            return pa.RecordBatch.from_arrays([*data, pa.array([r[0] for r in rows], pa.int32())], schema=out)
-
-        def bucket(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-            runs = []
-            for raw in blocks:
-                t = pa.ipc.open_stream(raw).read_all()
-                runs.append(Run(list(zip(*[c.to_pylist() for c in t.columns])), n_group))
-            held = []
-            for x in merge_runs(runs, n_group, order, n):
+        cols = [f for f in out if f.name != "rank_no"]
+
+        def data(rows: list[tuple]) -> list[pa.Array]:
+            return [pa.array([r[1][i] for r in rows], f.type) for i, f in enumerate(cols)]
+
+        def emit(key: tuple, rows: list[tuple], nth: int) -> pa.RecordBatch:
+            if last:
+                return pa.RecordBatch.from_arrays([*data(rows), pa.array([r[0] for r in rows], pa.int32())], schema=out)
+            body = pa.Table.from_arrays(data(rows), schema=pa.schema(cols))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([nth], pa.int32()), pa.array([_packed(body)], pa.binary())], schema=BLOCK_SCHEMA)
+
+        def merged(key: tuple, blocks: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+            held, nth = [], 0
+            for x in merge_runs([Run(_parts(b), n_group) for b in blocks.values()], order, n):
                 held.append(x)
-                if len(held) >= batch:
-                    yield emit(held)
-                    held = []
+                if len(held) >= (batch if last else block_rows):
+                    yield emit(key, held, nth)
+                    held, nth = [], nth + 1
             if held:
-                yield emit(held)
+                yield emit(key, held, nth)
 
-        now, blocks = None, []
+        now, blocks = None, {}
         for b in batches:
-            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if at != now and blocks:
-                    yield from bucket(blocks)
-                    blocks = []
-                now = at
-                blocks.append(raw)
+            for bucket, run_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                key = (bucket, run_id // fan_in)
+                if key != now and blocks:
+                    yield from merged(now, blocks)
+                    blocks = {}
+                now = key
+                blocks.setdefault(run_id, []).append(raw)
         if blocks:
-            yield from bucket(blocks)
+            yield from merged(now, blocks)
 
     return run
 
 
-def top_n_per_group(df: DataFrame, groups: list[str], order: list[By], n: int, keep: list[str] | None = None, buckets: int | None = None, block_rows: int = 200_000) -> DataFrame:
+def top_n_per_group(df: DataFrame, groups: list[str], order: list[By], n: int, keep: list[str] | None = None, buckets: int | None = None, block_rows: int = 200_000, fan_in: int = FAN_IN) -> DataFrame:
     """groups, order columns and `keep`, with rank_no 1..n within each group."""
     order = [b for b in order if b.column not in groups]  # constant within a group
     carried = [*groups, *[b.column for b in order]]
@@ -265,7 +295,15 @@ def top_n_per_group(df: DataFrame, groups: list[str], order: list[By], n: int, k
     src = df.select(*[F.col(f"`{c}`") for c in carried])
     bucket = F.pmod(F.xxhash64(*groups), F.lit(buckets)).cast("int")
     sorted_ = src.select(bucket.alias("bucket_"), *carried).sortWithinPartitions("bucket_", *[F.col(g).asc_nulls_last() for g in groups], *[b.spark() for b in order])
-    blocks = sorted_.mapInArrow(_cut(n, len(groups), block_rows), "bucket int, run int, block binary")
-    together = blocks.repartition(min(buckets, 2 * width(spark)), "bucket").sortWithinPartitions("bucket", "run").select("bucket", "block")
+    blocks = stage(sorted_.mapInArrow(_cut(n, len(groups), block_rows), BLOCKS), "runs")
+    runs = (blocks.agg(F.max("run")).first()[0] or 0) + 1
     out = T.StructType([*src.schema.fields, T.StructField("rank_no", T.IntegerType())])
-    return together.mapInArrow(_merge(n, len(groups), order, to_arrow_schema(out)), out)
+    shape = to_arrow_schema(out)
+    while True:
+        last = runs <= fan_in
+        group = (F.col("run") / fan_in).cast("int")
+        together = blocks.withColumn("to", group).repartition(min(buckets, 2 * width(spark)), "bucket", "to").sortWithinPartitions("bucket", "to", "run", "nth").select("bucket", "run", "block")
+        if last:
+            return together.mapInArrow(_merge(n, len(groups), order, shape, fan_in, True, block_rows), out)
+        blocks = stage(together.mapInArrow(_merge(n, len(groups), order, shape, fan_in, False, block_rows), BLOCKS), "runs")
+        runs = -(-runs // fan_in)

@@ -14,11 +14,12 @@ NAN = float("nan")
 def test_loser_tree_merges():
     rng = random.Random(1)
     for k in (1, 2, 3, 7, 16):
-        runs_ = [topn.Run(sorted((rng.choice("abc"), rng.randint(0, 9), i) for i in range(rng.randint(1, 12))), 1) for _ in range(k)]
-        got = [(r, row) for r, row in topn.merge_runs(runs_, 1, [topn.By("x")], 3)]
+        held = [sorted((rng.choice("abc"), rng.randint(0, 9), i) for i in range(rng.randint(1, 12))) for _ in range(k)]
+        runs_ = [topn.Run(iter([rows[:5], [], rows[5:]]), 1) for rows in held]
+        got = [(r, row) for r, row in topn.merge_runs(runs_, [topn.By("x")], 3)]
         want = []
         for g in "abc":
-            rows = sorted(row[1] for run in runs_ for row in run.rows if row[0] == g)[:3]
+            rows = sorted(row[1] for rows in held for row in rows if row[0] == g)[:3]
             want += [(i + 1, g, v) for i, v in enumerate(rows)]
         assert [(r, row[0], row[1]) for r, row in got] == want
 
@@ -35,6 +36,8 @@ def test_top_n(spark):
     for g in {r[0] for r in rows}:
         want = [x[3] for x in sorted([r for r in rows if r[0] == g], key=key)][:4]
         assert [q for _, q in sorted(got[g])] == want, g
+    several = sorted(repr(tuple(r)) for r in topn.top_n_per_group(df, ["g"], order, 4, block_rows=16, fan_in=2).collect())  # three levels of merges
+    assert several == sorted(repr(tuple(r)) for r in topn.top_n_per_group(df, ["g"], order, 4).collect())
     assert topn.top_n_per_group(df.limit(0), ["g"], order, 4).count() == 0
     with pytest.raises(ValueError):
         topn.top_n_per_group(df.withColumnRenamed("f", "rank_no"), ["g"], [topn.By("rank_no")], 4)

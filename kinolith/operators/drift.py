@@ -3,11 +3,14 @@
 `ingest` enforces a target schema on JSON records: a field under its target name that casts goes into its typed column,
 everything else of the record (unknown names, nested objects, values that do not cast) stays as JSON in `rescued`.
 `promote` takes approved spellings (raw name -> field), replays the rescued values into the typed columns and takes
-what fitted out of the rescue. Each step notes in `seen` which raw name and JSON type gave a field, and `layout_changes`
-reports every change between the files of a producer from those notes.
+what fitted out of the rescue. `load` does both for new records in one parse, with the same result. Each step notes in
+`seen` which raw name and JSON type gave a field, and `layout_changes` reports every change between the files of a
+producer from those notes.
 
-Each step parses a record once, in an Arrow function: Spark's VARIANT writes 5.0 and 5 as the same number, and here the
-two are different types. All the rest are built-in expressions.
+A record is parsed once, in an Arrow function: Spark's VARIANT writes 5.0 and 5 as the same number, and here the two are
+different types. The function walks a record's own keys down a trie of the names, so its work does not grow with the number
+of names; it fills Arrow columns, not rows. Names come in blocks of at most MAX_NAMES: the first goes with the parse, each
+further block is one more replay over what is still in the rescue. All the rest are built-in expressions.
 
 Defined results: a null, empty, broken or non-object payload is not readable: typed columns and rescue are null; a JSON
 null is no value; of a key twice in one object the last counts; NaN and Infinity are no JSON; repeated rows do not change
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinolith.operators.skew import previous_in_entity
+from kinolith.session import stage
 
 SEEN = "array<struct<field:string,raw_name:string,json_type:string>>"
 MAX_NAMES = 10_000
@@ -41,12 +45,19 @@ class Spelling:
     field: str
 
 
-def spellings(names: DataFrame, raw: str = "raw_name", field: str = "field_name", most: int = MAX_NAMES) -> list[Spelling]:
-    """The approved spellings of a names table, at most `most`; more is an error, as they travel with the plan."""
-    rows = names.select(raw, field).distinct().filter(F.col(raw).isNotNull() & F.col(field).isNotNull()).orderBy(raw, field).take(most + 1)
-    if len(rows) > most:
-        raise ValueError(f"more than {most} approved spellings")
-    return [Spelling(*r) for r in rows]
+def spelling_blocks(names: DataFrame, raw: str = "raw_name", field: str = "field_name", most: int = MAX_NAMES) -> list[list[Spelling]]:
+    """The approved spellings of a names table in order of their raw name, in blocks of at most `most`."""
+    rows = names.select(F.col(raw).alias("r"), F.col(field).alias("f")).filter("r is not null and f is not null").distinct()
+    blocks: list[list[Spelling]] = []
+    last = None
+    while True:
+        ahead = rows if last is None else rows.filter((F.col("r") > last[0]) | ((F.col("r") == last[0]) & (F.col("f") > last[1])))
+        got = [Spelling(x.r, x.f) for x in ahead.orderBy("r", "f").limit(most).collect()]
+        if got:
+            blocks.append(got)
+            last = (got[-1].raw_name, got[-1].field)
+        if len(got) < most:
+            return blocks
 
 
 def _no_constant(text: str) -> None:
@@ -93,15 +104,7 @@ def cast_value(v: object, kind: str) -> object:
         return None
 
 
-def _find(doc: dict, path: list[str]) -> object:
-    for step in path:
-        if not isinstance(doc, dict):
-            return None
-        doc = doc.get(step)
-    return doc
-
-
-def _remove(doc: dict, path: list[str]) -> None:
+def _remove(doc: dict, path: tuple[str, ...]) -> None:
     """Take a leaf out, and the objects that it leaves empty."""
     chain = [doc]
     for step in path[:-1]:
@@ -112,27 +115,40 @@ def _remove(doc: dict, path: list[str]) -> None:
             del holder[step]
 
 
-def _taker(target: dict[str, str], names: list[Spelling], literal: bool):
-    """A function from JSON text to a row of typed values, notes and the rest; literal: a dot is part of the name."""
-    paths = [(x, [x.raw_name] if literal else x.raw_name.split(".")) for x in names if x.field in target]
+class Trie:
+    """The names of fields by their steps; `order` tells which of several values of a record is tried first."""
+
+    def __init__(self):
+        self.next: dict[str, Trie] = {}
+        self.ends: list[tuple[tuple, str, str, tuple[str, ...]]] = []  # (order, field, raw name, path)
+
+    def add(self, path: tuple[str, ...], order: tuple, field: str, raw: str) -> None:
+        node = self
+        for step in path:
+            node = node.next.setdefault(step, Trie())
+        node.ends.append((order, field, raw, path))
+
+    def values(self, doc: dict, out: list) -> list:
+        """(order, field, raw name, path, value) of all of a record's values that have a name."""
+        for key, v in doc.items():
+            node = self.next.get(key)
+            if node is not None and v is not None:
+                out += [(*end, v) for end in node.ends]
+                if node.next and isinstance(v, dict):
+                    node.values(v, out)
+        return out
 
-    def take(text: str | None, filled: list[str] | None = None) -> dict:
-        doc = parse_object(text)
-        row: dict = {"readable": doc is not None, "seen": [], "rescued": None}
-        if doc is None:
-            return row
-        for x, path in paths:
-            v = _find(doc, path)
-            if v is None:
-                continue
-            row["seen"].append({"field": x.field, "raw_name": x.raw_name, "json_type": json_type(v)})
-            if row.get(x.field) is None and x.field not in (filled or ()) and (c := cast_value(v, target[x.field])) is not None:
-                row[x.field] = c
-                _remove(doc, path)
-        row["rescued"] = json.dumps(doc, ensure_ascii=False) if doc else None
-        return row
 
-    return take
+def _names(target: dict[str, str], own: bool, names: list[Spelling]) -> Trie:
+    """own: the target's own names, in which a dot is no step, before all spellings."""
+    trie = Trie()
+    if own:
+        for f in target:
+            trie.add((f,), (0, f), f, f)
+    for x in names:
+        if x.field in target and x.raw_name != x.field:
+            trie.add(tuple(x.raw_name.split(".")), (1, x.raw_name, x.field), x.field, x.raw_name)
+    return trie
 
 
 def _kind(target: dict[str, str]) -> str:
@@ -145,25 +161,61 @@ def _arrow_type(target: dict[str, str]) -> pa.DataType:
     return pa.struct([*[(f, of[k]) for f, k in target.items()], ("readable", pa.bool_()), ("seen", seen), ("rescued", pa.string())])
 
 
-def _arrow(target: dict[str, str], names: list[Spelling], literal: bool) -> Callable:
-    take, kind = _taker(target, names, literal), _arrow_type(target)
+def _arrow(target: dict[str, str], trie: Trie) -> Callable:
+    kind = _arrow_type(target)
+    of = {f: i for i, f in enumerate(target)}
+    kinds = list(target.values())
 
     @F.arrow_udf(_kind(target))
     def run(text: pa.Array, filled: pa.Array) -> pa.Array:
-        return pa.array([take(x, f) for x, f in zip(text.to_pylist(), filled.to_pylist())], kind)
+        columns: list[list] = [[None] * len(text) for _ in of]
+        readable, rescued, ends = [False] * len(text), [None] * len(text), [0]
+        seen: tuple[list, list, list] = ([], [], [])
+        for i, (raw, full) in enumerate(zip(text.to_pylist(), filled.to_pylist())):
+            doc = parse_object(raw)
+            if doc is not None:
+                readable[i] = True
+                found = trie.values(doc, [])
+                found.sort(key=lambda x: x[0])
+                taken = set()  # a value that two names give is taken once
+                for _, field, name, path, v in found:
+                    seen[0].append(field)
+                    seen[1].append(name)
+                    seen[2].append(json_type(v))
+                    j = of[field]
+                    if columns[j][i] is None and path not in taken and field not in (full or ()) and (c := cast_value(v, kinds[j])) is not None:
+                        columns[j][i] = c
+                        taken.add(path)
+                        _remove(doc, path)
+                rescued[i] = json.dumps(doc, ensure_ascii=False) if doc else None
+            ends.append(len(seen[0]))
+        fields = list(kind)
+        notes = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in seen], ["field", "raw_name", "json_type"])
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, fields)]
+        return pa.StructArray.from_arrays([*arrays, pa.array(readable), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), notes).cast(fields[-2].type), pa.array(rescued, pa.string())], [f.name for f in fields])
 
     return run
 
 
-def ingest(df: DataFrame, payload: str, target: dict[str, str]) -> DataFrame:
-    """Add the target's typed columns (bigint, double, string or boolean), `readable`, `rescued` (JSON) and `seen`."""
+def load(df: DataFrame, payload: str, target: dict[str, str], names: list[list[Spelling]] | None = None) -> DataFrame:
+    """Add the target's typed columns (bigint, double, string or boolean), `readable`, `seen` and `rescued` (JSON), with the
+    approved spellings (`spelling_blocks`) promoted: `ingest` and `promote` in one parse."""
     for c in [*target, "readable", "rescued", "seen"]:
         if c in df.columns:
             df = df.withColumnRenamed(c, f"{c}_in")
             payload = f"{payload}_in" if payload == c else payload
-    run = _arrow(target, [Spelling(f, f) for f in target], literal=True)
+    blocks = list(names or [])
+    run = _arrow(target, _names(target, True, blocks[0] if blocks else []))
     x = df.withColumn("x_", run(F.col(f"`{payload}`").cast("string"), F.array().cast("array<string>")))
-    return x.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"x_.`{c}`").alias(c) for c in [*target, "readable", "seen", "rescued"]])
+    out = x.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"x_.`{c}`").alias(c) for c in [*target, "readable", "seen", "rescued"]])
+    for block in blocks[1:]:
+        out = promote(stage(out, "replay"), block, target)
+    return out
+
+
+def ingest(df: DataFrame, payload: str, target: dict[str, str]) -> DataFrame:
+    """The target's own names only; everything else stays in the rescue."""
+    return load(df, payload, target)
 
 
 def promote(df: DataFrame, names: list[Spelling], target: dict[str, str]) -> DataFrame:
@@ -171,7 +223,7 @@ def promote(df: DataFrame, names: list[Spelling], target: dict[str, str]) -> Dat
 
     A value that a column already holds stays and the other remains in the rescue; of several spellings in one record the first by name is taken. A spelling
     equal to its field was tried at ingestion and is not tried again."""
-    run = _arrow(target, [x for x in names if x.raw_name != x.field], literal=False)
+    run = _arrow(target, _names(target, False, names))
     keep = [c for c in df.columns if c not in target and c not in ("seen", "rescued")]
     filled = F.array_compact(F.array(*[F.when(F.col(f"`{f}`").isNotNull(), F.lit(f)) for f in target]))
     x = df.withColumn("x_", run("rescued", filled))

@@ -84,8 +84,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
-    names = drift.spellings(table(spark, d, "stats_names"))
-    return drift.promote(drift.ingest(rows, "payload", STATS_TARGET), names, STATS_TARGET)
+    return drift.load(rows, "payload", STATS_TARGET, drift.spelling_blocks(table(spark, d, "stats_names")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

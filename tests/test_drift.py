@@ -1,6 +1,6 @@
 import json
 
-from kinolith.operators.drift import Spelling, cast_value, file_layouts, ingest, layout_changes, parse_object, promote
+from kinolith.operators.drift import Spelling, cast_value, file_layouts, ingest, layout_changes, load, parse_object, promote, spelling_blocks
 
 TARGET = {"n": "bigint", "fps": "string", "s": "double", "ok": "boolean"}
 NAMES = [Spelling("n", "n"), Spelling("nn", "n"), Spelling("c.n", "n"), Spelling("sec", "s"), Spelling("fps", "fps")]
@@ -36,3 +36,16 @@ def test_changes(spark):
     got = {(r.file_id, r.field_name, r.change) for r in layout_changes(layouts, "producer", "file_no", "file_id").collect()}
     assert got == {(4, "n", "renamed"), (4, "n", "retyped"), (4, "fps", "added"), (7, "n", "renamed"), (7, "fps", "removed")}
     assert file_layouts(promote(ingest(df.limit(0), "payload", TARGET), NAMES, TARGET), ["producer", "file_no", "file_id"]).count() == 0
+
+
+def test_one_parse_equals_two_steps_and_blocks(spark):
+    pay = ['{"n": "bad", "nn": 4, "c": {"n": 1}}', '{"sec": 2, "s": "x", "zz": {"q": {"w": 1}}}', '{"c": {"n": 3, "m": {}}}', '{"nn": null, "a": {"a": {"n": 9}}}', "[]", None, '{"n": 1.5, "c": {"n": 2}}', '{"c.n": 5}', "{}"]
+    df = spark.createDataFrame([("p", i, i, x, 9, "z") for i, x in enumerate(pay)], DDL)
+    names = [*NAMES, Spelling("a.a.n", "n"), Spelling("zz.q", "s"), Spelling("other", "unknown")]
+    table = spark.createDataFrame([(x.raw_name, x.field) for x in names] + [(None, "n"), ("nn", "n")], "raw_name string, field_name string")
+    rows = lambda x: sorted([tuple(r[c] for c in ("file_id", *TARGET, "readable", "seen", "rescued")) for r in x.collect()])
+    want = rows(promote(ingest(df, "payload", TARGET), sorted(names, key=lambda x: x.raw_name), TARGET))
+    assert [len(b) for b in spelling_blocks(table, most=3)] == [3, 3, 2]
+    assert rows(load(df, "payload", TARGET, spelling_blocks(table))) == want
+    blocks = rows(load(df, "payload", TARGET, spelling_blocks(table, most=1)))  # more names than a block holds
+    assert [r[:6] for r in blocks] == [r[:6] for r in want] and [r[-1] for r in blocks] == [r[-1] for r in want]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,11 +76,13 @@ def run_to_table(df: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-def follow_references(store: OrphanStore, refs: DataFrame, taken: Callable[[int], str] = str):
-    """A stream of references kept in an orphan store; each batch ends with a snapshot of the counts."""
+def follow(store: OrphanStore, stream: DataFrame, kind: str, name: str | None = None):
+    """A stream kept in an orphan store: `refs`, `parents` (births and deletions) or `withdrawn` references. One stream for each
+    may run at once. Every batch is one delta with its snapshot; a batch that is tried again changes nothing."""
+    if kind not in ("refs", "parents", "withdrawn"):
+        raise ValueError(f"unknown kind: {kind}")
 
     def advance(batch: DataFrame, number: int) -> None:
-        store.advance(refs=batch)
-        store.snapshot(taken(number))
+        store.advance(**{kind: batch}, batch=f"{name or kind}-{number}")
 
-    return refs.writeStream.foreachBatch(advance)
+    return stream.writeStream.foreachBatch(advance)

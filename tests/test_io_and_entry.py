@@ -97,11 +97,14 @@ def test_versioned_table(spark, tmp_path):
 
 def test_streamed_references(spark, tmp_path):
     ddl = "ref_table string, ref_key string, ref_field string, parent_table string, target_key string, ref_at timestamp"
-    spark.createDataFrame([("t", "a", "f", "p", "x", None), ("t", "b", "f", "p", "y", None)], ddl).write.parquet(str(tmp_path / "in"))
+    par = "parent_table string, target_key string, born_at timestamp, gone_at timestamp"
+    spark.createDataFrame([("t", "a", "f", "p", "x", None), ("t", "b", "f", "p", "y", None)], ddl).write.parquet(str(tmp_path / "refs"))
+    spark.createDataFrame([("p", "x", None, None)], par).write.parquet(str(tmp_path / "parents"))
+    spark.createDataFrame([("t", "b", "f", "p", "y", None)], ddl).write.parquet(str(tmp_path / "withdrawn"))
     store = OrphanStore(spark)
-    store.advance(None, spark.createDataFrame([("p", "x", None, None)], "parent_table string, target_key string, born_at timestamp, gone_at timestamp"))
-    stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
-    q = flows.follow_references(store, stream).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.awaitTermination()
-    assert [(r.ref_key, r.state) for r in store.orphans().collect()] == [("b", "missing")] and len(store.snapshots) == 1
-    assert store.refs.filter(F.col("state") == "ok").count() == 1
+    for kind, schema in (("parents", par), ("refs", ddl), ("withdrawn", ddl)):
+        for attempt in range(2):  # the second has lost its checkpoint and brings the batch again
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / kind))
+            flows.follow(store, stream, kind).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{kind}{attempt}")).start().awaitTermination()
+    assert [(r.ref_key, r.state) for r in store.refs.collect()] == [("a", "ok")] and len(store.commits) == 3
+    assert sorted((r.version, r.n_refs, r.n_missing) for r in store.snapshots().collect()) == [(2, 2, 1), (3, 1, 0)]

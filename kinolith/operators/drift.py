@@ -194,7 +194,7 @@ def _arrow(target: dict[str, str], trie: Trie) -> Callable:
         arrays = [pa.array(c, f.type) for c, f in zip(columns, fields)]
         return pa.StructArray.from_arrays([*arrays, pa.array(readable), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), notes).cast(fields[-2].type), pa.array(rescued, pa.string())], [f.name for f in fields])
 
-    return run
+    return run.asNondeterministic()  # else a filter on `readable` would move below and parse every record again
 
 
 def load(df: DataFrame, payload: str, target: dict[str, str], names: list[list[Spelling]] | None = None) -> DataFrame:

@@ -174,7 +174,14 @@ def test_nearest(spark):
     assert nearest.nearest_in_time(left, right.limit(0), "v", "t", "s", "i", 12, ["e"]).count() == 0
 
 
-def test_form():
+def test_look_alike_letters(spark):
+    alike = canonical.lookalikes()
+    assert len(alike) > 800 and all(len(v) == 1 and v.isascii() and v.isalpha() for v in alike.values())
+    assert {c: alike.get(c) for c in "αρυνΙІЗᎪ𝐚ꓐьЬא"} == {"α": "a", "ρ": "p", "υ": "u", "ν": "v", "Ι": "I", "І": "I", "З": None, "Ꭺ": "A", "𝐚": "a", "ꓐ": "B", "ь": None, "Ь": None, "א": None}
+    assert all(c.isupper() <= v.isupper() for c, v in alike.items())
+
+
+def test_form(spark):
     form = canonical.form_function()
     replace, _ = canonical.tables()
     assert form(None) is None and form("") == "" and form("plain text") == "plain text"
@@ -195,6 +202,7 @@ def test_look_alikes(spark):
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, form_key string")
     got = {tuple(r) for r in canonical.look_alikes(df).collect()}
     assert got == {(1, 2), (1, 3), (1, 9), (2, 9), (3, 9)}
+    assert {tuple(r) for r in canonical.look_alikes(df, hot_rows=1).collect()} == got
     classes = {r.doc_id: (r.class_id, r.n_texts) for r in canonical.look_alike_classes(df).collect()}
     assert classes[9] == (1, 3) and classes[4] == (4, 1) and 6 not in classes
     assert canonical.look_alikes(df.limit(0)).count() == 0

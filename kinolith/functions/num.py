@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,3 +127,93 @@ def member_ids(c: str | Column) -> Column:
     c = F.trim(_col(c))
     parts = F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, r"\s*,\s*"))
     return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: x.try_cast("long")), lambda x: x.isNotNull())))
+
+
+def over_budget(cost: str | Column, budget: float) -> Column:
+    """Whether a running cost has passed the budget."""
+    return _col(cost) > budget
+
+
+def upscale_factor(height: str | Column, least: float, factor: float, most: float) -> Column:
+    """How much a small crop is enlarged: 1 from `least` pixels on, else what is needed or asked for, at most `most`."""
+    h = _col(height)
+    return F.when((h <= 0) | (h >= least), 1.0).otherwise(F.least(F.lit(float(most)), F.greatest(F.lit(1.0), least / h, F.lit(float(factor)))))
+
+
+def relevance(answer: str | Column) -> Column:
+    """score (0 to 100, 50 where there is none), match (from 50 on, unless said) and reason of a model's JSON answer."""
+    from kinolith.functions.text import model_json
+
+    x = model_json(answer, "score double, match boolean, reason string")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.floor(F.coalesce(F.nanvl(x["score"], F.lit(50.0)), F.lit(50.0)) + 0.5)))
+    said = F.nullif(F.trim(x["reason"]), F.lit(""))
+    ok = F.struct(score.cast("int").alias("score"), F.coalesce(x["match"], score >= 50).alias("match"), F.coalesce(said, F.lit("Evaluated by VLM")).alias("reason"))
+    return F.when(x.isNull(), F.struct(F.lit(50).alias("score"), F.lit(False).alias("match"), F.lit("Failed to parse VLM response").alias("reason"))).otherwise(ok)
+
+
+def valid_words(words: str | Column) -> Column:
+    """Timed words (text, start and end in seconds, prob) as text, start_ms, end_ms, confidence; without text or length they go."""
+    ms = lambda s: F.bround(F.coalesce(s, F.lit(0.0)) * 1000).cast("long")
+    timed = F.transform(_col(words), lambda w: F.struct(F.trim(w["text"]).alias("text"), ms(w["start"]).alias("start_ms"), ms(w["end"]).alias("end_ms"), F.coalesce(w["prob"], F.lit(0.0)).alias("confidence")))
+    return F.filter(timed, lambda w: (F.coalesce(F.length(w["text"]), F.lit(0)) > 0) & (w["end_ms"] > w["start_ms"]))
+
+
+def span_confidence(own: str | Column, words: str | Column, fallback: str | Column) -> Column:
+    """A span's own confidence, else the mean of its words, else the one of all, else 0."""
+    w = _col(words)
+    mean = F.when(F.size(w) > 0, F.aggregate(w, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size(w))
+    return F.coalesce(_col(own), mean, _col(fallback), F.lit(0.0))
+
+
+def ordered_quad(points: str | Column) -> Column:
+    """Four corners as top left, top right, bottom right, bottom left: least and greatest sums and differences, first of ties."""
+    p = _col(points)
+    of = lambda key: F.array_sort(F.transform(p, lambda q, i: F.struct(key(q).alias("k"), i.alias("i"), q.alias("q"))))[0]["q"]
+    return F.array(of(lambda q: q[0] + q[1]), of(lambda q: q[1] - q[0]), of(lambda q: -(q[0] + q[1])), of(lambda q: q[0] - q[1]))
+
+
+def box_route(text: str | Column, score: str | Column, least: float, second: str | Column) -> Column:
+    """What a read box becomes: accepted by its score; else the second reader's text; else the first text, not accepted; null without text."""
+    bare = lambda c: F.nullif(F.trim(F.regexp_replace(_col(c), r"\s+", " ")), F.lit(""))
+    first, other, s = bare(text), bare(second), F.round(_col(score), 6)
+    box = lambda t, source, accepted, confidence: F.struct(t.alias("text"), F.lit(source).alias("source"), F.lit(accepted).alias("accepted"), confidence.cast("double").alias("confidence"))
+    return F.when(first.isNotNull() & (s >= least), box(first, "paddle", True, s)).when(other.isNotNull(), box(other, "vlm", True, F.lit(None))).when(first.isNotNull(), box(first, "paddle", False, s))
+
+
+#: Signals that are not shown.
+HIDDEN_MODALITIES = ["embedding", "visual"]
+
+
+def shown_modalities(names: str | Column) -> Column:
+    """Matched modalities as a label."""
+    return F.array_join(F.filter(_col(names), lambda m: ~m.isin(HIDDEN_MODALITIES)), " · ")
+
+
+def moved(items: str | Column, source: str | Column, target: str | Column) -> Column:
+    """An array with the item at one place (from 0) put at another; as it is if a place does not exist."""
+    a, s, t = _col(items), _col(source), _col(target)
+    ok = (s >= 0) & (s < F.size(a)) & (t >= 0) & (t < F.size(a)) & (s != t)
+    rest = F.filter(a, lambda x, i: i != s)
+    return F.when(ok, F.concat(F.slice(rest, 1, t), F.array(F.get(a, s)), F.slice(rest, t + 1, F.size(a)))).otherwise(a)
+
+
+def gray_metrics(pixels: str | Column, width: str | Column) -> Column:
+    """brightness, contrast, entropy (bits) and blur (variance of the Laplacian, edges mirrored) of an 8-bit gray image in rows;
+    null without a whole row. Runs as an Arrow function on the image bytes."""
+    kind = pa.struct([(c, pa.float64()) for c in ("brightness", "contrast", "entropy", "blur")])
+
+    def one(raw: bytes | None, w: int | None) -> dict | None:
+        if not raw or not w or w < 1 or len(raw) < w:
+            return None
+        g = np.frombuffer(raw, np.uint8)[: len(raw) // w * w].reshape(-1, w).astype(float)
+        p = np.bincount(g.astype(np.uint8).ravel(), minlength=256) / g.size
+        p = p[p > 0]
+        m = np.pad(g, 1, mode="reflect" if min(g.shape) > 1 else "edge")
+        lap = m[:-2, 1:-1] + m[2:, 1:-1] + m[1:-1, :-2] + m[1:-1, 2:] - 4 * g
+        return {"brightness": g.mean(), "contrast": g.std(), "entropy": float(-(p * np.log2(p)).sum()), "blur": lap.var()}
+
+    @F.arrow_udf("struct<brightness:double,contrast:double,entropy:double,blur:double>")
+    def run(x: pa.Array, w: pa.Array) -> pa.Array:
+        return pa.array([one(a, b) for a, b in zip(x.to_pylist(), w.to_pylist())], kind)
+
+    return run(_col(pixels), _col(width))

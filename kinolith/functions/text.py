@@ -228,6 +228,15 @@ def model_json(c: str | Column, ddl: str) -> Column:
     return F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), ddl)
 
 
+def model_answer(c: str | Column, name: str) -> Column:
+    """value and how (json, label or none) of one field of a model's answer: from its JSON, else from a line `name: value`."""
+    c = _col(c)
+    found = F.get_json_object(F.regexp_extract(F.regexp_replace(c, r"(?s)```(?:json)?", ""), r"(?s)(\{.*\})", 1), f"$.{name}")
+    label = F.nullif(F.trim(F.regexp_extract(c, rf"(?im)^\s*{re.escape(name)}\s*:[ \t]*(.+?)[ \t]*$", 1)), F.lit(""))
+    how = F.when(found.isNotNull(), "json").when(label.isNotNull(), "label").otherwise("none")
+    return F.struct(F.coalesce(found, label).alias("value"), how.alias("how"))
+
+
 def byte_range(header: str | Column) -> Column:
     """start and end of `bytes=a-b`; either may be open."""
     h = _col(header)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +44,13 @@ def is_unit(a: str | Column, tolerance: float = 2e-3) -> Column:
 def hamming(a: str | Column, b: str | Column) -> Column:
     """Differing bits of two 64-bit hashes."""
     return F.bit_count(_col(a).bitwiseXOR(_col(b)))
+
+
+def literal(a: str | Column) -> Column:
+    """[x,y,...] with nine significant digits; null if an element is null or not finite."""
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else "[" + ",".join(f"{e:.9g}" for e in v) + "]" for v in x.to_pylist()], pa.string())
+
+    a = _col(a)
+    return F.when(is_finite(a), run(a))

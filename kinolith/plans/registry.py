@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinolith.plans import audits, checks, evidence, evidence_sql, ingest, retrieval, streams, timeline
+from kinolith.plans import audits, checks, evidence, evidence_sql, ingest, retrieval, rules, streams, timeline
 
-CATALOGS = [retrieval.CATALOG, timeline.CATALOG, ingest.CATALOG, streams.CATALOG, checks.CATALOG, audits.CATALOG]
+CATALOGS = [retrieval.CATALOG, timeline.CATALOG, ingest.CATALOG, streams.CATALOG, checks.CATALOG, audits.CATALOG, rules.CATALOG]
 
 
 def flagship(spark, d):

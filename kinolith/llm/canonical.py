@@ -103,10 +103,11 @@ def tables() -> tuple[dict[int, str], str]:
             unstable[cp] = 1
         elif cp > 127 and (not unicodedata.is_normalized("NFC", ch) or (cp < 0xAC00 and any(ord(x) in replace for x in unicodedata.normalize("NFD", ch)))):
             unstable[cp] = 1
-    ranges, cp = [], 0
-    while (cp := unstable.find(1, cp)) >= 0:
+    # all beyond the basic plane is one range: a class with single ranges there is searched one by one for every character
+    ranges, cp = ["\\U00010000-\\U0010ffff"], 0
+    while 0 <= (cp := unstable.find(1, cp)) < 0x10000:
         end = unstable.find(0, cp)
-        end = end if end >= 0 else sys.maxunicode + 1
+        end = min(end if end >= 0 else sys.maxunicode + 1, 0x10000)
         ranges.append(f"\\U{cp:08x}-\\U{end - 1:08x}")
         cp = end
     return replace, "".join(ranges)
@@ -115,7 +116,7 @@ def tables() -> tuple[dict[int, str], str]:
 def form_function() -> Callable[[str | None], str | None]:
     """A function from a text to its consistent form; carries its own tables."""
     replace, unstable = tables()
-    pattern = f"[{unstable}]+"
+    pattern = f"[{unstable}]+(?:[^{unstable}]{{1,12}}[{unstable}]+)*"  # segments near each other are one: stable text between them stays as it is
     compiled: list[re.Pattern] = []
 
     def form(text: str | None) -> str | None:

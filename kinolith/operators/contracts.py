@@ -62,15 +62,6 @@ def window_around(df: DataFrame, group: list[str], order: str, anchor: str, size
     return n.filter((F.col("i_") >= F.col("from_")) & (F.col("i_") < F.col("from_") + size)).drop("i_", "n_", "from_")
 
 
-def chunks(df: DataFrame, order: str, size: str, most_bytes: int, most_rows: int) -> DataFrame:
-    """Batch numbers for rows in order so that no batch is much over the bounds: by running bytes and rows, without a fold.
-
-    A batch closes when either running total passes a multiple of its bound."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    b, r = F.floor((F.sum(size).over(w) - F.col(size)) / most_bytes), F.floor((F.count("*").over(w) - 1) / most_rows)
-    return df.withColumn("batch", F.greatest(b, r))
-
-
 def reading_order(boxes: str | Column) -> Column:
     """Polygons (arrays of [x, y]) with at least three corners, top to bottom, then left to right."""
     p = F.col(boxes) if isinstance(boxes, str) else boxes

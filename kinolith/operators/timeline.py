@@ -144,12 +144,18 @@ def frames_in_shots(frames: DataFrame, table: DataFrame, block: int = 512) -> Da
     return f.join(t, ["video_id", "blk_"]).filter(F.col("original_frame_id").between(F.col("start_frame"), F.col("end_frame"))).drop("blk_")
 
 
-def best_in_radius(targets: DataFrame, frames: DataFrame, radius: int) -> DataFrame:
-    """For each target frame the best frame within the radius: passing first, then blur, contrast, nearness, lowest id."""
-    around = targets.select("video_id", F.col("original_frame_id").alias("target_id"), F.explode(F.sequence(F.col("original_frame_id") - radius, F.col("original_frame_id") + radius)).alias("original_frame_id"))
-    j = around.join(frames, ["video_id", "original_frame_id"])
+def best_in_radius(targets: DataFrame, frames: DataFrame, radius: int, bounds: tuple[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """For each target frame the best frame within the radius: passing first, then blur, contrast, nearness, lowest id.
+
+    bounds: columns of targets with the first and last frame to look at (the target's shot); keep: further columns of a target."""
+    low, high = F.col("original_frame_id") - radius, F.col("original_frame_id") + radius
+    if bounds:
+        low, high = F.greatest(low, F.col(bounds[0])), F.least(high, F.col(bounds[1]))
+    keys = ["video_id", "target_id", *(keep or [])]
+    asked = targets.filter(low <= high).select("video_id", F.col("original_frame_id").alias("target_id"), *(keep or []), F.explode(F.sequence(low, high)).alias("original_frame_id"))
+    j = asked.join(frames, ["video_id", "original_frame_id"])
     best = F.struct("ok", "blur_score", "contrast_score", (-F.abs(F.col("original_frame_id") - F.col("target_id"))).alias("near"), (-F.col("original_frame_id")).alias("id"))
-    return j.groupBy("video_id", "target_id").agg(F.max_by("original_frame_id", best).alias("chosen_id"))
+    return j.groupBy(*keys).agg(F.max_by("original_frame_id", best).alias("chosen_id"))
 
 
 def weighted_choice(df: DataFrame, group: list[str], weights: dict[str, float]) -> DataFrame:

@@ -73,14 +73,6 @@ def clamped_shots(spark: SparkSession, d: str) -> DataFrame:
     return contracts.clamp_shots(e, t).select("evidence_id", "video_id", "start_frame", "end_frame")
 
 
-@query("""WITH v AS (SELECT DISTINCT video_id, size_bytes FROM videos_manifest WHERE size_bytes IS NOT NULL), r AS (SELECT video_id, sum(size_bytes) OVER (ORDER BY video_id ROWS UNBOUNDED PRECEDING) - size_bytes b, row_number() OVER (ORDER BY video_id) - 1 n FROM v)
-SELECT video_id, greatest(b // 500000000, n // 8)::BIGINT batch FROM r""")
-def bounded_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Videos in batches of at most about 500 MB and eight."""
-    v = table(spark, d, "videos_manifest").filter("size_bytes is not null").select("video_id", "size_bytes").distinct()
-    return contracts.chunks(v, "video_id", "size_bytes", 500_000_000, 8).select("video_id", "batch")
-
-
 @query("""WITH k AS (SELECT DISTINCT upper(trim(video_id)) video_id, timestamp_ms t FROM frame_aliases WHERE timestamp_ms IS NOT NULL), g AS (SELECT video_id, t, lag(t) OVER (PARTITION BY video_id ORDER BY t) p FROM k)
 SELECT video_id, p from_ms, t to_ms FROM g WHERE t - p > 10000""")
 def coverage_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -92,14 +84,6 @@ def coverage_violations(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("t - p > 10000").select("video_id", F.col("p").alias("from_ms"), F.col("t").alias("to_ms"))
 
 
-@query()
-def shot_sample_times(spark: SparkSession, d: str) -> DataFrame:
-    """Target times of every shot."""
-    s = timeline.shots(frames(spark, d, "scene_change_score"), "scene_change_score", 0.9)
-    t = timeline.shot_targets(F.col("start_frame") / 25.0, (F.col("end_frame") + 1) / 25.0)
-    return s.select("video_id", "shot_id", F.explode(t).alias("t")).withColumn("t", F.round("t", 3))
-
-
 @query("""WITH f AS (SELECT DISTINCT video_id, original_frame_id o, pts FROM frame_manifest WHERE original_frame_id IS NOT NULL), a AS (SELECT video_id, o, CASE WHEN o % 11 = 0 THEN NULL ELSE pts END pts FROM f),
 ua AS (SELECT video_id, pts, min(o) decoded_at FROM a WHERE pts IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1), ub AS (SELECT video_id, pts, min(o) manifest_at FROM f WHERE pts IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1),
 p AS (SELECT video_id, decoded_at, manifest_at, 'pts' how FROM ua JOIN ub USING (video_id, pts)),

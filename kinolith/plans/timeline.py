@@ -242,15 +242,6 @@ def frame_clock(spark: SparkSession, d: str) -> DataFrame:
     return j.select("video_id", "keyframe_no", "original_frame_id", num.frame_to_ms("original_frame_id", "fps_num", "fps_den").alias("frame_ms"), F.bround(raw).cast("long").alias("ms"), vector.hamming("original_frame_id", "keyframe_no").alias("bits"))
 
 
-@query()
-def hash_compaction(spark: SparkSession, d: str) -> DataFrame:
-    """Sequential compaction by the distance to the last kept frame."""
-    f = frames(spark, d, "brightness_score", "entropy_score", "blur_score").filter("not isnan(blur_score)")
-    bits = F.expr("shiftleft(1L, cast(brightness_score * 31 as int)) + shiftleft(1L, cast(entropy_score * 7 as int) + 32)")
-    kept = selection.compact_frames(f.withColumn("hash", bits - 1), "video_id", "original_frame_id", "hash", "blur_score", 5)
-    return kept.select("video_id", "original_frame_id")
-
-
 @query()
 def sequence_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Best path over three variants for each query's alignment candidates."""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = r"[\s\x{A0}\x{3000}]+"
@@ -242,3 +242,40 @@ def byte_range(header: str | Column) -> Column:
     h = _col(header)
     part = lambda i: F.nullif(F.regexp_extract(h, r"^bytes=(\d*)-(\d*)$", i), F.lit("")).cast("long")
     return F.when(h.rlike(r"^bytes=\d*-\d*$") & ~h.rlike(r"^bytes=-$"), F.struct(part(1).alias("start"), part(2).alias("end")))
+
+
+def text_branch(df: DataFrame, key: str, column: str, query: str, k: int, least: float = 0.15) -> DataFrame:
+    """key and score of the k best rows that match the web-search query or are alike by trigrams: the greater of cover density and
+    similarity, and 0.25 where the text holds the query. The query is a string, so `%` and `_` in it are plain characters."""
+    q = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", query)).strip().lower()
+    web = parse_web_query(q)
+    needed = [w for group in web.any_of for words, negated in group if not negated for w in words]
+    x = df.withColumn("t_", F.lower(column)).withColumn("lex_", tokens(column))
+    sim = similarity(trigrams("t_"), F.array(*[F.lit(t) for t in probe_trigrams(q)]))
+    hit = matches(F.col("lex_"), web)
+    x = x.select(key, "t_", "lex_", sim.alias("sim_"), hit.alias("hit_")).filter((F.col("sim_") > least) | F.col("hit_"))
+    rank = F.when(F.col("hit_"), rank_cd("lex_", list(dict.fromkeys(needed)))).otherwise(0.0)
+    score = F.round(F.greatest(rank, F.col("sim_")) + F.when(F.contains("t_", F.lit(q)), 0.25).otherwise(0.0), 6)
+    return x.select(key, score.alias("score")).orderBy(F.col("score").desc(), key).limit(k)
+
+
+def probe_trigrams(s: str) -> list[str]:
+    """The trigrams of a text on the driver, as `trigrams` gives them."""
+    return list(dict.fromkeys(f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", s.lower()) for i in range(len(w) + 1)))
+
+
+def write_postings(df: DataFrame, key: str, column: str, path: str, buckets: int = 64) -> None:
+    """Store the trigram postings of texts: gram, id and the number of the text's trigrams, in folders by the gram's hash and sorted by gram."""
+    grams = trigrams(column)
+    p = df.select(F.col(key).alias("id"), grams.alias("g_")).select("id", F.size("g_").alias("n"), F.explode("g_").alias("gram"))
+    p = p.withColumn("b", F.pmod(F.hash("gram"), F.lit(buckets)))
+    p.repartition("b", F.pmod(F.hash("id"), F.lit(4))).sortWithinPartitions("b", "gram").write.partitionBy("b").parquet(path)
+
+
+def search_postings(spark: SparkSession, path: str, probe: list[str], least: float) -> DataFrame:
+    """id and sim of the texts whose similarity with the probe's trigrams is above `least` (not below 0): the filter on gram and bucket
+    reaches the files, and the shared trigrams are counted before the exchange."""
+    p = spark.read.parquet(path)
+    buckets = [r.b for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.hash(F.lit(g)), F.lit(64)) for g in probe])).alias("b")).distinct().collect()]
+    hits = p.filter(F.col("b").isin(buckets) & F.col("gram").isin(probe)).groupBy("id").agg(F.count("*").alias("i"), F.first("n").alias("n"))
+    return hits.select("id", (F.col("i") / (F.col("n") + len(probe) - F.col("i"))).alias("sim")).filter(F.col("sim") > least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ class KeyViolation(ValueError):
     """A merge that must be one-to-one or many-to-one is not."""
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all frames, columns by name."""
+    return reduce(DataFrame.unionByName, frames)
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that come more than once, with their number."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

@@ -217,3 +217,31 @@ def gray_metrics(pixels: str | Column, width: str | Column) -> Column:
         return pa.array([one(a, b) for a, b in zip(x.to_pylist(), w.to_pylist())], kind)
 
     return run(_col(pixels), _col(width))
+
+
+def run_status(ok: str | Column) -> Column:
+    """Aggregate: completed, partial or failed, from whether each stage succeeded."""
+    o = F.coalesce(_col(ok), F.lit(False))
+    return F.when(F.bool_and(o), "completed").when(F.bool_or(o), "partial").otherwise("failed")
+
+
+def dhash(pixels: str | Column, width: str | Column) -> Column:
+    """64-bit difference hash of an 8-bit gray image in rows: means of 8 x 9 areas, a bit where the right one is brighter; null if smaller."""
+
+    def one(raw: bytes | None, w: int | None) -> int | None:
+        if not raw or not w or w < 9 or len(raw) < 8 * w:
+            return None
+        g = np.frombuffer(raw, np.uint8)[: len(raw) // w * w].reshape(-1, w).astype(float)
+        rows, cols = np.linspace(0, g.shape[0], 9).astype(int)[:-1], np.linspace(0, w, 10).astype(int)[:-1]
+        sums = np.add.reduceat(np.add.reduceat(g, rows, axis=0), cols, axis=1)
+        size = np.diff(np.r_[rows, g.shape[0]])[:, None] * np.diff(np.r_[cols, w])[None, :]
+        m = sums / size
+        bits = (m[:, 1:] > m[:, :-1]).ravel()
+        n = int("".join("1" if b else "0" for b in bits), 2)
+        return n - (1 << 64) if n >> 63 else n
+
+    @F.arrow_udf("long")
+    def run(x: pa.Array, w: pa.Array) -> pa.Array:
+        return pa.array([one(a, b) for a, b in zip(x.to_pylist(), w.to_pylist())], pa.int64())
+
+    return run(_col(pixels), _col(width))

@@ -279,3 +279,29 @@ def search_postings(spark: SparkSession, path: str, probe: list[str], least: flo
     buckets = [r.b for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.hash(F.lit(g)), F.lit(64)) for g in probe])).alias("b")).distinct().collect()]
     hits = p.filter(F.col("b").isin(buckets) & F.col("gram").isin(probe)).groupBy("id").agg(F.count("*").alias("i"), F.first("n").alias("n"))
     return hits.select("id", (F.col("i") / (F.col("n") + len(probe) - F.col("i"))).alias("sim")).filter(F.col("sim") > least)
+
+
+def label_branch(df: DataFrame, label: str, confidence: str, terms: list[str], keys: list[str], order: list[str], k: int, least: float = 0.2) -> DataFrame:
+    """keys and score of the k best rows by label: exact labels count 1, and only if there are none those that are alike by trigrams.
+
+    The score is weighted by the confidence, the best of a row's terms counts. Distinct labels, not rows, meet the terms."""
+    weight = 0.75 + 0.25 * F.col(confidence)
+    exact = df.filter(F.col(label).isin(terms))
+    if not exact.take(1):
+        labels = df.select(label).filter(F.col(label).isNotNull()).distinct().withColumn("g_", trigrams(label))
+        sims = [F.when(F.col(label) == t, 1.0).otherwise(similarity(F.col("g_"), F.array(*[F.lit(g) for g in probe_trigrams(t)]))) for t in terms]
+        alike = labels.select(label, F.greatest(*sims, F.lit(0.0)).alias("sim_")).filter(F.col("sim_") > least)
+        scored = df.join(alike, label).withColumn("s_", F.col("sim_") * weight)
+    else:
+        scored = exact.withColumn("s_", weight)
+    best = scored.groupBy(*keys).agg(F.round(F.max("s_"), 6).alias("score"))
+    return best.orderBy(F.col("score").desc(), *order).limit(k)
+
+
+def clean_json(*columns: str) -> Column:
+    """Columns as a JSON object with sorted keys; NaN and infinite values are null and left out."""
+    def value(c: str) -> Column:
+        x = F.col(c)
+        return F.when(~F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False)), x).alias(c)
+
+    return F.to_json(F.struct(*[value(c) for c in sorted(columns)]))

@@ -20,10 +20,39 @@ def interval_rules(start: str, end: str) -> dict[str, Column]:
 
 
 def strictly_rising(values: str | Column) -> Column:
-    """Whether an array has 1 to 20 strictly rising elements (frames of an answer)."""
+    """Whether an array has 1 to 20 strictly rising elements and no null (frames of an answer); a null array is none."""
     v = F.col(values) if isinstance(values, str) else values
     ok = F.forall(F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: a < b), lambda x: x)
-    return F.size(v).between(1, 20) & ok
+    return F.coalesce(F.size(v).between(1, 20) & ~F.exists(v, lambda x: x.isNull()) & ok, F.lit(False))
+
+
+def evidence_lines(df: DataFrame, by: list[str], order: list[str], kind: str, key: str, snippet: str, rows: int = 20, chars: int = 500, total: int = 8_000) -> DataFrame:
+    """by, key, line, nth: the evidence that goes into a prompt, as lines `[kind][key] snippet`.
+
+    Of the first `rows` of a group those with a text, each cut to `chars`, until the next line would bring the prompt beyond `total`."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    x = df.withColumn("i_", F.row_number().over(w)).filter(F.col("i_") <= rows)
+    x = x.withColumn("s_", F.substring(F.trim(snippet), 1, chars)).filter(F.length("s_") > 0)
+    x = x.withColumn("line", F.concat(F.lit("["), F.coalesce(kind, F.lit("")), F.lit("]["), F.coalesce(key, F.lit("")), F.lit("] "), "s_"))
+    held = F.sum(F.length("line") + 1).over(Window.partitionBy(*by).orderBy("i_"))  # a line and its break
+    return x.withColumn("held_", held).filter(F.col("held_") - F.when(F.col("held_") == F.length("line") + 1, 0).otherwise(1) <= total).select(*by, key, "line", F.row_number().over(Window.partitionBy(*by).orderBy("i_")).alias("nth"))
+
+
+def ocr_records(df: DataFrame, group: list[str], order: str, text: str, score: str) -> DataFrame:
+    """One record per group: its texts (single blanks, empty ones left out) in order as one, the mean of their scores within 0 and 1, and their number."""
+    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0))))
+    x = df.select(*group, order, t.alias("t_"), c.alias("c_")).filter("t_ <> ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "t_"))), lambda s: s["t_"]), " ")
+    return x.groupBy(*group).agg(joined.alias("text"), F.avg("c_").alias("confidence"), F.count("*").alias("n_boxes"))
+
+
+def merged_lists(a: Column, b: Column, kind: str, key: str) -> Column:
+    """Items of two arrays of structs: those of `a`, and of the kinds `a` has none of those of `b`; the first of each (kind, key) counts."""
+    kinds = F.transform(F.coalesce(a, F.filter(b, lambda x: F.lit(False))), lambda x: x[kind])
+    both = F.concat(F.coalesce(a, F.filter(b, lambda x: F.lit(False))), F.filter(F.coalesce(b, F.filter(a, lambda x: F.lit(False))), lambda x: ~F.array_contains(kinds, x[kind])))
+    keys = F.transform(both, lambda x: F.concat_ws("\x1f", x[kind], x[key]))
+    return F.filter(both, lambda x, i: F.array_position(keys, F.concat_ws("\x1f", x[kind], x[key])) == i + 1)
 
 
 def ordinals_complete(df: DataFrame, group: list[str], ordinal: str) -> DataFrame:
@@ -100,3 +129,14 @@ def match_by_clock(decoded: DataFrame, manifest: DataFrame, entity: str, pts: st
     place = lambda x, c: x.withColumn("i_", F.row_number().over(Window.partitionBy(entity).orderBy(c)))
     by_order = place(open_a, "decoded_at").join(place(open_b, "manifest_at"), [entity, "i_"]).select(entity, "decoded_at", "manifest_at", F.lit("order").alias("how"))
     return by_pts.unionByName(by_order)
+
+
+def result_rows(df: DataFrame, display: int) -> DataFrame:
+    """Ranked candidates as results: at most `display`, start not below 0, end after it, a preview (own, the video's, or none), and the
+    frame they stand for. Columns used: rank, video_id, original_frame_id, start_ms, end_ms, preview_uri, object_key, and timestamp_ms and keyframe_no if there."""
+    have = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    x = df.filter(F.col("rank") <= display).withColumn("start_ms", F.greatest(F.coalesce(have("timestamp_ms", "long"), F.col("start_ms"), F.lit(0)), F.lit(0)))
+    x = x.withColumn("end_ms", F.greatest(F.coalesce("end_ms", F.lit(0)), F.col("start_ms") + 1))
+    x = x.withColumn("preview_uri", F.coalesce("preview_uri", F.concat(F.lit("r2://media/"), "object_key"), F.concat(F.lit("r2://unavailable/"), "video_id")))
+    shown = F.struct(have("keyframe_no", "long").alias("keyframe_no"), F.col("original_frame_id"), F.col("start_ms").alias("timestamp_ms"))
+    return x.withColumn("representative", F.when(F.col("original_frame_id").isNotNull(), shown))

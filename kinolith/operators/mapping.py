@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolith.operators.skew import numbered
+from kinolith.session import stage
+
 
 class KeyViolation(ValueError):
     """A merge that must be one-to-one or many-to-one is not."""
@@ -94,19 +97,27 @@ def single_value(df: DataFrame, group: list[str], column: str) -> DataFrame:
     return df.groupBy(*group).agg(F.countDistinct(column).alias("n_values")).filter("n_values > 1")
 
 
-def ordered_distinct(queues: DataFrame, key: str, position: list[str], most: int) -> DataFrame:
-    """Union of queues without repeats: the first place of a key counts, at most `most` rows."""
-    first = queues.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(*position))).filter("n_ = 1").drop("n_")
-    return first.orderBy(*position).limit(most)
+def ordered_distinct(queues: DataFrame, group: list[str], key: str, position: list[str], most: int) -> DataFrame:
+    """Union of queues without repeats, per group: the first place of a key counts, at most `most` rows; numbered from 1 as `place`."""
+    first = queues.groupBy(*group, key).agg(F.min(F.struct(*position)).alias("p_"))
+    n = F.row_number().over(Window.partitionBy(*group).orderBy(*[f"p_.{p}" for p in position], key))
+    return first.withColumn("place", n).filter(F.col("place") <= most).select(*group, key, *[F.col(f"p_.{p}").alias(p) for p in position], "place")
 
 
 def insert_at(rows: DataFrame, new: DataFrame, position: str) -> DataFrame:
-    """New rows put before the row that holds their position; positions are numbered again from 0."""
+    """New rows put before the row that holds their position; positions are numbered again from 0 in `place`. Positions tell rows apart."""
     both = rows.withColumn("new_", F.lit(1)).unionByName(new.withColumn("new_", F.lit(0)))
-    return both.withColumn("place", F.row_number().over(Window.orderBy(position, "new_")) - 1).drop("new_")
+    return numbered(both, [F.col(position), F.col("new_")], "place").drop("new_")
 
 
 def deal(df: DataFrame, order: str, n: int, contiguous: bool) -> DataFrame:
-    """Rows dealt to n batches, in turn or as near-equal stretches."""
-    w = Window.orderBy(order)
-    return df.withColumn("batch", (F.ntile(n).over(w) - 1) if contiguous else F.pmod(F.row_number().over(w) - 1, F.lit(n)))
+    """Rows dealt to n batches, in turn or as near-equal stretches (the first ones get the rows left over); `order` tells rows apart."""
+    i = numbered(df, [F.col(order)], "i_")
+    if not contiguous:
+        return i.withColumn("batch", F.pmod("i_", F.lit(n)).cast("int")).drop("i_")
+    i = stage(i, "numbered")
+    total = i.count()  # from the Parquet footers
+    size, more = divmod(total, n)
+    cut = more * (size + 1)
+    batch = F.when(F.col("i_") < cut, F.floor(F.col("i_") / max(size + 1, 1))).otherwise(more + F.floor((F.col("i_") - cut) / max(size, 1)))
+    return i.withColumn("batch", batch.cast("int")).drop("i_")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolith.operators.skew import numbered
 from kinolith.session import stage, width
 
 
@@ -90,33 +91,37 @@ STEPS = [(400, 0.5), (1_000, 1.0), (120_001, 1.2), (900_001, 1.0)]
 FAR = 0.8
 
 
-def step_weight(ms: float) -> float:
-    """How plausible a step between two events of a sequence is."""
-    return next((w for most, w in STEPS if ms < most), FAR)
+def step_weights(ms: np.ndarray) -> np.ndarray:
+    """How plausible steps between two events of a sequence are."""
+    return np.select([ms < most for most, _ in STEPS], [w for _, w in STEPS], FAR)
 
 
 def align(frames: list[int], times: list[float], scores: list[list[float]]) -> tuple[float, list[int]] | None:
     """Best path of one frame per variant with rising frames: (score, positions), or None. Rows come sorted by frame."""
-    n, m = len(frames), len(scores[0]) if scores else 0
-    best = [[0.0] * m for _ in range(n)]
-    back = [[-1] * m for _ in range(n)]
-    for i in range(n):
-        if m and scores[i][0] > 0:
-            best[i][0] = scores[i][0]
-        for v in range(1, m):
-            for p in range(i):
-                if frames[p] < frames[i] and best[p][v - 1] > 0 and scores[i][v] > 0:
-                    x = best[p][v - 1] + scores[i][v] * step_weight(max(1.0, times[i] - times[p]))
-                    if x > best[i][v]:
-                        best[i][v], back[i][v] = x, p
-    if not n or not m or not (top := max(row[-1] for row in best)) > 0:
+    f, t = np.array(frames), np.array(times, float)
+    s = np.array(scores, float) if len(scores) else np.zeros((0, 0))
+    if not len(f) or not s.shape[1]:
         return None
-    i = next(i for i in range(n) if best[i][-1] == top)
-    path = [i]
-    for v in range(m - 1, 0, -1):
-        i = back[i][v]
-        path.append(i)
-    return top, path[::-1]
+    before = np.searchsorted(f, f, "left")  # the rows with a smaller frame come first
+    best, backs = np.where(s[:, 0] > 0, s[:, 0], 0.0), []
+    for v in range(1, s.shape[1]):
+        now, back = np.zeros(len(f)), np.full(len(f), -1)
+        for i in np.flatnonzero(s[:, v] > 0):
+            p = best[: before[i]]
+            if not (p > 0).any():
+                continue
+            ms = np.maximum(1.0, t[i] - t[: before[i]])
+            x = np.where(p > 0, p + s[i, v] * step_weights(ms), -1.0)
+            back[i] = int(x.argmax())  # the first of equals
+            now[i] = x[back[i]]
+        best = now
+        backs.append(back)
+    if not best.max() > 0:
+        return None
+    path = [int(best.argmax())]
+    for back in backs[::-1]:
+        path.append(int(back[path[-1]]))
+    return float(best.max()), path[::-1]
 
 
 def compact_frames(df: DataFrame, entity: str, at: str, hash_: str, sharpness: str, most: int = 5) -> DataFrame:
@@ -271,20 +276,26 @@ def medoid_vectors(df: DataFrame, group: list[str], vector: str, at: str, key: s
     return rows.join(rest, ["grp_", "pos_"], "left_anti").select(*df.columns)
 
 
-def align_sequences(df: DataFrame, group: list[str], frame: str, time: str, scores: str) -> DataFrame:
-    """Candidates of each group's best aligned path, with their place and the path's score added to the best score."""
-    ddl = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group) + f", {frame} long, place int, path_score double"
+def align_sequences(df: DataFrame, query: list[str], video: str, frame: str, time: str, scores: str, score: str) -> DataFrame:
+    """A query's candidates after alignment: those on the best path of each of its videos, with their place, the score raised by
+    the path's score over the number of variants; a query without any path keeps its candidates as they are (place null).
+
+    Candidates without a frame take no part. A missing time is 40 ms a frame. A query's candidates are few (its fusion limit)."""
+    group = [*query, video]
+    ddl = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group) + f", {frame} long, place int, {score} double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(frame, kind="stable").reset_index(drop=True)
         t = pdf[time].fillna(pdf[frame] * 40.0).tolist()
         found = align(pdf[frame].tolist(), t, [list(x) for x in pdf[scores]])
-        out = pdf.iloc[found[1] if found else []][[*group, frame]].copy()
+        out = pdf.iloc[found[1] if found else []][[*group, frame, score]].copy()
         out["place"] = range(1, len(out) + 1)
-        out["path_score"] = round(found[0], 9) if found else 0.0
-        return out
+        out[score] = out[score] + (found[0] / len(found[1]) if found else 0.0)
+        return out[[*group, frame, "place", score]]
 
-    return df.groupBy(*group).applyInPandas(run, ddl)
+    aligned = stage(df.filter(F.col(frame).isNotNull()).groupBy(*group).applyInPandas(run, ddl), "aligned")
+    rest = df.join(aligned.select(*query).distinct(), query, "left_anti").select(*group, frame, F.lit(None).cast("int").alias("place"), score)
+    return aligned.unionByName(rest)
 
 
 def repair(df: DataFrame, group: list[str], most: float) -> DataFrame:
@@ -302,5 +313,4 @@ def repair(df: DataFrame, group: list[str], most: float) -> DataFrame:
 def round_robin_subset(df: DataFrame, batch: str, order: str, size: str, target: float) -> DataFrame:
     """One of each batch in turn until the sizes reach the target; the row that reaches it is the last."""
     n = df.withColumn("turn", F.row_number().over(Window.partitionBy(batch).orderBy(order)))
-    before = F.sum(size).over(Window.orderBy("turn", batch).rowsBetween(Window.unboundedPreceding, -1))
-    return n.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < target)
+    return numbered(n, [F.col("turn"), F.col(batch)], "nth_", F.col(size)).withColumnRenamed("before_", "before").filter(F.col("before") < target).drop("nth_")

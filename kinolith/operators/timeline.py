@@ -238,3 +238,9 @@ def hit_windows(hits: DataFrame, frames: DataFrame, radius_ms: float) -> DataFra
     at_end = f.select("video_id", F.col(FRAME).alias("end_frame"), F.col("t_").alias("end_"))
     out = ends.join(at_end, ["video_id", "end_frame"], "left").join(tail, "video_id", "left").select("video_id", F.col("of_").alias(FRAME), "start_frame", "end_frame", "start_ms", F.coalesce("end_", "after_", "inside_").alias("end_ms"))
     return hits.join(out, ["video_id", FRAME], "left")
+
+
+def at_place(asked: DataFrame, frames: DataFrame, place: str) -> DataFrame:
+    """Rows with the frame that stands at a place (from 0) of their video's timeline; null outside of it."""
+    p = scan_entity(frames.select("video_id", FRAME), VIDEO, FRAME, {"i_": ("sum", F.lit(1))}).select("video_id", (F.col("i_") - 1).alias(place), FRAME)
+    return asked.join(p, ["video_id", place], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinolith.operators import mapping, temporal, timeline
+from kinolith.operators import contracts, mapping, temporal, timeline
 from kinolith.plans.catalog import Catalog
 from kinolith.plans.evidence import speech_spans
 from kinolith.plans.evidence_sql import _SPANS
@@ -39,10 +39,11 @@ def embedding_audit(spark: SparkSession, d: str) -> DataFrame:
     return j.select("video_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_vectors", "n_keyframes", "n_bad")], F.coalesce(F.col("n_vectors") != F.col("n_ids"), F.lit(False)).alias("repeated"))
 
 
-@query("""SELECT video_id, min(embedding_uri) first_uri, count(DISTINCT embedding_uri) n_files, count(DISTINCT embedding_id) n_vectors, sum(DISTINCT embedding_dim)::BIGINT dims FROM embedding_result GROUP BY 1""")
+@query("""WITH e AS (SELECT DISTINCT video_id, embedding_uri, embedding_id, embedding_dim FROM embedding_result) SELECT video_id, min(embedding_uri) first_uri, count(DISTINCT embedding_uri) n_files, count(DISTINCT embedding_id) n_vectors, sum(embedding_dim * 4)::BIGINT n_bytes FROM e GROUP BY 1""")
 def artifact_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Files, vectors and bytes per video."""
     e = table(spark, d, "embedding_result").select("video_id", "embedding_uri", "embedding_id", "embedding_dim").distinct()
-    return e.groupBy("video_id").agg(F.min("embedding_uri").alias("first_uri"), F.countDistinct("embedding_uri").alias("n_files"), F.countDistinct("embedding_id").alias("n_vectors"), F.sum_distinct("embedding_dim").alias("dims"))
+    return e.groupBy("video_id").agg(F.min("embedding_uri").alias("first_uri"), F.countDistinct("embedding_uri").alias("n_files"), F.countDistinct("embedding_id").alias("n_vectors"), F.sum(F.col("embedding_dim") * 4).alias("n_bytes"))
 
 
 @query(f"""WITH {_TR}, {_FR}, e AS (SELECT DISTINCT evidence_id, evidence_type, video_id, original_frame_id, confidence FROM evidence WHERE deleted_at IS NULL AND original_frame_id IS NOT NULL),
@@ -103,11 +104,13 @@ def span_confidence(spark: SparkSession, d: str) -> DataFrame:
     return j.select("video_id", "source_span_index", F.round(F.coalesce("confidence", "m", "w"), 6).alias("confidence"))
 
 
-@query("""WITH e AS (SELECT DISTINCT * FROM evidence WHERE evidence_type = 'ocr' AND deleted_at IS NULL) SELECT video_id, original_frame_id, count(*) n, round(avg(confidence), 6)::DOUBLE mean_confidence, string_agg(evidence_id, '+' ORDER BY evidence_id) joined FROM e GROUP BY 1, 2""")
+@query("""WITH x AS (SELECT DISTINCT doc_id, video_id, trim(regexp_replace(text, '[\\s\\x0b]+', ' ', 'g')) t, greatest(0, least(1, (doc_id % 130 - 10) / 100.0)) c FROM documents WHERE source = 'ocr' AND video_id IS NOT NULL)
+SELECT video_id, md5(string_agg(t, ' ' ORDER BY doc_id, t)) text_key, round(avg(c), 6)::DOUBLE confidence, count(*) n_boxes FROM x WHERE t <> '' GROUP BY 1""")
 def ocr_frames(spark: SparkSession, d: str) -> DataFrame:
-    """OCR evidence of a frame as one record."""
-    e = _evidence(spark, d, "evidence_type", "video_id", "original_frame_id", "confidence", "deleted_at").filter("evidence_type = 'ocr' and deleted_at is null")
-    return e.groupBy("video_id", "original_frame_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.array_join(F.array_sort(F.collect_list("evidence_id")), "+").alias("joined"))
+    """Read texts of a video as one record with their mean confidence."""
+    x = table(spark, d, "documents").filter("source = 'ocr' and video_id is not null").select("doc_id", "video_id", "text").distinct()
+    r = contracts.ocr_records(x.withColumn("c", (F.col("doc_id") % 130 - 10) / 100.0), ["video_id"], "doc_id", "text", "c")
+    return r.select("video_id", F.md5("text").alias("text_key"), F.round("confidence", 6).alias("confidence"), "n_boxes")
 
 
 @query(f"""WITH {_SPANS}, {_TR} SELECT alignment_id, event_ordinal, count(*) n_spans, min(s) first_ms, max(e) last_ms FROM tr JOIN sp ON sp.video_id = tr.video_id AND s <= timestamp_ms AND e >= timestamp_ms GROUP BY 1, 2""")

@@ -37,12 +37,11 @@ def order_contract(spark: SparkSession, d: str) -> DataFrame:
     return contracts.order_respected(_events(spark, d), ["alignment_id"], "event_ordinal", "original_frame_id").select("alignment_id", "event_ordinal")
 
 
-@query(f"""WITH {_T}, a AS (SELECT alignment_id, list(original_frame_id ORDER BY event_ordinal) fs FROM t WHERE original_frame_id IS NOT NULL GROUP BY 1)
-SELECT alignment_id, len(fs)::INT n, len(fs) <= 20 AND len(list_filter(range(1, len(fs)), lambda i: fs[i] >= fs[i + 1])) = 0 valid FROM a""")
+@query(f"""WITH {_T}, a AS (SELECT alignment_id, list(original_frame_id ORDER BY event_ordinal, original_frame_id) fs FROM t GROUP BY 1)
+SELECT alignment_id, len(fs)::INT n, len(fs) BETWEEN 1 AND 20 AND len(list_filter(fs, lambda x: x IS NULL)) = 0 AND len(list_filter(range(1, len(fs)), lambda i: fs[i] >= fs[i + 1])) = 0 valid FROM a""")
 def answer_shape(spark: SparkSession, d: str) -> DataFrame:
-    """Answers as frame lists: one to twenty, strictly rising."""
-    e = _events(spark, d).filter("original_frame_id is not null")
-    a = e.groupBy("alignment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_ordinal", "original_frame_id"))), lambda x: x["original_frame_id"]).alias("fs"))
+    """Answers as frame lists: one to twenty, none missing, strictly rising."""
+    a = _events(spark, d).groupBy("alignment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_ordinal", "original_frame_id"))), lambda x: x["original_frame_id"]).alias("fs"))
     return a.select("alignment_id", F.size("fs").alias("n"), contracts.strictly_rising("fs").alias("valid"))
 
 

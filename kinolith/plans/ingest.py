@@ -284,16 +284,27 @@ def score_functions(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "result_no", F.round(num.rerank_multiplier(F.col("score") * 100, 0.4), 6).alias("rerank"), num.transition_multiplier(F.col("end_ms") - F.col("start_ms")).alias("step"), F.round(num.percent("start_ms", "end_ms"), 6).alias("pct"))
 
 
-@query("""SELECT s_suppkey, ntile(7) OVER (ORDER BY s_suppkey) - 1 batch FROM supplier""")
+@query("""SELECT s_suppkey, (ntile(7) OVER (ORDER BY s_suppkey) - 1)::INT batch, ((row_number() OVER (ORDER BY s_suppkey) - 1) % 7)::INT turn FROM supplier""")
 def contiguous_batches(spark: SparkSession, d: str) -> DataFrame:
-    return mapping.deal(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 7, True)
+    """Rows dealt to seven batches as stretches and in turn."""
+    s = table(spark, d, "supplier").select("s_suppkey")
+    turn = mapping.deal(s, "s_suppkey", 7, False).withColumnRenamed("batch", "turn")
+    return mapping.deal(s, "s_suppkey", 7, True).join(turn, "s_suppkey")
 
 
-@query("""SELECT query_id, confidence_rank, video_id FROM (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, video_id) confidence_rank FROM (SELECT query_id, upper(trim(video_id)) video_id, max(score) best FROM
+@query("""WITH b AS (SELECT s_suppkey pos, 1 n, s_name FROM supplier UNION ALL SELECT s_suppkey, 0, 'new ' || s_name FROM supplier WHERE s_suppkey % 9 = 4) SELECT s_name, row_number() OVER (ORDER BY pos, n) - 1 place FROM b""")
+def gap_fill(spark: SparkSession, d: str) -> DataFrame:
+    """New rows put before those that hold their position, all numbered again."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    new = s.filter("s_suppkey % 9 = 4").withColumn("s_name", F.concat(F.lit("new "), "s_name"))
+    return mapping.insert_at(s, new, "s_suppkey").select("s_name", "place")
+
+
+@query("""SELECT query_id, confidence_rank, video_id FROM (SELECT query_id, video_id, row_number() OVER (PARTITION BY query_id ORDER BY best, first_no, video_id)::INT confidence_rank FROM (SELECT query_id, upper(trim(video_id)) video_id, min(-score) best, arg_min(result_no, {'s': -score, 'r': result_no}) first_no FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id, result_no ORDER BY ingested_at DESC) k FROM search_response) WHERE k = 1 AND video_id IS NOT NULL AND isfinite(score) GROUP BY 1, 2)) WHERE confidence_rank <= 3""")
 def queue_fill(spark: SparkSession, d: str) -> DataFrame:
-    """The first three different videos of each query."""
+    """The first three different videos of each query, by score and then result number."""
     r = latest(table(spark, d, "search_response").select("query_id", "result_no", "video_id", "score", "ingested_at"), ["query_id", "result_no"], "ingested_at").withColumn("video_id", clean_id("video_id"))
-    r = r.filter("video_id is not null and score is not null and not isnan(score) and abs(score) < double('inf')").groupBy("query_id", "video_id").agg(F.max("score").alias("best"))
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("best").desc(), "video_id"))
-    return r.withColumn("confidence_rank", n).filter("confidence_rank <= 3").select("query_id", "confidence_rank", "video_id")
+    r = r.filter("video_id is not null and score is not null and not isnan(score) and abs(score) < double('inf')").withColumn("below", -F.col("score"))
+    q = mapping.ordered_distinct(r, ["query_id"], "video_id", ["below", "result_no"], 3)
+    return q.select("query_id", F.col("place").alias("confidence_rank"), "video_id")

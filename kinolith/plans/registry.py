@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinolith.plans import audits, checks, curation, evidence, evidence_sql, formats, ingest, retrieval, rules, streams, timeline
+from kinolith.plans import audits, branches, checks, curation, evidence, evidence_sql, formats, ingest, retrieval, rules, streams, timeline
 
-CATALOGS = [retrieval.CATALOG, timeline.CATALOG, ingest.CATALOG, streams.CATALOG, checks.CATALOG, audits.CATALOG, rules.CATALOG, curation.CATALOG, formats.CATALOG]
+CATALOGS = [retrieval.CATALOG, timeline.CATALOG, ingest.CATALOG, streams.CATALOG, checks.CATALOG, audits.CATALOG, rules.CATALOG, curation.CATALOG, formats.CATALOG, branches.CATALOG]
 
 
 def flagship(spark, d):

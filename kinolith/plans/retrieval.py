@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinolith.functions import num, text, vector
-from kinolith.operators import fusion, temporal
+from kinolith.operators import contracts, fusion, temporal
 from kinolith.plans.catalog import Catalog
 from kinolith.session import clean_id, latest, table
 
@@ -268,17 +268,17 @@ def response_flags(spark: SparkSession, d: str) -> DataFrame:
     return g.select("query_id", "top_score", F.when(F.col("top_score").isNotNull(), F.least(F.lit(1.0), F.col("top_score") * 10)).alias("confidence"), "degraded", status.alias("status"))
 
 
-@query("""
-WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, result_no ORDER BY ingested_at DESC) k FROM search_response) WHERE k = 1),
-p AS (SELECT query_id, result_no, length(coalesce(preview_uri, '')) + 1 n, row_number() OVER (PARTITION BY query_id ORDER BY result_no) i FROM r),
-c AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY result_no) upto FROM p WHERE i <= 20)
-SELECT query_id, count(*) n_kept, max(upto)::BIGINT n_chars FROM c WHERE upto <= 500 GROUP BY 1""")
+@query(f"""WITH {_HITS}, x AS (SELECT query_id, hits.evidence_id, evidence_type, trim(substr(trim(repeat(hits.video_id || ' ' || evidence_type || ' ', 5 + result_no % 3 * 40)), 1, 500)) s, row_number() OVER (PARTITION BY query_id ORDER BY result_no, hits.evidence_id) i FROM hits JOIN ev USING (evidence_id)),
+l AS (SELECT *, '[' || evidence_type || '][' || evidence_id || '] ' || substr(trim(repeat(video_id || ' ' || evidence_type || ' ', 5 + result_no % 3 * 40)), 1, 500) line FROM (SELECT query_id, hits.evidence_id, evidence_type, hits.video_id, result_no, row_number() OVER (PARTITION BY query_id ORDER BY result_no, hits.evidence_id) i FROM hits JOIN ev USING (evidence_id)) WHERE i <= 20),
+c AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY i) upto, row_number() OVER (PARTITION BY query_id ORDER BY i) n FROM l)
+SELECT query_id, count(*) n_kept, sum(length(line))::BIGINT n_chars FROM c WHERE upto - CASE WHEN n = 1 THEN 0 ELSE 1 END <= 8000 GROUP BY 1""")
 def compact_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 rows of a query until the text budget would overflow."""
-    r = latest(table(spark, d, "search_response").select("query_id", "result_no", "preview_uri", "ingested_at"), ["query_id", "result_no"], "ingested_at")
-    w = Window.partitionBy("query_id").orderBy("result_no")
-    p = r.withColumn("i", F.row_number().over(w)).filter("i <= 20").withColumn("n", F.length(F.coalesce("preview_uri", F.lit(""))) + 1)
-    return p.withColumn("upto", F.sum("n").over(w)).filter("upto <= 500").groupBy("query_id").agg(F.count("*").alias("n_kept"), F.max("upto").alias("n_chars"))
+    """Evidence lines of a query's prompt: 20 rows, 500 characters each, until 8,000 would be passed."""
+    ev = table(spark, d, "evidence").select("evidence_id", "evidence_type").distinct()
+    h = _hits(spark, d).join(ev, "evidence_id")
+    snippet = F.repeat(F.concat("video_id", F.lit(" "), "evidence_type", F.lit(" ")), 5 + F.col("result_no") % 3 * 40)
+    lines = contracts.evidence_lines(h.withColumn("snippet", snippet), ["query_id"], ["result_no", "evidence_id"], "evidence_type", "evidence_id", "snippet")
+    return lines.groupBy("query_id").agg(F.count("*").alias("n_kept"), F.sum(F.length("line")).alias("n_chars"))
 
 
 @query("""

@@ -34,7 +34,8 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "event_type")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, floor(epoch(ts))::BIGINT at_s FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_s) n FROM e),
+k AS (SELECT user_id, n, at_s, at_s AS last, true keep FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, o.at_s, CASE WHEN o.at_s - last >= 86400 THEN o.at_s ELSE last END, o.at_s - last >= 86400 FROM k JOIN o ON o.user_id = k.user_id AND o.n = k.n + 1) SELECT user_id, at_s FROM k WHERE keep""")
 def stream_spaced(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user at least a day after the last one kept, with the kept time as state."""
     e = flows.stream_table(spark, d, "events").withColumn("at_s", F.unix_seconds(F.col("ts").cast("timestamp")))

@@ -242,13 +242,24 @@ def frame_clock(spark: SparkSession, d: str) -> DataFrame:
     return j.select("video_id", "keyframe_no", "original_frame_id", num.frame_to_ms("original_frame_id", "fps_num", "fps_den").alias("frame_ms"), F.bround(raw).cast("long").alias("ms"), vector.hamming("original_frame_id", "keyframe_no").alias("bits"))
 
 
-@query()
+_AL3 = """c AS (SELECT query_id, upper(trim(video_id)) v, original_frame_id f, min(timestamp_ms)::DOUBLE t, arg_max([CASE WHEN event_ordinal % 3 = 1 THEN selection_score ELSE selection_score / 4 END, CASE WHEN event_ordinal % 3 = 2 THEN selection_score ELSE selection_score / 4 END, CASE WHEN event_ordinal % 3 = 0 THEN selection_score ELSE selection_score / 4 END], event_ordinal) s
+ FROM (SELECT DISTINCT query_id, video_id, original_frame_id, timestamp_ms, selection_score, event_ordinal FROM trake_alignment) WHERE original_frame_id IS NOT NULL AND selection_score IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT query_id, v, f, coalesce(t, f * 40.0) t, s FROM c), j AS (SELECT b.query_id, b.v, b.f, a.f pf, b.s, CASE WHEN d < 400 THEN 0.5 WHEN d BETWEEN 1000 AND 120000 THEN 1.2 WHEN d > 900000 THEN 0.8 ELSE 1.0 END::DOUBLE m FROM p b JOIN p a ON a.query_id = b.query_id AND a.v = b.v AND a.f < b.f, LATERAL (SELECT greatest(1, b.t - a.t) d)),
+d1 AS (SELECT query_id, v, f, s[1] b FROM p WHERE s[1] > 0),
+d2 AS (SELECT * FROM (SELECT j.query_id, j.v, j.f, j.pf, d1.b + j.s[2] * m b, row_number() OVER (PARTITION BY j.query_id, j.v, j.f ORDER BY d1.b + j.s[2] * m DESC, j.pf) n FROM j JOIN d1 ON d1.query_id = j.query_id AND d1.v = j.v AND d1.f = j.pf WHERE j.s[2] > 0) WHERE n = 1),
+d3 AS (SELECT * FROM (SELECT j.query_id, j.v, j.f, j.pf, d2.pf ppf, d2.b + j.s[3] * m b, row_number() OVER (PARTITION BY j.query_id, j.v, j.f ORDER BY d2.b + j.s[3] * m DESC, j.pf) n FROM j JOIN d2 ON d2.query_id = j.query_id AND d2.v = j.v AND d2.f = j.pf WHERE j.s[3] > 0) WHERE n = 1),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY b DESC, f) i FROM d3) WHERE i = 1),
+path AS (SELECT query_id, v, b, unnest([ppf, pf, f]) f, unnest([1, 2, 3]) place FROM top)"""
+
+
+@query(f"""WITH {_AL3} SELECT path.query_id, path.v video_id, path.f original_frame_id, place, round(list_max(s) + b / 3, 6)::DOUBLE score FROM path JOIN p USING (query_id, v, f)
+UNION ALL SELECT query_id, v, f, NULL, round(list_max(s), 6)::DOUBLE FROM p WHERE query_id NOT IN (SELECT query_id FROM path)""")
 def sequence_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Best path over three variants for each query's alignment candidates."""
+    """Best path over three variants for each video of a query; queries without a path keep their candidates."""
     t = table(spark, d, "trake_alignment").filter("original_frame_id is not null and selection_score is not null").select("query_id", clean_id("video_id").alias("video_id"), "original_frame_id", "timestamp_ms", "selection_score", "event_ordinal").distinct()
     scores = F.array(*[F.when(F.pmod("event_ordinal", F.lit(3)) == i, F.col("selection_score")).otherwise(F.col("selection_score") / 4) for i in (1, 2, 0)])
-    one = t.groupBy("query_id", "video_id", "original_frame_id").agg(F.min("timestamp_ms").cast("double").alias("t"), F.max_by(scores, "event_ordinal").alias("scores"))
-    return selection.align_sequences(one, ["query_id", "video_id"], "original_frame_id", "t", "scores")
+    one = t.groupBy("query_id", "video_id", "original_frame_id").agg(F.min("timestamp_ms").cast("double").alias("t"), F.max_by(scores, "event_ordinal").alias("scores")).withColumn("score", F.array_max("scores"))
+    return selection.align_sequences(one, ["query_id"], "video_id", "original_frame_id", "t", "scores", "score").withColumn("score", F.round("score", 6))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -256,18 +267,35 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select("model_name", "embedding_dim", "video_id", "embedding_id", "original_frame_id", "vector").distinct()
 
 
-@query()
+_VG = """e AS (SELECT DISTINCT model_name, embedding_dim, video_id, embedding_id, original_frame_id f, vector FROM embedding_result WHERE len(vector) = embedding_dim AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(vector, lambda x: abs(x))) > 0),
+g AS (SELECT *, vector::DOUBLE[] v, row_number() OVER (PARTITION BY model_name, embedding_dim, video_id ORDER BY f NULLS LAST, embedding_id) n FROM e)"""
+_GREEDY = """k AS (SELECT model_name, embedding_dim, video_id, n, [v] kept, true keep, embedding_id FROM g WHERE n = 1 UNION ALL
+ SELECT g.model_name, g.embedding_dim, g.video_id, g.n, CASE WHEN far THEN list_append(kept, g.v) ELSE kept END, far, g.embedding_id FROM k JOIN g ON g.model_name = k.model_name AND g.embedding_dim = k.embedding_dim AND g.video_id = k.video_id AND g.n = k.n + 1,
+ LATERAL (SELECT len(list_filter(kept, lambda w: round(list_cosine_similarity(w, g.v), 9) {op} {least})) = 0 far))"""
+
+
+@query(f"""WITH RECURSIVE {_VG}, pr AS (SELECT a.model_name, a.embedding_dim, a.video_id, a.n i, b.n j FROM g a JOIN g b ON a.model_name = b.model_name AND a.embedding_dim = b.embedding_dim AND a.video_id = b.video_id AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.8),
+r AS (SELECT model_name, embedding_dim, video_id, n i, n root FROM g UNION SELECT r.model_name, r.embedding_dim, r.video_id, j, root FROM r JOIN pr USING (model_name, embedding_dim, video_id, i)),
+c AS (SELECT model_name, embedding_dim, video_id, i n, min(root) comp FROM r GROUP BY 1, 2, 3, 4), m AS (SELECT g.*, comp FROM g JOIN c USING (model_name, embedding_dim, video_id, n)),
+x AS (SELECT a.embedding_id, a.model_name, a.embedding_dim, a.video_id, a.comp, a.n, avg(list_cosine_similarity(a.v, b.v)) mean FROM m a JOIN m b ON a.model_name = b.model_name AND a.embedding_dim = b.embedding_dim AND a.video_id = b.video_id AND a.comp = b.comp GROUP BY ALL)
+SELECT embedding_id FROM (SELECT *, row_number() OVER (PARTITION BY model_name, embedding_dim, video_id, comp ORDER BY round(mean, 9) DESC, n) k FROM x) WHERE k = 1""")
 def embedding_medoids(spark: SparkSession, d: str) -> DataFrame:
     """A medoid per similarity component within each video and model; vectors without a frame come last in time."""
     return selection.medoid_vectors(_vectors(spark, d), ["model_name", "embedding_dim", "video_id"], "vector", "original_frame_id", "embedding_id", 0.8).select("embedding_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {_VG}, {_GREEDY.format(op='>=', least=0.9)} SELECT embedding_id FROM k WHERE keep")
 def embedding_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Greedy de-duplication (cosine >= 0.9) within each video and model; vectors without a frame come last in time."""
     return selection.distinct_vectors(_vectors(spark, d), ["model_name", "embedding_dim", "video_id"], "vector", "original_frame_id", "embedding_id", 0.9).select("embedding_id")
 
 
+@query(f"WITH RECURSIVE {_VG}, {_GREEDY.format(op='>', least=0.3)} SELECT embedding_id FROM k WHERE keep")
+def embedding_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy de-duplication by a cosine above 0.3: what is kept is spread out."""
+    return selection.distinct_vectors(_vectors(spark, d), ["model_name", "embedding_dim", "video_id"], "vector", "original_frame_id", "embedding_id", 0.3, inclusive=False).select("embedding_id")
+
+
 @query("""WITH v AS (SELECT DISTINCT video_id, codec, duration_ms FROM videos_manifest WHERE codec IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY codec ORDER BY video_id) turn FROM v),
 s AS (SELECT *, coalesce(sum(duration_ms) OVER (ORDER BY turn, codec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) bef FROM n)
 SELECT video_id, codec, turn FROM s WHERE bef < 3600000""")
@@ -277,16 +305,11 @@ def round_robin_subset(spark: SparkSession, d: str) -> DataFrame:
     return selection.round_robin_subset(v, "codec", "video_id", "duration_ms", 3_600_000).select("video_id", "codec", "turn")
 
 
-@query(f"""WITH {_FR}, x AS (SELECT video_id, original_frame_id, motion_score FROM fr WHERE NOT isnan(motion_score)), c AS (SELECT video_id, original_frame_id // 100 blk, original_frame_id, motion_score, row_number() OVER (PARTITION BY video_id, original_frame_id // 100 ORDER BY motion_score DESC, original_frame_id) n FROM x)
-SELECT video_id, blk, original_frame_id FROM c WHERE n = 1""")
-def signal_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """The strongest frame of each hundred; peaks by distance within a shot are `shot_peaks`."""
-    f = frames(spark, d, "motion_score").filter("not isnan(motion_score)").withColumn("blk", F.floor(F.col("original_frame_id") / 100))
-    n = F.row_number().over(Window.partitionBy("video_id", "blk").orderBy(F.col("motion_score").desc(), "original_frame_id"))
-    return f.withColumn("n", n).filter("n = 1").select("video_id", "blk", "original_frame_id")
-
-
-@query()
+@query(f"""WITH RECURSIVE {_SHOTS}, pl AS (SELECT video_id, original_frame_id f, row_number() OVER w - 1 place, CASE WHEN isnan(motion_score) THEN 0 ELSE motion_score END m FROM fr {_V}),
+o AS (SELECT pl.video_id, shot_id, f, row_number() OVER (PARTITION BY pl.video_id, shot_id ORDER BY m DESC, f) n FROM pl JOIN shots ON shots.video_id = pl.video_id AND place BETWEEN start_frame AND end_frame WHERE m >= 0.25),
+k AS (SELECT video_id, shot_id, n, f, [f] kept, true keep FROM o WHERE n = 1 UNION ALL SELECT o.video_id, o.shot_id, o.n, o.f, CASE WHEN far THEN list_append(kept, o.f) ELSE kept END, far
+ FROM k JOIN o ON o.video_id = k.video_id AND o.shot_id = k.shot_id AND o.n = k.n + 1, LATERAL (SELECT len(kept) < 3 AND len(list_filter(kept, lambda x: abs(x - o.f) < 8)) = 0 far))
+SELECT video_id, shot_id, f original_frame_id FROM k WHERE keep""")
 def shot_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Up to three motion peaks of each shot, of at least 0.25 and at least eight frames apart."""
     f = frames(spark, d, "scene_change_score")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +86,16 @@ def follow(store: OrphanStore, stream: DataFrame, kind: str, name: str | None =
         store.advance(**{kind: batch}, batch=f"{name or kind}-{number}")
 
     return stream.writeStream.foreachBatch(advance)
+
+
+def micro_batches(df: DataFrame, every: str, handle: Callable[[DataFrame, int], None], checkpoint: str):
+    """A stream in micro-batches: what has come within the interval, as far as `maxFilesPerTrigger` lets in, goes to `handle` at once."""
+    return df.writeStream.trigger(processingTime=every).option("checkpointLocation", checkpoint).foreachBatch(handle).start()
+
+
+def until(query, seconds: float) -> bool:
+    """Wait for a stream, at most so long; one beyond its deadline is stopped. Whether it ended by itself."""
+    done = query.awaitTermination(seconds)
+    if not done:
+        query.stop()
+    return bool(done)

@@ -73,10 +73,15 @@ def test_compaction(spark):
     assert sorted((r.v, r.i) for r in selection.compact_frames(df, "v", "i", "h", "s").collect()) == [("a", 1), ("a", 2), ("a", 4), ("b", 0)]
 
 
-def test_alignment():
+def test_alignment(spark):
     score, path = selection.align([1, 2, 3], [0.0, 2000.0, 4000.0], [[0.9, 0.1], [0.5, 0.8], [0.1, 0.2]])
     assert path == [0, 1] and score == pytest.approx(0.9 + 0.8 * 1.2)
     assert selection.align([], [], []) is None and selection.align([1], [0.0], [[0.5, 0.5]]) is None
+    rows = [("q", "v", 1, 0.0, [0.9, 0.1], 0.5), ("q", "v", 2, 2000.0, [0.5, 0.8], 0.4), ("q", "w", 7, None, [0.0, 0.9], 0.3), ("r", "v", 3, None, [0.0, 0.0], 0.2)]
+    df = spark.createDataFrame(rows, "q string, v string, f long, t double, s array<double>, score double")
+    got = {(r.q, r.v, r.f): (r.place, round(r.score, 6)) for r in selection.align_sequences(df, ["q"], "v", "f", "t", "s", "score").collect()}
+    boost = (0.9 + 0.8 * 1.2) / 2
+    assert got == {("q", "v", 1): (1, round(0.5 + boost, 6)), ("q", "v", 2): (2, round(0.4 + boost, 6)), ("r", "v", 3): (None, 0.2)}
 
 
 HITS = "query_id string, branch string, key string, video_id string, original_frame_id long, start_ms long, end_ms long, rank int, raw_score double, evidence_id string"

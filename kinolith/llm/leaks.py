@@ -12,11 +12,14 @@
 
 A passage is 8 words. Items are cut at every word, documents at every fifth: any 12 words in a row hold a whole passage
 of the document, equal to one of the item, whose cosine is 1. So no verbatim case is lost by the search, whatever the rank
-of the space. No paraphrase that passes the checks at these passages is lost either. The item side is bounded (`MAX_ITEMS`, checked), the corpus streams past it and is never grouped or gathered.
+of the space. No paraphrase that passes the checks at these passages is lost either. The items are read in blocks of at most
+`BLOCK_WORDS` words (or one item), and the corpus streams past each block's index; it is never grouped or gathered. The index of
+a block is all that a task holds beside its batch, so it is bounded whatever the number of items.
 
 Defined results: null and empty texts and texts of fewer than 12 words hold no case; an item of fewer than 12 words cannot
 leak; a pair comes out once however often the passage or the row is repeated; an empty corpus or no items give no rows;
-further columns are left out; texts of any length are read whole, passage by passage.
+further columns are left out; texts of any length are read whole, passage by passage. An item may bring the text of its answer:
+then a paraphrase counts only in a document that holds all words of the answer.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ from kinolith.session import stage, width
 PASSAGE, STRIDE, RUN = 8, 5, 12
 TERMS, SKETCH, RANK = 1 << 14, 48, 40
 COSINE = 0.97
-MAX_ITEMS = 20_000
+BLOCK_WORDS = 1 << 18
 SLICE = 4096
-SLACK, PAIRS = 4, 1 << 20
+SLACK, PAIRS, CELLS = 4, 1 << 20, 1 << 25
 
 
 def word_function():
@@ -244,6 +247,13 @@ class WindowIndex:
         held = np.concatenate(words)
         self.windows = np.concatenate(windows)[np.argsort(held, kind="stable")]
         self.at = np.r_[0, np.cumsum(np.bincount(held, minlength=len(self.vocabulary)))]
+        # a stretch's words and its answer words, filled up with a word that no document has
+        place, none = np.arange(3 * PASSAGE), len(self.vocabulary)
+        inside = place < self.size[:, None]
+        self.words = np.where(inside, self.word[np.minimum(self.low[:, None] + place, max(0, len(self.word) - 1))], none).astype(np.int32) if n else np.zeros((0, 3 * PASSAGE), np.int32)
+        most = int(self.answer.sum(axis=1).max()) if n else 0
+        first = np.argsort(~self.answer, axis=1, kind="stable")[:, :most]
+        self.answers = np.where(np.take_along_axis(self.answer, first, 1), np.take_along_axis(self.words, first, 1), none)
 
     def known(self, flat: np.ndarray) -> np.ndarray:
         """Place of each word in the items' vocabulary, or -1."""
@@ -251,30 +261,36 @@ class WindowIndex:
         return np.where(self.vocabulary[i] == flat, i, -1).astype(np.int32)
 
     def paraphrases(self, a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row of a, item passage, common subsequence) of all pairs that pass the checks; a: known words, -1 for others."""
-        n = np.where(a >= 0, self.at[a + 1] - self.at[a], 0)
-        upto = np.cumsum(n.sum(axis=1))
-        cut = 0
-        while cut < len(a):
-            end = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + PAIRS, "right")))
-            r, j = np.nonzero(n[cut:end])
-            r += cut
-            m = n[r, j]
-            nth = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            pair = np.unique(np.repeat(r, m) * len(self.low) + self.windows[np.repeat(self.at[a[r, j]], m) + nth])
-            for c in range(0, len(pair), SLICE):
-                yield self._checked(a, *np.divmod(pair[c : c + SLICE], len(self.low)))
-            cut = end
-
-    def _checked(self, a: np.ndarray, r: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = np.arange(3 * PASSAGE)
-        inside = place < self.size[k][:, None]
-        b = np.where(inside, self.word[np.minimum(self.low[k][:, None] + place, len(self.word) - 1)], -2)
-        same = b[:, :, None] == a[r][:, None, :]
-        hit = same.any(axis=2)
-        ok = ((hit & self.answer[k]).sum(axis=1) >= self.need[k]) & (hit.sum(axis=1) >= self.share * self.size[k])
+        """(row of a, item passage, common subsequence) of all pairs that pass the checks; a: known words, -1 for others.
+
+        Which words a row holds is a table of bits, so the first checks of a pair are a few look-ups."""
+        step = max(1, min(len(a), CELLS // (len(self.vocabulary) + 1)))
+        for top in range(0, len(a), step):
+            part = a[top : top + step]
+            holds = np.zeros((len(part), len(self.vocabulary) + 1), bool)
+            holds[np.arange(len(part))[:, None], part] = True  # unknown words fall into the last column
+            holds[:, -1] = False
+            n = np.where(part >= 0, self.at[part + 1] - self.at[part], 0)
+            upto = np.cumsum(n.sum(axis=1))
+            cut = 0
+            while cut < len(part):
+                end = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + PAIRS, "right")))
+                r, j = np.nonzero(n[cut:end])
+                r += cut
+                m = n[r, j]
+                nth = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                row, k = np.repeat(r, m), self.windows[np.repeat(self.at[part[r, j]], m) + nth]
+                ok = holds[row[:, None], self.answers[k]].sum(axis=1) >= self.need[k]
+                pair = np.unique(row[ok] * len(self.low) + k[ok])
+                for c in range(0, len(pair), SLICE):
+                    rows, windows, size = self._checked(part, holds, *np.divmod(pair[c : c + SLICE], len(self.low)))
+                    yield rows + top, windows, size
+                cut = end
+
+    def _checked(self, a: np.ndarray, holds: np.ndarray, r: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = holds[r[:, None], self.words[k]].sum(axis=1) >= self.share * self.size[k]
         r, k = r[ok], k[ok]
-        n = common_subsequences(same[ok])
+        n = common_subsequences(self.words[k][:, :, None] == a[r][:, None, :])
         ok = (n >= self.share * self.size[k]) & (self.size[k] >= RUN)
         return r[ok], k[ok], n[ok]
 
@@ -321,7 +337,7 @@ class Evidence:
     end: int = -1
 
 
-def _matches(index: ItemIndex, stretches: WindowIndex | None):
+def _matches(index: ItemIndex, stretches: WindowIndex | None, answers: list[np.ndarray]):
     """Documents with the items they hold: verbatim runs, and paraphrases if there are stretches to look for."""
     names = ["doc_id", "item_id", "kind", "n_words", "cosine"]
     w = np.arange(PASSAGE)
@@ -351,6 +367,8 @@ def _matches(index: ItemIndex, stretches: WindowIndex | None):
             cos = (index.space.vectors(flat, start[d]) * index.space.vectors(index.words, index.starts[q])).sum(axis=1)
             for r, i, m, c in zip(row[d].tolist(), index.row[q].tolist(), n.tolist(), cos.tolist()):
                 held = found.get((r, i))
+                if not held and len(answers[i]) and not np.isin(answers[i], flat[doc_at[r] : doc_at[r] + sizes[r]]).all():
+                    continue
                 if not held or held.kind != "verbatim" and (held.cosine, held.n) < (c, m):
                     found[r, i] = Evidence("paraphrase", m, c)
 
@@ -376,24 +394,47 @@ def _matches(index: ItemIndex, stretches: WindowIndex | None):
     return run
 
 
+def item_blocks(items: DataFrame, item_id: str, item_text: str, answer: str | None, most: int) -> Iterator[list[tuple[int, list[int], list[int]]]]:
+    """Items (id, words, words of the answer) of at least RUN words in order of their id, in blocks of at most `most` words or one item."""
+    c = lambda x: F.col(f"`{x}`")
+    rows = items.select(c(item_id).cast("long").alias("i"), c(item_text).cast("string").alias("t"), (c(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a"))
+    words_of = word_function()
+    block, size = [], 0
+    for r in rows.filter("i is not null and t is not null").distinct().orderBy("i", "t", "a").toLocalIterator():
+        words = words_of(r.t)
+        if len(words) < RUN:
+            continue
+        if block and size + len(words) > most:
+            yield block
+            block, size = [], 0
+        block.append((r.i, words, words_of(r.a)))
+        size += len(words)
+    if block:
+        yield block
+
+
 def find_leaks(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, paraphrases: bool = False, share: float = 0.7
-) -> DataFrame:
-    """doc_id, item_id, kind (verbatim or paraphrase), n_words (longest run, or subsequence) and cosine, once per pair."""
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, paraphrases: bool = False, share: float = 0.7,
+    answer: str | None = None, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """doc_id, item_id, kind (verbatim or paraphrase), n_words (longest run, or subsequence) and cosine, once per pair.
+
+    answer: a column of items with the text of the answer, if they have one."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = items.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{item_text}`")).distinct().take(MAX_ITEMS + 1)
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    words_of = word_function()
-    held = sorted((r[0], words_of(r[1])) for r in rows if r[0] is not None)
-    held = [x for x in held if len(x[1]) >= RUN]
     spark = docs.sparkSession
-    if not held:
-        return spark.createDataFrame([], f"doc_id {kind}, item_id long, kind string, n_words int, cosine double")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text_")).filter("text_ is not null").repartition(width(spark), "doc_id")
-    words = stage(texts.select("doc_id", word_hashes("text_").alias("words")), "words")
-    idf = inverse_frequencies(words)
-    index = ItemIndex(latent_space(words, idf), [i for i, _ in held], [w for _, w in held], cosine)
-    out = words.mapInArrow(_matches(index, WindowIndex(index, idf, share) if paraphrases else None), f"doc_id {kind}, item_id long, kind string, n_words int, cosine double")
+    ddl = f"doc_id {kind}, item_id long, kind string, n_words int, cosine double"
+    words, idf, space, out = None, None, None, None
+    for block in item_blocks(items, item_id, item_text, answer, block_words):
+        if words is None:
+            texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text_")).filter("text_ is not null").repartition(width(spark), "doc_id")
+            words = stage(texts.select("doc_id", word_hashes("text_").alias("words")), "words")
+            idf = inverse_frequencies(words)
+            space = latent_space(words, idf)
+        index = ItemIndex(space, [i for i, _, _ in block], [w for _, w, _ in block], cosine)
+        answers = [np.array(a, np.int64) for _, _, a in block]
+        part = words.mapInArrow(_matches(index, WindowIndex(index, idf, share) if paraphrases else None, answers), ddl)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], ddl)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("kind") == "verbatim", "n_words", "cosine", "kind")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.kind").alias("kind"), F.col("x.n_words").alias("n_words"), F.col("x.cosine").alias("cosine"))

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinolith.llm import bpe, canonical, knn, leaks, nearest, runs, topn
 
@@ -263,6 +264,8 @@ def test_leaks(spark):
     items = spark.createDataFrame([(i, " ".join(w)) for i, w in item.items()] + [(50, None), (51, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, items).filter("kind = 'verbatim'").collect()}
     assert got == want
+    blocks = {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, items, block_words=45).filter("kind = 'verbatim'").collect()}  # an item a block
+    assert blocks == want
     assert leaks.find_leaks(df.limit(0), items).count() == 0 and leaks.find_leaks(df, items.limit(0)).count() == 0
     assert leaks.common_subsequence([1, 2, 3, 4], [2, 9, 4]) == 2
 
@@ -295,6 +298,11 @@ def test_paraphrases_equal_an_exhaustive_check(spark):
     held = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     got = leaks.find_leaks(df, held, cosine=0.9, paraphrases=True).filter("kind = 'paraphrase'").collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want) and len(want) > 12
+    small = leaks.find_leaks(df, held, cosine=0.9, paraphrases=True, block_words=30).filter("kind = 'paraphrase'").collect()
+    assert sorted((r.doc_id, r.item_id) for r in small) == sorted(want)
+    said = held.withColumn("answer", F.when(F.col("item_id") == 2, F.lit("w1 nowhere")).otherwise(F.lit("")))
+    only = leaks.find_leaks(df, said, cosine=0.9, paraphrases=True, answer="answer").filter("kind = 'paraphrase'").collect()
+    assert sorted((r.doc_id, r.item_id) for r in only) == sorted(x for x in want if x[1] != 2)
     same = np.random.default_rng(2).random((50, 24, 32)) < 0.1
     table = np.zeros((50, 25, 33), int)
     for x in range(24):

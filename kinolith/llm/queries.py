@@ -68,7 +68,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_knn(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar of every vector whose number is divisible by 50, against all vectors."""
     asks = F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 50 == 0
-    near = knn.nearest_vectors(table(spark, d, "embedding_result"), "embedding_id", "vector", "model_name", "embedding_dim", 10, queries=asks, probes=0.35)
+    near = knn.nearest_vectors(table(spark, d, "embedding_result"), "embedding_id", "vector", "model_name", "embedding_dim", 10, queries=asks, probes=0.03, list_rows=96)
     return near.select("embedding_id", "neighbour_id", "rank_no", F.round("cosine", 5).alias("cosine"))
 
 

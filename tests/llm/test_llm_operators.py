@@ -327,11 +327,35 @@ def test_nearest_vectors(spark):
     rows += [rows[0], ("bad1", "m", 8, None, ""), ("bad2", "m", 8, [0.0] * 8, ""), ("bad3", "m", 8, [NAN] + [1.0] * 7, ""), ("bad4", "m", 9, [1.0] * 8, ""), ("solo", None, 2, [1.0, 0.0], "")]
     df = spark.createDataFrame(rows, "id string, model string, dim int, vec array<float>, grp string")
     good = {r[0]: knn.unit(np.array([r[3]], np.float32).astype(float))[0] for r in rows if not r[0].startswith(("bad", "solo"))}
-    for block in (8192, 20):
+    for block, hot in ((8192, 10**6), (20, 10)):
         got = defaultdict(list)
-        for r in knn.nearest_vectors(df, "id", "vec", "model", "dim", 5, least=0.5, list_rows=1000, block_rows=block).collect():
+        for r in knn.nearest_vectors(df, "id", "vec", "model", "dim", 5, least=0.5, list_rows=1000, block_rows=block, hot_rows=hot).collect():
             got[r.id].append((r.rank_no, r.neighbour_id))
         for i, v in good.items():
             want = sorted((-round(float(v @ w), 6), j) for j, w in good.items() if j != i and v @ w >= 0.5)[:5]
             assert [j for _, j in sorted(got[i])] == [j for _, j in want], i
     assert knn.nearest_vectors(df.limit(0), "id", "vec", "model", "dim", 5).count() == 0
+
+
+def test_lists_in_two_levels(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((40, 16))
+    v = knn.unit(centre[rng.integers(0, 40, 4000)] + 0.4 * rng.standard_normal((4000, 16))).astype(np.float32)
+    lists = knn.Lists(v[:5], v[:50], np.array([0, 10, 20, 30, 40, 50]), np.ones(50, np.int64))
+    near, sim = lists.nearest(v[:20], 4, cells=5)
+    want = np.sort(v[:20] @ v[:50].T, axis=1)[:, ::-1][:, :4]
+    assert np.allclose(sim, want, atol=1e-5) and np.allclose((v[:20, None] * v[:50][near]).sum(2), sim, atol=1e-5)
+    monkeypatch.setattr(knn, "FLAT", 8)
+    monkeypatch.setattr(knn, "CELL_LISTS", 8)
+    df = spark.createDataFrame([(f"v{i:04d}", "m", 16, x.tolist()) for i, x in enumerate(v)], "id string, model string, dim int, vec array<float>")
+    rows = df.select(F.lit("g").alias("grp"), "id", F.col("vec").alias("vector"))
+    fitted = knn.fit_lists(rows, 50, 8192)["g"]
+    assert len(fitted.cells) == 10 and 60 <= len(fitted.centres) <= 100 and fitted.first[-1] == len(fitted.centres) == len(fitted.blocks)
+    asks = F.substring("id", 2, 9).cast("long") % 50 == 0
+    got = knn.nearest_vectors(df, "id", "vec", "model", "dim", 10, queries=asks, probes=0.2, list_rows=50).collect()
+    hits = 0
+    for i in range(0, 4000, 50):
+        s = v @ v[i]
+        s[i] = -2
+        hits += len({f"v{j:04d}" for j in np.argsort(-s)[:10]} & {r.neighbour_id for r in got if r.id == f"v{i:04d}"})
+    assert hits / 800 > 0.9

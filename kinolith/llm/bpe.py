@@ -42,11 +42,11 @@ def byte_symbols() -> list[str]:
 
 
 class BitmapQueue:
-    """Set of ranks below 64**3 with find-first-set, and a bucket of positions per rank."""
+    """Set of ranks with find-first-set, and a bucket of positions per rank.
+
+    Two levels of 64-bit words; the top one has a bit per 4096 ranks, as many as there are, in one integer."""
 
     def __init__(self, size: int):
-        if size > 1 << 18:
-            raise ValueError("more ranks than three levels hold")
         self.low = [0] * (size // 64 + 1)
         self.mid = [0] * (size // 4096 + 1)
         self.top = 0

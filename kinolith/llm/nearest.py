@@ -117,9 +117,8 @@ def nearest_in_time(
     keep = keep or left.columns
     if {right_id, "nearest_time"} & set(keep):
         raise ValueError("a left column has the name of a result column")
+    bits = max(bits, math.ceil(math.log2(max(1, tolerance))))  # a block is at least as long as the tolerance
     units = 1 << bits
-    if tolerance > units:
-        raise ValueError("the tolerance must not exceed a block")
     spark = left.sparkSession
     rid = right.schema[right_id]
     ent = left.schema[entity].dataType

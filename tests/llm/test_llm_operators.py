@@ -172,6 +172,8 @@ def test_nearest(spark):
             if near:
                 want[e] = min(near)[2], min(near)[1]
         assert got == want
+    far = {r.e: r.i for r in nearest.nearest_in_time(left, right, "v", "t", "s", "i", 500, ["e"], 4).collect()}  # a tolerance of many blocks
+    assert len(far) == sum(v in ("a", "b") and t is not None and t == t for v, t, _ in events)
     assert nearest.nearest_in_time(left, right.limit(0), "v", "t", "s", "i", 12, ["e"]).count() == 0
 
 
@@ -225,10 +227,10 @@ def test_bpe_equals_library():
 
 def test_bitmap_queue():
     rng = random.Random(9)
-    q, held = bpe.BitmapQueue(50_000), defaultdict(list)
+    q, held = bpe.BitmapQueue(600_000), defaultdict(list)
     for _ in range(3000):
         if rng.random() < 0.6:
-            r, p = rng.randint(0, 49_999), rng.randint(0, 9)
+            r, p = rng.randint(0, rng.choice([49_999, 599_999])), rng.randint(0, 9)
             q.push(r, p)
             held[r].append(p)
         elif held:

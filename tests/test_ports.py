@@ -121,3 +121,47 @@ def test_upserts_touch_their_own_buckets(spark, tmp_path):
     a, b = t.versions()
     assert sum(a["parts"][k] != b["parts"][k] for k in a["parts"]) == 1
     assert {r.k for r in t.current().filter("x = 'b'").collect()} == {5} and t.current().count() == 100
+
+
+def test_micro_batches_and_deadlines(spark, tmp_path):
+    from kinolith.streaming import flows
+
+    for i in range(3):
+        spark.range(i, i + 1).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    seen = []
+    q = flows.micro_batches(stream, "200 milliseconds", lambda b, n: seen.append(sorted(r.id for r in b.collect())), str(tmp_path / "ck"))
+    assert not flows.until(q, 12) and not q.isActive and sorted(x for s in seen for x in s) == [0, 1, 2] and all(len(s) <= 1 for s in seen)
+
+
+def test_image_functions(spark):
+    from kinolith.functions import num, text
+
+    flat, ramp = bytes([7] * 144), bytes(range(16)) * 9
+    df = spark.createDataFrame([(1, flat), (2, ramp), (3, b"x"), (4, None), (5, ramp[::-1])], "i int, px binary")
+    got = {r.i: (r.m, r.h) for r in df.select("i", num.gray_metrics("px", F.lit(16)).alias("m"), num.dhash("px", F.lit(16)).alias("h")).collect()}
+    assert got[1][0].asDict() == {"brightness": 7.0, "contrast": 0.0, "entropy": 0.0, "blur": 0.0} and got[1][1] == 0
+    assert got[2][0].entropy == pytest.approx(4.0) and got[2][1] == -1 and got[5][1] == 0 and got[3] == (None, None) and got[4] == (None, None)
+    q = spark.createDataFrame([('a sign "EXIT" and "x"',), ("he said 'hi'",), (None,)], "t string").select(text.quoted_phrases("t").alias("a"), text.quoted_phrases("t", ["sign"]).alias("b")).collect()
+    assert [(r.a, r.b) for r in q] == [(["EXIT", "x"], ["EXIT", "x"]), (["hi"], []), (None, None)]
+
+
+def test_merges_and_moves(spark):
+    from kinolith.functions import num
+    from kinolith.operators import contracts, mapping
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    arr = F.array(*map(F.lit, "abcd"))
+    for s, t in ((0, 3), (3, 0), (1, 2), (2, 2), (4, 0), (0, -1)):
+        want = list("abcd")
+        if 0 <= s < 4 and 0 <= t < 4:
+            want.insert(t, want.pop(s))
+        assert one(num.moved(arr, F.lit(s), F.lit(t))) == want
+    rows = spark.createDataFrame([("q", 1, "k", f"e{i}", "y" * 600 if i else "  ") for i in range(30)], "q string, r int, k string, e string, s string")
+    lines = contracts.evidence_lines(rows, ["q"], ["r", "e"], "k", "e", "s").orderBy("nth").collect()
+    assert len(lines) == 15 and all(len(x.line) <= 500 + 10 for x in lines) and sum(len(x.line) for x in lines) + len(lines) - 1 <= 8000
+    t = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, x string, y int")
+    n = writers.merge_counters(t, spark.createDataFrame([(1, "a", 1), (2, "c", 1), (3, "d", 1), (None, "e", 1)], "k int, x string, y int"), ["k"]).first()
+    assert tuple(n) == (4, 1, 1, 1)
+    d = mapping.ordered_distinct(spark.createDataFrame([("g", "b", 1), ("g", "a", 2), ("g", "b", 3), ("g", "c", 4)], "g string, k string, p int"), ["g"], "k", ["p"], 2)
+    assert sorted((r.k, r.p, r.place) for r in d.collect()) == [("a", 2, 2), ("b", 1, 1)]

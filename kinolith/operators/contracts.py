@@ -140,3 +140,12 @@ def result_rows(df: DataFrame, display: int) -> DataFrame:
     x = x.withColumn("preview_uri", F.coalesce("preview_uri", F.concat(F.lit("r2://media/"), "object_key"), F.concat(F.lit("r2://unavailable/"), "video_id")))
     shown = F.struct(have("keyframe_no", "long").alias("keyframe_no"), F.col("original_frame_id"), F.col("start_ms").alias("timestamp_ms"))
     return x.withColumn("representative", F.when(F.col("original_frame_id").isNotNull(), shown))
+
+
+def detections(df: DataFrame, column: str, width: str, height: str) -> DataFrame:
+    """The detections of a picture (array of label, confidence, box in pixels) as rows with their place and the box over the picture's
+    size; a box that does not fit, no label or a confidence outside 0..1 leaves the row out."""
+    rest = [c for c in df.columns if c != column]
+    x = df.select(*rest, F.posexplode(column).alias("ordinal", "x"))
+    x = x.select(*rest, "ordinal", F.trim("x.label").alias("label"), F.col("x.confidence").alias("confidence"), num.normalised_box("x.box", width, height).alias("box"))
+    return x.filter((F.length("label") > 0) & F.col("confidence").between(0, 1) & F.col("box").isNotNull())

@@ -163,3 +163,86 @@ def images_by_video(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("video_id").agg(F.count("*").alias("n_images"), F.min("keyframe_no").alias("first_no"), F.max("keyframe_no").alias("last_no"))
 
 
+
+
+@query(f"""WITH {_FR}, p AS (SELECT video_id, original_frame_id, text_change_score::DOUBLE s, brightness_score::DOUBLE b FROM fr WHERE NOT isnan(brightness_score) AND NOT isnan(text_change_score))
+SELECT video_id, original_frame_id, round(coalesce(abs(b - lag(b) OVER w), 0), 9)::DOUBLE motion, round(coalesce(abs(s - lag(s) OVER w), 0), 9)::DOUBLE text_change FROM p WINDOW w AS (PARTITION BY video_id ORDER BY original_frame_id)""")
+def text_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Change of picture and of text against the frame before, in one scan."""
+    f = frames(spark, d, "brightness_score", "text_change_score").filter("not isnan(brightness_score) and not isnan(text_change_score)")
+    f = f.select("video_id", "original_frame_id", F.col("brightness_score").cast("double").alias("b"), F.col("text_change_score").cast("double").alias("s"))
+    return timeline.change_signals(f, "b", "s").select("video_id", "original_frame_id", F.round("motion", 9).alias("motion"), F.round("text_change", 9).alias("text_change"))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT model_name, embedding_dim, video_id, embedding_id, vector::DOUBLE[] v FROM embedding_result WHERE {_GOOD})
+SELECT a.embedding_id embedding_id_a, b.embedding_id embedding_id_b FROM e a JOIN e b ON a.model_name = b.model_name AND a.embedding_dim = b.embedding_dim AND a.video_id = b.video_id AND a.embedding_id < b.embedding_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.6""")
+def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of vectors of a video and model that are alike, by pairs of blocks."""
+    from kinolith.operators import selection
+
+    e = table(spark, d, "embedding_result").filter(F.size("vector") == F.col("embedding_dim")).filter(vector.is_finite("vector") & (vector.norm("vector") > 0)).select("model_name", "embedding_dim", "video_id", "embedding_id", "vector").distinct()
+    rows = selection.placed(e, ["model_name", "embedding_dim", "video_id"], "vector", "embedding_id", "embedding_id")
+    near = selection.similar_places(rows, "vector", 0.6, True, False, 2048).select("grp_", "pos_", F.explode("earlier").alias("before_"))
+    at = rows.select("grp_", F.col("pos_"), F.col("embedding_id").alias("embedding_id_b"))
+    j = near.join(at, ["grp_", "pos_"]).join(at.select("grp_", F.col("pos_").alias("before_"), F.col("embedding_id_b").alias("embedding_id_a")), ["grp_", "before_"])
+    return j.select("embedding_id_a", "embedding_id_b")
+
+
+@query(f"""WITH {_AL}, k AS (SELECT video_id, keyframe_no, thumbnail_object_key path, keyframe_no % 4 <> 0 eligible, keyframe_no % 6 <> 1 selected FROM al) SELECT video_id, keyframe_no, path FROM k WHERE eligible AND selected AND path IS NOT NULL""")
+def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Keyframes that are to be embedded: eligible, selected and with an image, from their manifest."""
+    import uuid
+
+    from kinolith.session import own_dir
+    from kinolith.sources import readers, writers
+
+    a = aliases(spark, d).select("video_id", "keyframe_no", F.col("thumbnail_object_key").alias("path"), (F.col("keyframe_no") % 4 != 0).alias("eligible_for_embedding"), (F.col("keyframe_no") % 6 != 1).alias("selected_for_retrieval"))
+    at = f"{own_dir(spark)}/keyframes-{uuid.uuid4().hex[:12]}.parquet"
+    writers.write_table(a, at)
+    return readers.read_keyframes(spark, at).select("video_id", "keyframe_no", "path")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT alignment_id, event_ordinal, upper(trim(video_id)) video_id, timestamp_ms t FROM trake_alignment WHERE timestamp_ms IS NOT NULL), {_FR}, f AS (SELECT video_id, original_frame_id, timestamp_ms ms FROM fr WHERE timestamp_ms IS NOT NULL),
+j AS (SELECT alignment_id, event_ordinal, original_frame_id, row_number() OVER (PARTITION BY alignment_id, event_ordinal ORDER BY abs(ms - t), ms, original_frame_id) n FROM t JOIN f USING (video_id)) SELECT alignment_id, event_ordinal, original_frame_id near_frame FROM j WHERE n = 1""")
+def frame_at_time(spark: SparkSession, d: str) -> DataFrame:
+    """The frame nearest in time to each event, ties to the earlier."""
+    from kinolith.operators import temporal
+
+    t = table(spark, d, "trake_alignment").filter("timestamp_ms is not null").select("alignment_id", "event_ordinal", clean_id("video_id").alias("video_id"), F.col("timestamp_ms").cast("double").alias("t")).distinct()
+    f = frames(spark, d, "timestamp_ms").select("video_id", "original_frame_id", F.col("timestamp_ms").alias("ms"))
+    near = temporal.nearest_row(t, f, "video_id", "t", "ms", ["ms", "original_frame_id"], ["original_frame_id"], block=600_000)
+    return near.filter("near_original_frame_id is not null").select("alignment_id", "event_ordinal", F.col("near_original_frame_id").alias("near_frame"))
+
+
+@query("""WITH e AS (SELECT DISTINCT * FROM evidence), x AS (SELECT 'caption' m UNION ALL SELECT 'ocr' UNION ALL SELECT 'asr' UNION ALL SELECT 'object')
+SELECT m modality, count(evidence_id) n_seen, count(*) FILTER (deleted_at IS NULL AND confidence BETWEEN 0 AND 1 AND end_ms > start_ms) n_good, count(*) FILTER (evidence_id IS NOT NULL AND confidence IS NULL) n_no_confidence, count(*) FILTER (evidence_id IS NOT NULL AND NOT coalesce(end_ms > start_ms, false)) n_no_interval,
+ count(DISTINCT producer) n_producers, count(DISTINCT video_id) n_videos FROM x LEFT JOIN e ON evidence_type = m GROUP BY 1""")
+def import_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What an import of each modality would bring: rows, good ones, what is wrong, producers and videos."""
+    e = table(spark, d, "evidence").distinct()
+    good = F.col("deleted_at").isNull() & F.col("confidence").between(0, 1) & (F.col("end_ms") > F.col("start_ms"))
+    g = e.groupBy(F.col("evidence_type").alias("modality")).agg(
+        F.count("*").alias("n_seen"), F.count_if(good).alias("n_good"), F.count_if(F.col("confidence").isNull()).alias("n_no_confidence"),
+        F.count_if(~F.coalesce(F.col("end_ms") > F.col("start_ms"), F.lit(False))).alias("n_no_interval"), F.countDistinct("producer").alias("n_producers"), F.countDistinct("video_id").alias("n_videos"),
+    )
+    names = spark.createDataFrame([(m,) for m in ("caption", "ocr", "asr", "object")], "modality string")
+    counts = [c for c in g.columns if c != "modality"]
+    return names.join(g, "modality", "left").select("modality", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+
+
+@query("""SELECT DISTINCT model_name || ':' || model_version feature_set, embedding_dim FROM embedding_result WHERE embedding_dim IS NOT NULL""")
+def feature_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The different feature sets of the vectors."""
+    return table(spark, d, "embedding_result").filter("embedding_dim is not null").select(F.concat("model_name", F.lit(":"), "model_version").alias("feature_set"), "embedding_dim").distinct()
+
+
+@query("""WITH v AS (SELECT DISTINCT video_id, width w, height h FROM videos_manifest WHERE width IS NOT NULL AND height IS NOT NULL), b AS (SELECT video_id, w, h, unnest(range(0, 3)) i FROM v),
+x AS (SELECT *, i * 100 x1, i * 50 y1, CASE WHEN i = 2 THEN w + 1 ELSE w // 2 + i END x2, h // 2 y2 FROM b)
+SELECT video_id, i::INT ordinal, 'label' || i "label", round(x1 / w::DOUBLE, 6)::DOUBLE x, round(x2 / w::DOUBLE, 6)::DOUBLE x_end FROM x WHERE x1 >= 0 AND x1 < x2 AND y1 >= 0 AND y1 < y2 AND x2 <= w AND y2 <= h""")
+def detection_records(spark: SparkSession, d: str) -> DataFrame:
+    """Detections as evidence with boxes over the picture's size; boxes that do not fit are left out."""
+    v = table(spark, d, "videos_manifest").filter("width is not null and height is not null").select("video_id", "width", "height").distinct()
+    item = lambda i: F.struct(F.concat(F.lit("label"), i.cast("string")).alias("label"), F.lit(0.9).alias("confidence"), F.array((i * 100).cast("double"), (i * 50).cast("double"), F.when(i == 2, F.col("width") + 1).otherwise(F.floor(F.col("width") / 2) + i).cast("double"), F.floor(F.col("height") / 2).cast("double")).alias("box"))
+    x = v.withColumn("detections", F.transform(F.sequence(F.lit(0), F.lit(2)), item))
+    out = contracts.detections(x, "detections", "width", "height")
+    return out.select("video_id", "ordinal", "label", F.round(F.col("box")[0], 6).alias("x"), F.round(F.col("box")[2], 6).alias("x_end"))

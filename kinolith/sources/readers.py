@@ -255,3 +255,12 @@ def ranked_json(df: DataFrame, column: str, element: str) -> DataFrame:
 def terms(spark: SparkSession, words: list[str]) -> DataFrame:
     """A term array as rows."""
     return spark.createDataFrame([(w,) for w in words], "term string")
+
+
+def read_keyframes(spark: SparkSession, path: str) -> DataFrame:
+    """A keyframe manifest for embedding: rows with an image that are eligible and selected, where it says so."""
+    df = read_table(spark, path)
+    for flag in ("eligible_for_embedding", "selected_for_retrieval"):
+        if flag in df.columns:
+            df = df.filter(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
+    return df.filter(F.col("video_id").isNotNull() & (F.length(F.trim("path")) > 0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolith.functions import num
+from kinolith.operators.skew import scan_entity
 
 
 def violations(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -83,12 +84,13 @@ def clamp_shots(shots: DataFrame, timelines: DataFrame) -> DataFrame:
 
 
 def window_around(df: DataFrame, group: list[str], order: str, anchor: str, size: int) -> DataFrame:
-    """At most `size` rows of a group around the row nearest to the anchor column, moved inwards at the ends."""
-    w = Window.partitionBy(*group)
-    n = df.withColumn("i_", F.row_number().over(w.orderBy(order))).withColumn("n_", F.count("*").over(w))
-    at = F.min_by("i_", F.struct(F.abs(F.col(order) - F.col(anchor)), F.col(order))).over(w)
-    n = n.withColumn("from_", F.greatest(F.lit(1), F.least(at - F.lit(size // 2), F.col("n_") - size + 1)))
-    return n.filter((F.col("i_") >= F.col("from_")) & (F.col("i_") < F.col("from_") + size)).drop("i_", "n_", "from_")
+    """At most `size` rows of a group around the row nearest to the anchor column, moved inwards at the ends. `order` is a number.
+
+    Places come from a scan in blocks, the nearest place and the size of a group from a combining aggregate that joins back."""
+    n = scan_entity(df, group, order, {"i_": ("sum", F.lit(1))})
+    near = n.groupBy(*group).agg(F.max("i_").alias("n_"), F.min_by("i_", F.struct(F.abs(F.col(order) - F.col(anchor)), F.col(order))).alias("at_"))
+    n = n.join(near, group).withColumn("from_", F.greatest(F.lit(1), F.least(F.col("at_") - F.lit(size // 2), F.col("n_") - size + 1)))
+    return n.filter((F.col("i_") >= F.col("from_")) & (F.col("i_") < F.col("from_") + size)).drop("i_", "n_", "from_", "at_")
 
 
 def reading_order(boxes: str | Column) -> Column:

@@ -35,8 +35,11 @@ def disjoint(g: np.ndarray, s: np.ndarray, e: np.ndarray, n: np.ndarray) -> tupl
     """Sorted disjoint intervals of each group: (group, start, end, count). Input that is a few sorted runs merges in linear time."""
     if not len(g):
         return g, s, e, n
-    order = np.argsort(s, kind="stable")
-    order = order[np.argsort(g[order], kind="stable")]
+    wide = int(s.max()) - int(s.min()) + 1
+    if (int(g.max()) + 1) * wide < 1 << 62:  # one key, one merge: the stable sort merges the sorted runs it finds
+        order = np.argsort(g * wide + (s - s.min()), kind="stable")
+    else:
+        order = np.lexsort((s, g))
     g, s, e, n = g[order], s[order], e[order], n[order]
     fresh = np.empty(len(g), bool)
     fresh[0] = True

@@ -161,10 +161,12 @@ def compact_frames(df: DataFrame, entity: str, at: str, hash_: str, sharpness: s
 
 
 def placed(df: DataFrame, group: list[str], vector: str, at: str, key: str) -> DataFrame:
-    """Adds grp_ (the group as one string), pos_ (place in the group by (at with null last, key, vector), from 0) and size_; staged."""
-    whole = Window.partitionBy(*group)
-    n = F.row_number().over(whole.orderBy(F.col(at).asc_nulls_last(), F.col(key).asc_nulls_last(), vector)) - 1
-    return stage(df.withColumn("grp_", F.to_json(F.struct(*group))).withColumn("pos_", n.cast("long")).withColumn("size_", F.count("*").over(whole)), "placed")
+    """Adds grp_ (the group as one string), pos_ (place in the group by (at with null last, key, vector), from 0) and size_; staged.
+
+    The rows are numbered over ranges of (group, order), so no task sorts a whole group."""
+    n = numbered(df.withColumn("grp_", F.to_json(F.struct(*group))), [F.col("grp_"), F.col(at).asc_nulls_last(), F.col(key).asc_nulls_last(), F.col(vector)], "n_")
+    first = n.groupBy("grp_").agg(F.min("n_").alias("first_"), F.count("*").alias("size_"))
+    return stage(n.join(first, "grp_").withColumn("pos_", (F.col("n_") - F.col("first_")).cast("long")).drop("n_", "first_"), "placed")
 
 
 def forest(near: np.ndarray) -> list[tuple[int, int]]:

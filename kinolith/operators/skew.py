@@ -85,11 +85,6 @@ def previous_in_entity(df: DataFrame, entity: list[str], order: str, value: Colu
     return scan_entity(df, entity, order, {name: ("lag", value)}, block)
 
 
-def running_in_entity(df: DataFrame, entity: list[str], order: str, value: Column, kind: str, name: str, block: int = 65_536, ties: list[str] | None = None) -> DataFrame:
-    """One running value of `scan_entity`."""
-    return scan_entity(df, entity, order, {name: (kind, value)}, block, ties)
-
-
 def numbered(df: DataFrame, order: list[Column], name: str, total: Column | None = None) -> DataFrame:
     """Place of each row (from 0) in a global order, and the sum of `total` over the rows before it (`before_`).
 

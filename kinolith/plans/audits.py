@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinolith.operators import contracts, mapping, temporal, timeline
+from kinolith.operators.skew import scan_entity
 from kinolith.plans.catalog import Catalog
 from kinolith.plans.evidence import speech_spans
 from kinolith.plans.evidence_sql import _SPANS
@@ -88,8 +89,7 @@ def index_coverage(spark: SparkSession, d: str) -> DataFrame:
 SELECT k.video_id, keyframe_no, position FROM k ANTI JOIN e USING (video_id, original_frame_id)""")
 def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Keyframes whose frame has no vector yet, with the place where it belongs."""
-    w = Window.partitionBy("video_id").orderBy("keyframe_no")
-    k = aliases(spark, d).filter("original_frame_id is not null").withColumn("position", F.row_number().over(w) - 1)
+    k = scan_entity(aliases(spark, d).filter("original_frame_id is not null"), ["video_id"], "keyframe_no", {"position": ("sum", F.lit(1))}).withColumn("position", F.col("position") - 1)
     return mapping.missing_keys(k, table(spark, d, "embedding_result").select("video_id", "original_frame_id"), ["video_id", "original_frame_id"]).select("video_id", "keyframe_no", "position")
 
 

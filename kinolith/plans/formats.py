@@ -200,7 +200,8 @@ def content_store(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").filter("text is not null").select(F.encode("text", "UTF-8").alias("raw"))
     put = stage(files.put_content(x, "raw", _at(spark, "store")), "put")
     good, _ = readers.probe_files(put.select(F.col("target").alias("path")), lambda p: {"size_bytes": len(files.read_bytes(p))}, "size_bytes long")
-    return good.select(F.regexp_extract("path", r"(sha256/../\w+)$", 1).alias("key"), "size_bytes")
+    keys = x.select(writers.content_key("raw").alias("key")).distinct()
+    return good.select(F.regexp_extract("path", r"(sha256/../\w+)$", 1).alias("key"), "size_bytes").join(keys, "key", "left_semi")
 
 
 @query(f"WITH {_AL}, x AS (SELECT video_id, keyframe_no, timestamp_ms FROM al) SELECT video_id, keyframe_no, CASE WHEN keyframe_no % 4 = 1 THEN coalesce(timestamp_ms, 0) + 1 ELSE timestamp_ms END timestamp_ms FROM x UNION ALL SELECT video_id, keyframe_no + 100000, timestamp_ms FROM x WHERE keyframe_no % 10 = 2")
@@ -280,3 +281,12 @@ def trigram_postings(spark: SparkSession, d: str) -> DataFrame:
     path = _at(spark, "postings")
     text.write_postings(table(spark, d, "documents").select("doc_id", "text").filter("text is not null").distinct(), "doc_id", "text", path)
     return text.search_postings(spark, path, _trigrams(PROBE_TEXT), 0.15).select(F.col("id").alias("doc_id"), F.round("sim", 6).alias("sim"))
+
+
+@query("""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, result_no ORDER BY ingested_at DESC) k FROM search_response) WHERE k = 1), u AS (SELECT query_id, result_no, unnest(evidence_ids) e, unnest(range(1, len(evidence_ids) + 1)) rank FROM r)
+SELECT query_id, result_no, rank::INT rank, e evidence_id FROM u""")
+def ranked_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of a JSON column as rows with their place."""
+    r = latest(table(spark, d, "search_response").select("query_id", "result_no", "evidence_ids", "ingested_at"), ["query_id", "result_no"], "ingested_at").filter("evidence_ids is not null")
+    doc = F.to_json(F.transform("evidence_ids", lambda e: F.struct(e.alias("evidence_id"))))
+    return readers.ranked_json(r.select("query_id", "result_no", doc.alias("items")), "items", "struct<evidence_id:string>")

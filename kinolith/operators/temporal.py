@@ -68,10 +68,10 @@ def neighbours(frames: DataFrame, targets: DataFrame, entity: str, at: str, cent
     return near.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(at))).drop("n_", "i_")
 
 
-def islands(df: DataFrame, entity: str, at: str, reach: float | Column, block: int = 600_000) -> DataFrame:
+def islands(df: DataFrame, entity: str, at: str, reach: float | Column, block: int = 600_000, distinct: bool = False) -> DataFrame:
     """Adds island_: rows of an entity whose times follow each other within the reach."""
     gap = F.col(at) - F.col("before_")
-    d = scan_entity(df, [entity], at, {"before_": ("lag", F.col(at))}, block, keep_block=True)
+    d = scan_entity(df, [entity], at, {"before_": ("lag", F.col(at))}, block, distinct=distinct, keep_block=True)
     d = d.withColumn("new_", F.when(gap.isNull() | (gap > reach), 1).otherwise(0)).withColumn("tie_", -F.col("new_"))
     return scan_entity(d, [entity], at, {"island_": ("sum", F.col("new_"))}, block, ["tie_"]).drop("new_", "before_", "tie_")  # of equal times the opening row comes first
 
@@ -132,7 +132,7 @@ def top_peaks(df: DataFrame, group: list[str], at: str, score: str, minimum: flo
     return fold(rows, group, [s.desc(), F.col(at)], at, list, lambda kept, t: len(kept) < limit and apart(kept, t))
 
 
-def spaced_boundaries(df: DataFrame, entity: str, at: str, least: int) -> DataFrame:
+def spaced_boundaries(df: DataFrame, entity: str, at: str, least: int, distinct: bool = False) -> DataFrame:
     """Fold over a sorted sequence: a row stays if it lies at least `least` after the last one that stayed."""
 
     def keep(last: list, t: int) -> bool:
@@ -141,7 +141,7 @@ def spaced_boundaries(df: DataFrame, entity: str, at: str, least: int) -> DataFr
         last[:] = [t]
         return True
 
-    return fold(islands(df.select(entity, at), entity, at, least - 1), [entity, "island_"], [F.col(at)], at, list, keep).select(entity, at)
+    return fold(islands(df.select(entity, at), entity, at, least - 1, distinct=distinct), [entity, "island_"], [F.col(at)], at, list, keep).select(entity, at)
 
 
 def merge_windows(hits: DataFrame, entity: str, start: str, end: str, gap: int, score: str, peak: str, block: int = 600_000) -> DataFrame:

@@ -1,7 +1,8 @@
 """The frame timeline: signals, clocks, shots, sampling and checks.
 
 Order-dependent values come from the blocked forms of `skew`: a video is cut into blocks of frame ids, so a video with most
-of the rows is spread over many tasks. Frames must be distinct in (video_id, original_frame_id)."""
+of the rows is spread over many tasks. Frames must be distinct in (video_id, original_frame_id); `distinct` takes repeated rows
+out within the exchange of the scan."""
 
 from __future__ import annotations
 
@@ -18,18 +19,18 @@ from kinolith.session import width
 VIDEO, FRAME = ["video_id"], "original_frame_id"
 
 
-def change_signals(frames: DataFrame, value: str, text: str | None = None) -> DataFrame:
+def change_signals(frames: DataFrame, value: str, text: str | None = None, distinct: bool = False) -> DataFrame:
     """Absolute change against the previous frame, 0 for the first; scene change as min(1, motion / 64); with `text`, its change too."""
     asked = {"before_": ("lag", F.col(value))} | ({"text_before_": ("lag", F.col(text))} if text else {})
-    f = scan_entity(frames, VIDEO, FRAME, asked)
+    f = scan_entity(frames, VIDEO, FRAME, asked, distinct=distinct)
     motion = F.coalesce(F.abs(F.col(value) - F.col("before_")), F.lit(0.0))
     f = f.withColumn("motion", motion).withColumn("scene", F.least(F.lit(1.0), F.col("motion") / 64)).drop("before_")
     return f.withColumn("text_change", F.coalesce(F.abs(F.col(text) - F.col("text_before_")), F.lit(0.0))).drop("text_before_") if text else f
 
 
-def neighbour_average(frames: DataFrame, value: str) -> DataFrame:
+def neighbour_average(frames: DataFrame, value: str, distinct: bool = False) -> DataFrame:
     """Mean of the pair values before and after a frame (those that exist)."""
-    g = scan_entity(frames, VIDEO, FRAME, {"a_": ("lag", F.col(value)), "b_": ("lead", F.col(value))})
+    g = scan_entity(frames, VIDEO, FRAME, {"a_": ("lag", F.col(value)), "b_": ("lead", F.col(value))}, distinct=distinct)
     before, after = F.abs(F.col(value) - F.col("a_")), F.abs(F.col("b_") - F.col(value))
     mean = F.when(before.isNull(), after).when(after.isNull(), before).otherwise((before + after) / 2)
     return g.withColumn("motion_avg", mean).drop("a_", "b_")
@@ -60,17 +61,17 @@ def pts_origin(frames: DataFrame) -> DataFrame:
     return frames.filter(both).groupBy("video_id").agg(F.min_by(F.col("raw_pts_timestamp_ms") - F.col("cfr_timestamp_ms"), "original_frame_id").alias("origin_ms"))
 
 
-def interpolate(frames: DataFrame, value: str, name: str) -> DataFrame:
+def interpolate(frames: DataFrame, value: str, name: str, distinct: bool = False) -> DataFrame:
     """Missing values on the line between their known neighbours; the ends hold the nearest known value."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(FRAME).alias("i"), F.col(value).alias("v")))
-    f = scan_entity(frames, VIDEO, FRAME, {"a_": ("last", known), "b_": ("next", known)})
+    f = scan_entity(frames, VIDEO, FRAME, {"a_": ("last", known), "b_": ("next", known)}, distinct=distinct)
     line = F.col("a_.v") + (F.col("b_.v") - F.col("a_.v")) * (F.col(FRAME) - F.col("a_.i")) / F.nullif(F.col("b_.i") - F.col("a_.i"), F.lit(0))
     return f.withColumn(name, F.coalesce(F.col(value), line, F.col("a_.v"), F.col("b_.v"))).drop("a_", "b_")
 
 
-def last_key_frame(frames: DataFrame) -> DataFrame:
+def last_key_frame(frames: DataFrame, distinct: bool = False) -> DataFrame:
     """The codec keyframe at or before each frame."""
-    return scan_entity(frames, VIDEO, FRAME, {"key_frame_id": ("last", F.when(F.col("is_codec_keyframe"), F.col(FRAME)))})
+    return scan_entity(frames, VIDEO, FRAME, {"key_frame_id": ("last", F.when(F.col("is_codec_keyframe"), F.col(FRAME)))}, distinct=distinct)
 
 
 def shots(frames: DataFrame, value: str, threshold: float, distinct: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from kinolith.plans.catalog import Catalog
 from kinolith.plans.curation import _REL, _releases
 from kinolith.plans.ingest import _AL, aliases
 from kinolith.plans.retrieval import _TRGM
-from kinolith.plans.timeline import _FR, frames
+from kinolith.plans.timeline import _FR, frames, raw_frames
 from kinolith.session import clean_id, latest, table
 
 CATALOG = Catalog()
@@ -169,9 +169,9 @@ def images_by_video(spark: SparkSession, d: str) -> DataFrame:
 SELECT video_id, original_frame_id, round(coalesce(abs(b - lag(b) OVER w), 0), 9)::DOUBLE motion, round(coalesce(abs(s - lag(s) OVER w), 0), 9)::DOUBLE text_change FROM p WINDOW w AS (PARTITION BY video_id ORDER BY original_frame_id)""")
 def text_signals(spark: SparkSession, d: str) -> DataFrame:
     """Change of picture and of text against the frame before, in one scan."""
-    f = frames(spark, d, "brightness_score", "text_change_score").filter("not isnan(brightness_score) and not isnan(text_change_score)")
+    f = raw_frames(spark, d, "brightness_score", "text_change_score").filter("not isnan(brightness_score) and not isnan(text_change_score)")
     f = f.select("video_id", "original_frame_id", F.col("brightness_score").cast("double").alias("b"), F.col("text_change_score").cast("double").alias("s"))
-    return timeline.change_signals(f, "b", "s").select("video_id", "original_frame_id", F.round("motion", 9).alias("motion"), F.round("text_change", 9).alias("text_change"))
+    return timeline.change_signals(f, "b", "s", distinct=True).select("video_id", "original_frame_id", F.round("motion", 9).alias("motion"), F.round("text_change", 9).alias("text_change"))
 
 
 @query(f"""WITH e AS (SELECT DISTINCT model_name, embedding_dim, video_id, embedding_id, vector::DOUBLE[] v FROM embedding_result WHERE {_GOOD})

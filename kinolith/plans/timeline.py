@@ -32,15 +32,15 @@ def raw_frames(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 @query(f"""WITH {_FR} SELECT video_id, original_frame_id, coalesce(abs(brightness_score::DOUBLE - lag(brightness_score::DOUBLE) OVER w), 0) motion,
  least(1.0, coalesce(abs(brightness_score::DOUBLE - lag(brightness_score::DOUBLE) OVER w), 0) / 64)::DOUBLE scene FROM fr WHERE NOT isnan(brightness_score) {_V}""")
 def lag_signals(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d, "brightness_score").filter("not isnan(brightness_score)").withColumn("b", F.col("brightness_score").cast("double"))
-    return timeline.change_signals(f, "b").select("video_id", "original_frame_id", "motion", "scene")
+    f = raw_frames(spark, d, "brightness_score").filter("not isnan(brightness_score)").withColumn("b", F.col("brightness_score").cast("double"))
+    return timeline.change_signals(f, "b", distinct=True).select("video_id", "original_frame_id", "motion", "scene")
 
 
 @query(f"""WITH {_FR}, p AS (SELECT video_id, original_frame_id, abs(motion_score::DOUBLE - lag(motion_score::DOUBLE) OVER w) d FROM fr WHERE NOT isnan(motion_score) {_V})
 SELECT video_id, original_frame_id, round(avg(d) OVER (PARTITION BY video_id ORDER BY original_frame_id ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 9)::DOUBLE motion_avg FROM p""")
 def neighbour_motion(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d, "motion_score").filter("not isnan(motion_score)").withColumn("m", F.col("motion_score").cast("double"))
-    return timeline.neighbour_average(f, "m").select("video_id", "original_frame_id", F.round("motion_avg", 9).alias("motion_avg"))
+    f = raw_frames(spark, d, "motion_score").filter("not isnan(motion_score)").withColumn("m", F.col("motion_score").cast("double"))
+    return timeline.neighbour_average(f, "m", distinct=True).select("video_id", "original_frame_id", F.round("motion_avg", 9).alias("motion_avg"))
 
 
 @query(f"""WITH {_FR}, x AS (SELECT video_id, original_frame_id, entropy_score::DOUBLE e, min(entropy_score::DOUBLE) OVER (PARTITION BY video_id) lo, max(entropy_score::DOUBLE) OVER (PARTITION BY video_id) hi FROM fr WHERE NOT isnan(entropy_score))
@@ -71,13 +71,13 @@ def pts_origin(spark: SparkSession, d: str) -> DataFrame:
 SELECT video_id, i original_frame_id, round(coalesce(av + (bv - av) * (i - ai) / nullif(bi - ai, 0), av, bv), 6)::DOUBLE pts_ms FROM k WHERE v IS NULL""")
 def interpolate_pts(spark: SparkSession, d: str) -> DataFrame:
     """Frames without a pts, on the line between their neighbours."""
-    f = timeline.interpolate(frames(spark, d, "pts_timestamp_ms"), "pts_timestamp_ms", "pts_ms")
+    f = timeline.interpolate(raw_frames(spark, d, "pts_timestamp_ms"), "pts_timestamp_ms", "pts_ms", distinct=True)
     return f.filter("pts_timestamp_ms is null").select("video_id", "original_frame_id", F.round("pts_ms", 6).alias("pts_ms"))
 
 
 @query(f"""WITH {_FR} SELECT video_id, original_frame_id, last_value(CASE WHEN is_codec_keyframe THEN original_frame_id END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY original_frame_id ROWS UNBOUNDED PRECEDING) key_frame_id FROM fr""")
 def preceding_keyframe(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.last_key_frame(frames(spark, d, "is_codec_keyframe")).select("video_id", "original_frame_id", "key_frame_id")
+    return timeline.last_key_frame(raw_frames(spark, d, "is_codec_keyframe"), distinct=True).select("video_id", "original_frame_id", "key_frame_id")
 
 
 _SHOTS = f"""{_FR}, p AS (SELECT video_id, row_number() OVER w - 1 i, coalesce(scene_change_score > 0.9 AND NOT isnan(scene_change_score), false) OR coalesce(isnan(scene_change_score), false) hard FROM fr {_V}),
@@ -227,8 +227,8 @@ m AS (SELECT video_id, f, n, f last, true keep FROM p WHERE n = 1 UNION ALL SELE
 SELECT video_id, f original_frame_id FROM m WHERE keep""")
 def light_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Boundaries by score at least eight frames apart."""
-    f = frames(spark, d, "scene_change_score").filter("scene_change_score >= 0.35 and not isnan(scene_change_score)")
-    return temporal.spaced_boundaries(f, "video_id", "original_frame_id", 8)
+    f = raw_frames(spark, d, "scene_change_score").filter("scene_change_score >= 0.35 and not isnan(scene_change_score)")
+    return temporal.spaced_boundaries(f, "video_id", "original_frame_id", 8, distinct=True)
 
 
 @query(f"""WITH {_FR}, a AS (SELECT DISTINCT upper(trim(video_id)) video_id, keyframe_no, original_frame_id FROM frame_aliases WHERE original_frame_id IS NOT NULL)

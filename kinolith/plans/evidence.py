@@ -57,6 +57,12 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.replay(spark, reference_rows(spark, d), parent_rows(spark, d)).snapshot()
 
 
+def p1_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots of a history that comes in four deltas of time: what was open after each, per table, field and month."""
+    s = orphans.replay(spark, reference_rows(spark, d), parent_rows(spark, d), epochs=4).snapshots()
+    return s.drop("batch")
+
+
 def speech_spans(spark: SparkSession, d: str) -> DataFrame:
     """The spans that count: video_id, source_span_index, start_ms, end_ms."""
     cols = ["source_span_index", "start_ms", "end_ms", "asr_start_ms", "asr_end_ms", "ingested_at"]
@@ -105,4 +111,4 @@ def p7_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_periods, p7_found, p7_table, p7_typed)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p1_snapshots, p4_found, p4_periods, p7_found, p7_table, p7_typed)}

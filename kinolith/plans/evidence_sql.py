@@ -19,6 +19,22 @@ refs AS (
   FROM (SELECT DISTINCT query_id, result_no, created_at, unnest(evidence_ids) e FROM sr) LEFT JOIN ev ON e = evidence_id WHERE e IS NOT NULL)
 """
 
+_HISTORY = """
+al AS (SELECT DISTINCT upper(trim(video_id)) v, keyframe_no, original_frame_id f, created_at FROM frame_aliases),
+sr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, result_no ORDER BY ingested_at DESC) rn FROM search_response) WHERE rn = 1),
+rf AS (SELECT 'frame_aliases' t, v || '/' || keyframe_no k, 'video_id' fd, 'videos_manifest' pt, v tk, created_at at_ FROM al WHERE v IS NOT NULL
+  UNION ALL SELECT 'frame_aliases', v || '/' || keyframe_no, 'original_frame_id', 'frame_manifest', v || '/' || f, created_at FROM al WHERE f IS NOT NULL AND v IN (SELECT upper(trim(video_id)) FROM videos_manifest)
+  UNION ALL SELECT 'search_response', query_id || '/' || result_no, 'evidence_ids', 'evidence', e, created_at FROM (SELECT DISTINCT query_id, result_no, created_at, unnest(evidence_ids) e FROM sr) WHERE e IS NOT NULL),
+b AS (SELECT min(epoch_us(at_)) lo, max(epoch_us(at_)) hi FROM rf),
+r1 AS (SELECT t, k, fd, pt, tk, at_, CASE WHEN at_ IS NULL THEN 0 ELSE greatest(0, least(3, floor((epoch_us(at_) - lo) * 4 / (hi - lo + 1)::DOUBLE))) END::INT ep FROM rf, b), rg AS (SELECT t, k, fd, pt, tk, min(at_) at_, min(ep) ep FROM r1 GROUP BY 1, 2, 3, 4, 5),
+pr AS (SELECT 'videos_manifest' pt, upper(trim(video_id)) tk, created_at born, deleted_at gone FROM videos_manifest UNION ALL SELECT 'evidence', evidence_id, created_at, deleted_at FROM evidence
+  UNION ALL SELECT 'frame_manifest', upper(trim(video_id)) || '/' || original_frame_id, NULL, NULL FROM frame_manifest WHERE original_frame_id IS NOT NULL),
+pe AS (SELECT pt, tk, born, NULL::TIMESTAMP gone, CASE WHEN born IS NULL THEN 0 ELSE greatest(0, least(3, floor((epoch_us(born) - lo) * 4 / (hi - lo + 1)::DOUBLE))) END::INT ep FROM pr, b
+  UNION ALL SELECT pt, tk, born, gone, CASE WHEN gone IS NULL THEN 0 ELSE greatest(0, least(3, floor((epoch_us(gone) - lo) * 4 / (hi - lo + 1)::DOUBLE))) END::INT FROM pr, b WHERE gone IS NOT NULL),
+es AS (SELECT unnest(range(0, 4)) e), px AS (SELECT e, pt, tk, CASE WHEN bool_or(born IS NULL) THEN NULL ELSE min(born) END born, max(gone) gone FROM es JOIN pe ON ep <= e GROUP BY 1, 2, 3),
+st AS (SELECT es.e, t, fd, strftime(at_, '%Y-%m') period, CASE WHEN px.tk IS NULL THEN 'missing' WHEN gone IS NOT NULL THEN 'deleted' WHEN born > at_ THEN 'late' ELSE 'ok' END state FROM es JOIN rg ON rg.ep <= es.e LEFT JOIN px ON px.e = es.e AND px.pt = rg.pt AND px.tk = rg.tk)
+"""
+
 _SPANS = """
 a AS (SELECT upper(trim(video_id)) video_id, source_span_index, coalesce(start_ms, asr_start_ms) s, coalesce(end_ms, asr_end_ms) e,
         row_number() OVER (PARTITION BY upper(trim(video_id)), source_span_index ORDER BY ingested_at DESC) rn FROM asr_result),
@@ -51,6 +67,7 @@ _CASTS = {f: f"CASE WHEN try_cast({{t}} AS DECIMAL(38, 10)) = floor(try_cast({{t
 _FIELDS = ", ".join(c.format(t=f"max(t) FILTER (field_name = '{f}')") + f" AS {f}" for f, c in _CASTS.items())
 
 SQL = {
+    "p1_snapshots": f"""WITH {_HISTORY} SELECT (e + 1)::INT "version", t ref_table, fd ref_field, period, count(*) n_refs, count(*) FILTER (state = 'missing') n_missing, count(*) FILTER (state = 'deleted') n_deleted, count(*) FILTER (state = 'late') n_late FROM st GROUP BY 1, 2, 3, 4""",
     "p7_typed": f"""WITH r AS (SELECT DISTINCT file_id, record_no, CASE WHEN payload <> '' THEN try_cast(payload AS JSON) END j FROM stats_raw),
         names AS (SELECT field_name, '$."' || replace(raw_name, '.', '"."') || '"' path FROM stats_names),
         v AS (SELECT file_id, record_no, field_name, json_extract_string(j, path) t FROM r, names WHERE json_type(j) = 'OBJECT' AND json_type(j, path) <> 'NULL'),

@@ -172,7 +172,7 @@ def nystrom(omega: np.ndarray, b: np.ndarray, rank: int) -> np.ndarray:
 class ItemIndex:
     """Passages of the items, in clusters of near directions."""
 
-    def __init__(self, space: Space, ids: list[int], words: list[list[int]], threshold: float, clusters: int = 128, seed: int = 7):
+    def __init__(self, space: Space, ids: list[int], words: list[list[int]], threshold: float, clusters: int = 1024, seed: int = 7):
         self.space, self.threshold = space, threshold
         self.ids = np.array(ids)
         self.words = np.array([w for x in words for w in x], np.int64)
@@ -180,7 +180,7 @@ class ItemIndex:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.row, self.starts = passages(self.sizes, 1)
         v = space.vectors(self.words, self.starts)
-        k = max(1, min(clusters, len(v) // 8))
+        k = max(1, min(clusters, len(v) // 32))
         c = v[np.random.default_rng(seed).permutation(len(v))[:k]] if len(v) else np.zeros((1, space.rows.shape[1]), np.float32)
         for _ in range(8 if len(v) else 0):
             of = (v @ c.T).argmax(axis=1)

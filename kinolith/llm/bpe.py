@@ -13,6 +13,7 @@ parts cannot occur, as Spark's strings are UTF-8; documents repeated as whole ro
 from __future__ import annotations
 
 import json
+
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame

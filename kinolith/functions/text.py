@@ -272,12 +272,12 @@ def write_postings(df: DataFrame, key: str, column: str, path: str, buckets: int
     p.repartition("b", F.pmod(F.hash("id"), F.lit(4))).sortWithinPartitions("b", "gram").write.partitionBy("b").parquet(path)
 
 
-def search_postings(spark: SparkSession, path: str, probe: list[str], least: float) -> DataFrame:
+def search_postings(spark: SparkSession, path: str, probe: list[str], least: float, buckets: int = 64) -> DataFrame:
     """id and sim of the texts whose similarity with the probe's trigrams is above `least` (not below 0): the filter on gram and bucket
-    reaches the files, and the shared trigrams are counted before the exchange."""
+    reaches the files, and the shared trigrams are counted before the exchange. buckets: as the postings were written."""
     p = spark.read.parquet(path)
-    buckets = [r.b for r in spark.range(1).select(F.explode(F.array(*[F.pmod(F.hash(F.lit(g)), F.lit(64)) for g in probe])).alias("b")).distinct().collect()]
-    hits = p.filter(F.col("b").isin(buckets) & F.col("gram").isin(probe)).groupBy("id").agg(F.count("*").alias("i"), F.first("n").alias("n"))
+    held = spark.range(1).select(F.array_distinct(F.array(*[F.pmod(F.hash(F.lit(g)), F.lit(buckets)) for g in probe]))).first()[0]
+    hits = p.filter(F.col("b").isin(held) & F.col("gram").isin(probe)).groupBy("id").agg(F.count("*").alias("i"), F.first("n").alias("n"))
     return hits.select("id", (F.col("i") / (F.col("n") + len(probe) - F.col("i"))).alias("sim")).filter(F.col("sim") > least)
 
 

@@ -270,6 +270,13 @@ def speech_normal(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.md5(text.speech_text("text")).alias("speech_key"))
 
 
+@query("""SELECT doc_id, md5(trim(regexp_replace(replace(lower(strip_accents(text)), 'đ', 'd'), '[^\\p{L}\\p{N}]+', ' ', 'g'))) folded FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)""")
+def folded_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Marks stripped, d-stroke as d, lower case, letters and digits only."""
+    x = table(spark, d, "documents").select("doc_id", "text").filter("text is not null").distinct()
+    return x.select("doc_id", F.md5(text.fold("text")).alias("folded"))
+
+
 @query()
 def folded_text(spark: SparkSession, d: str) -> DataFrame:
     """Marks stripped, letters and digits only, and the other normal forms as digests."""

@@ -105,7 +105,10 @@ def fts_match(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).filter(text.matches(text.tokens("text"), q)).select("doc_id")
 
 
-@query()
+@query("""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)', 1) ws FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(ws) w, unnest(range(1, len(ws) + 1)) p FROM d),
+h AS (SELECT *, lag(w) OVER x pw, lag(p) OVER x pp FROM w WHERE w IN ('basket', 'lighthouse') WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, round(sum(0.1::DOUBLE / (p - pp)), 6)::DOUBLE score FROM h WHERE pw <> w GROUP BY 1) SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 50""")
 def fts_rank(spark: SparkSession, d: str) -> DataFrame:
     """Cover-density rank of two terms, best 50."""
     score = F.round(text.rank_cd(text.tokens("text"), ["basket", "lighthouse"]), 6)

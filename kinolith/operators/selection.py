@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolith.operators.skew import numbered
+from kinolith.operators.skew import numbered, scan_entity
 from kinolith.session import stage, width
 
 
@@ -300,16 +300,23 @@ def align_sequences(df: DataFrame, query: list[str], video: str, frame: str, tim
     return aligned.unionByName(rest)
 
 
-def repair(df: DataFrame, group: list[str], most: float) -> DataFrame:
-    """group and added time; columns t, blur, ok, kept (boolean), t_start, t_end."""
-    ddl = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group) + ", added double"
+def repair(df: DataFrame, group: list[str], most: float, block: float = 3_600) -> DataFrame:
+    """group and added: the times that close the gaps of more than `most`; columns t, blur, ok, kept (boolean), t_start, t_end.
+
+    Gaps between kept times do not touch each other, so each is repaired alone from the candidates inside of it: a scan in
+    blocks gives a candidate its gap, and only candidates of gaps that are too wide go on."""
+    if most <= 0:
+        return df.select(*group, F.col("t").alias("added")).limit(0)
+    held = F.when(F.col("kept"), F.col("t"))
+    g = scan_entity(df, group, "t", {"a_": ("last", held), "b_": ("next", held)}, block)
+    g = g.withColumn("a_", F.coalesce("a_", "t_start")).withColumn("b_", F.coalesce("b_", "t_end")).filter(~F.col("kept") & (F.col("b_") - F.col("a_") > most + 1e-6) & (F.col("t") > F.col("a_")) & (F.col("t") < F.col("b_")))
+    ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group) + ", added double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = pdf[~pdf.kept]
-        times = repair_coverage(list(zip(rest.t, rest.blur, rest.ok)), pdf.t[pdf.kept].tolist(), (pdf.t_start.iloc[0], pdf.t_end.iloc[0]), most)
-        return pd.DataFrame({**{g: [pdf[g].iloc[0]] * len(times) for g in group}, "added": times})
+        times = repair_coverage(list(zip(pdf.t, pdf.blur, pdf.ok)), [], (pdf.a_.iloc[0], pdf.b_.iloc[0]), most)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(times) for c in group}, "added": times})
 
-    return df.groupBy(*group).applyInPandas(run, ddl)
+    return g.groupBy(*group, "a_", "b_").applyInPandas(run, ddl)
 
 
 def round_robin_subset(df: DataFrame, batch: str, order: str, size: str, target: float) -> DataFrame:

@@ -321,3 +321,20 @@ def bounded_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Videos in batches of at most 500 MB and eight; one without a size fills a batch."""
     v = table(spark, d, "videos_manifest").select("video_id", "size_bytes").distinct()
     return curation.bounded_batches(v, [F.col("video_id")], F.col("size_bytes"), 500_000_000, 8).select("video_id", "batch")
+
+
+@query("""WITH RECURSIVE v AS (SELECT DISTINCT video_id, duration_ms / 1000.0::DOUBLE dur FROM videos_manifest WHERE duration_ms IS NOT NULL), k AS (SELECT DISTINCT upper(trim(video_id)) video_id, timestamp_ms / 1000.0::DOUBLE t FROM frame_aliases WHERE timestamp_ms IS NOT NULL AND keyframe_no % 5 = 0),
+c AS (SELECT DISTINCT f.video_id, timestamp_ms / 1000.0::DOUBLE t, blur_score::DOUBLE blur, blur_score >= 1 ok FROM frame_manifest f SEMI JOIN v USING (video_id) WHERE timestamp_ms IS NOT NULL AND NOT isnan(blur_score) AND original_frame_id IS NOT NULL),
+p AS (SELECT video_id, t FROM k SEMI JOIN v USING (video_id) UNION SELECT video_id, 0 FROM v UNION SELECT video_id, dur FROM v), g AS (SELECT video_id, lag(t) OVER (PARTITION BY video_id ORDER BY t) a, t b FROM p),
+r AS (SELECT video_id, a, b, t FROM (SELECT g.*, c.t, row_number() OVER (PARTITION BY g.video_id, a, b ORDER BY ok DESC, blur DESC, c.t) n FROM g JOIN c ON c.video_id = g.video_id AND c.t > a AND c.t < b WHERE b - a > 3.000001) WHERE n = 1 UNION ALL
+ SELECT video_id, a, b, t FROM (SELECT x.video_id, x.a, x.b, c.t, row_number() OVER (PARTITION BY x.video_id, x.a, x.b ORDER BY ok DESC, blur DESC, c.t) n FROM (SELECT video_id, a, t b FROM r UNION ALL SELECT video_id, t, b FROM r) x JOIN c ON c.video_id = x.video_id AND c.t > x.a AND c.t < x.b WHERE x.b - x.a > 3.000001) WHERE n = 1)
+SELECT video_id, round(t, 6)::DOUBLE added FROM r""")
+def coverage_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Frames added where every fifth keyframe leaves gaps of more than three seconds: the widest gap first takes its best frame."""
+    v = table(spark, d, "videos_manifest").filter("duration_ms is not null").select("video_id", (F.col("duration_ms") / 1000.0).alias("t_end")).distinct()
+    k = aliases(spark, d).filter("timestamp_ms is not null and keyframe_no % 5 = 0").select("video_id", (F.col("timestamp_ms") / 1000.0).alias("t")).distinct()
+    c = frames(spark, d, "timestamp_ms", "blur_score").filter("timestamp_ms is not null and not isnan(blur_score)")
+    c = c.select("video_id", (F.col("timestamp_ms") / 1000.0).alias("t"), F.col("blur_score").cast("double").alias("blur"), (F.col("blur_score") >= 1).alias("ok")).distinct().withColumn("kept", F.lit(False))
+    kept = k.select("video_id", "t", F.lit(0.0).alias("blur"), F.lit(True).alias("ok"), F.lit(True).alias("kept"))
+    both = c.unionByName(kept).join(v, "video_id").withColumn("t_start", F.lit(0.0))
+    return selection.repair(both, ["video_id"], 3.0).withColumn("added", F.round("added", 6))

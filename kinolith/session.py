@@ -52,9 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_left: set[str] = set()
+
+
 def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/kinolith-{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder; it goes when the driver ends. What is to stay needs a folder of its own."""
+    app = spark.sparkContext.applicationId
+    if app not in _left:
+        _left.add(app)
+        atexit.register(_leave, spark)
+    return f"{shared_dir(spark).rstrip('/')}/kinolith-{app}"
+
+
+def _leave(spark: SparkSession) -> None:
+    try:
+        release_stages(spark)
+    except Exception:  # the session has ended before the driver
+        pass
 
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:

@@ -66,6 +66,19 @@ def test_coverage_repair():
     assert selection.repair_coverage(c, [], (0.0, 100.0), 0.0) == []
 
 
+def test_repair_gap_by_gap(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for v in ("a", "b", "c"):
+        t = np.unique(np.round(rng.random(60) * 100, 2))
+        rows += [(v, float(x), float(rng.integers(0, 5)), bool(rng.random() < 0.7), bool(v != "c" and rng.random() < 0.15), 0.0, 100.0) for x in t]
+    df = spark.createDataFrame(rows, "v string, t double, blur double, ok boolean, kept boolean, t_start double, t_end double")
+    want = {(v, x) for v in "abc" for x in selection.repair_coverage([q[1:4] for q in rows if q[0] == v and not q[4]], [q[1] for q in rows if q[0] == v and q[4]], (0.0, 100.0), 6.0)}
+    for block in (10, 3_600):
+        assert {(r.v, r.added) for r in selection.repair(df, ["v"], 6.0, block).collect()} == want
+    assert len(want) > 10 and selection.repair(df, ["v"], 0.0).count() == 0
+
+
 def test_compaction(spark):
     assert selection.compact([0, 1, 255, 254], [1.0, 2.0, 1.0, 1.0]) == [1, 2]
     rows = [("a", i, h, s) for i, (h, s) in enumerate([(0, 1.0), (1, 2.0), (255, 1.0), (254, 1.0), (-1, 1.0)])] + [("b", 0, 0, 1.0)]
